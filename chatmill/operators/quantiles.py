@@ -1,0 +1,89 @@
+"""Exact interpolated percentiles of groups of any size."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from chatmill.session import broadcast_if_small, materialise
+
+ACCURACY = 100_000
+
+
+def exact_percentiles(
+    df: DataFrame,
+    group: Sequence[str],
+    values: Mapping[str, Sequence[float]],
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """Linear-interpolated percentiles per group, one column ``p<q>_<value>`` each.
+
+    The built-in exact percentile keeps every distinct value of a group in one
+    buffer.  Here a mergeable sketch first brackets each wanted rank (its rank
+    error is at most n / accuracy); the rows below a bracket are only counted, and
+    only the values inside it - a few n / accuracy, equal ones merged - are ordered.
+    """
+    margin = 4.0 / accuracy
+    names = list(group)
+    sketches = []
+    for value, wanted in values.items():
+        qs = [max(0.0, q / 100 - margin) for q in wanted] + [min(1.0, q / 100 + margin) for q in wanted]
+        sketches += [
+            F.percentile_approx(value, qs, accuracy).alias(f"_q_{value}"),
+            F.min(value).alias(f"_min_{value}"),
+            F.max(value).alias(f"_max_{value}"),
+            F.count(value).alias(f"_n_{value}"),
+        ]
+    sketch = df.groupBy(*names).agg(*sketches)
+    brackets = []
+    for value, wanted in values.items():
+        small = F.col(f"_n_{value}") <= accuracy
+        for i, q in enumerate(wanted):
+            brackets.append(
+                F.struct(
+                    F.lit(f"p{q}_{value}").alias("name"),
+                    F.lit(value).alias("value_of"),
+                    # Whole group while it is small, the sketch's bracket beyond.
+                    F.when(small, F.col(f"_min_{value}")).otherwise(F.col(f"_q_{value}")[i]).alias("lo"),
+                    F.when(small, F.col(f"_max_{value}"))
+                    .otherwise(F.col(f"_q_{value}")[i + len(wanted)])
+                    .alias("hi"),
+                    ((F.col(f"_n_{value}") - 1) * F.lit(q / 100)).alias("at"),
+                )
+            )
+    bounds = broadcast_if_small(
+        materialise(sketch.select(*names, F.explode(F.array(*brackets)).alias("b")))
+    )
+    stacked = df.select(
+        *names,
+        F.explode(
+            F.array(*[F.struct(F.lit(v).alias("value_of"), F.col(v).alias("value")) for v in values])
+        ).alias("v"),
+    ).select(*names, "v.*").where(F.col("value").isNotNull())
+    near = stacked.join(bounds.select(*names, "b.*"), [*names, "value_of"]).where("value <= hi")
+    # One pass: values inside a bracket by value, all lower ones merged under null.
+    place = [*names, "name"]
+    counted = near.groupBy(
+        *place, "at", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value")
+    ).agg(F.count(F.lit(1)).alias("copies"))
+    order = Window.partitionBy(*place).orderBy(F.asc_nulls_first("value"))
+    ladder = counted.withColumn(
+        "through", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    floor = F.floor("at")
+    ends = ladder.groupBy(*place).agg(
+        F.min(F.when(F.col("through") >= floor + 1, F.col("value"))).alias("low"),
+        F.min(F.when(F.col("through") >= floor + 2, F.col("value"))).alias("high"),
+        F.first("at").alias("at"),
+    )
+    share = F.col("at") - F.floor("at")
+    result = ends.select(
+        *place,
+        (F.col("low") + (F.coalesce("high", "low") - F.col("low")) * share).alias("result"),
+    )
+    wanted_names = [f"p{q}_{v}" for v, qs in values.items() for q in qs]
+    return result.groupBy(*names).agg(
+        *[F.max(F.when(F.col("name") == w, F.col("result"))).alias(w) for w in wanted_names]
+    )
