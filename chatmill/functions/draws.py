@@ -27,12 +27,7 @@ def between(hexdigest: Column, slot: int, low: int, high: int) -> Column:
 
 
 def pick(hexdigest: Column, slot: int, values: list[str]) -> Column:
-    """One of ``values``."""
-    pool = F.array(*[F.lit(v) for v in values])
+    """One of ``values``, which hold no line breaks."""
+    pool = F.split(F.lit("\n".join(values)), "\n")  # folded to a constant array
     return F.element_at(pool, (draw(hexdigest, slot) % len(values) + 1).cast("int"))
 
-
-def unit(*parts: Column | int) -> Column:
-    """Cheap uniform double in [0, 1) from a 64-bit hash, for per-character work."""
-    as_columns = [p if isinstance(p, Column) else F.lit(p) for p in parts]
-    return F.shiftrightunsigned(F.xxhash64(*as_columns), 11).cast("double") * F.lit(2.0**-53)

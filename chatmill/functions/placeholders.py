@@ -1,13 +1,11 @@
-"""Placeholder substitution and OCR noise as native, repeatable column expressions."""
+"""Placeholder substitution as native, repeatable column expressions."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatmill.functions.draws import between, digest, pick, unit
+from chatmill.functions.draws import between, digest, pick
 
 # The placeholders, in the order they are replaced.
 PLACEHOLDERS = {
@@ -74,68 +72,49 @@ def _replacement(kind: str, seed: int, key: Column, variant: Column) -> Column:
     return F.left(digits, between(d, 2, 8, 12).cast("int"))
 
 
-def replacements(text: Column, seed: int, key: Column, variant: Column) -> dict[str, Column]:
-    """Per kind its replacement, null where ``text`` holds no such placeholder."""
+def replacements(
+    present: dict[str, Column], seed: int, key: Column, variant: Column
+) -> dict[str, Column]:
+    """Per kind its replacement, null where the record holds no such placeholder."""
     return {
-        kind: F.when(text.contains(token), _replacement(kind, seed, key, variant))
-        for kind, token in PLACEHOLDERS.items()
+        kind: F.when(present[kind], _replacement(kind, seed, key, variant)) for kind in PLACEHOLDERS
     }
 
 
-def substitute(text: Column, values: dict[str, Column]) -> Column:
-    """Replace each placeholder by the value of its kind; null values leave it alone."""
+def presence(*texts: Column) -> dict[str, Column]:
+    """Per kind whether any of the texts holds its placeholder."""
+    found = {}
     for kind, token in PLACEHOLDERS.items():
-        value = values[kind]
-        text = F.when(value.isNull(), text).otherwise(F.replace(text, F.lit(token), value))
-    return text
-
-
-def has_placeholder(text: Column) -> Column:
-    found = F.lit(False)
-    for token in PLACEHOLDERS.values():
-        found = found | text.contains(token)
+        held = F.lit(False)
+        for text in texts:
+            held = held | F.coalesce(text.contains(token), F.lit(False))
+        found[kind] = held
     return found
 
 
-# Look-alikes; "m" turns into two letters, every other character has none.
-LOOKALIKE_FROM = "0O1lI5S8BG"
-LOOKALIKE_TO = "O0l11S5B86"
-CHUNK = 32
+_TOKENS = "|".join(t.replace("[", r"\[").replace("]", r"\]") for t in PLACEHOLDERS.values())
 
 
-def add_noise(text: Column, rate: float, *key: Column | int) -> Column:
-    """Drop, swap for a look-alike or double each letter or digit with probability ``rate``.
+def pieces(text: Column) -> Column:
+    """The text as an array of placeholders and the stretches between them.
 
-    At a low rate nearly every run of 32 characters stays as it is, so each run
-    takes one draw: the place of its first hit, geometrically distributed, which
-    mostly lies beyond the run.  Only runs with a hit are taken apart, and the
-    characters after the hit then have draws of their own.  The outcome has the
-    same distribution as one draw per character.
+    Joined again the pieces give the text.  Done once per record, so that a
+    variant only fills and joins.
     """
-    if rate <= 0:
-        return text
-    miss = math.log1p(-rate) if rate < 1 else -math.inf
-    touched = 1.0 - math.exp(CHUNK * miss)
-
-    def mutate(char: Column, kind: Column) -> Column:
-        swapped = F.when(char == "m", "rn").otherwise(
-            F.translate(char, LOOKALIKE_FROM, LOOKALIKE_TO)
-        )
-        changed = F.when(kind < 1 / 3, "").when(kind < 2 / 3, swapped).otherwise(F.concat(char, char))
-        return F.when(char.rlike(r"[\p{L}\p{N}]"), changed).otherwise(char)
-
-    def rework(chunk: Column, i: Column) -> Column:
-        first_draw = unit(*key, i)
-        at = F.lit(0) if rate >= 1 else F.least(
-            F.floor(F.log1p(-first_draw) / F.lit(miss)), F.lit(CHUNK - 1)
-        )
-
-        def one(char: Column, j: Column) -> Column:
-            hit = (j == at) | ((j > at) & (unit(*key, i, j) < rate))
-            return F.when(hit, mutate(char, unit(*key, i, j, F.lit(1)))).otherwise(char)
-
-        reworked = F.array_join(F.transform(F.split(chunk, ""), one), "")
-        return F.when(first_draw < touched, reworked).otherwise(chunk)
-
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    return F.array_join(F.transform(chunks, rework), "")
+    return F.regexp_extract_all(text, F.lit(rf"{_TOKENS}|[^\[]+|\["), F.lit(0))
+
+
+def fill(parts: Column, values: dict[str, Column]) -> Column:
+    """Join pieces with each placeholder replaced by the value of its kind."""
+
+    def one(piece: Column) -> Column:
+        value = piece
+        for kind, token in PLACEHOLDERS.items():
+            value = F.when(piece == token, values[kind]).otherwise(value)
+        return F.when(piece.startswith("["), value).otherwise(piece)
+
+    return F.array_join(F.transform(parts, one), "")
+
+
+def has_placeholder(text: Column) -> Column:
+    return F.coalesce(text.rlike(_TOKENS), F.lit(False))

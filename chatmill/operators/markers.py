@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.functions.text import strip
 from chatmill.session import materialise
 
-#: Up to this many markers every text is compared with a broadcast list.
+#: Up to this many markers the list travels inside the filter expression.
 LIST_LIMIT = 2_000
 #: Marker pieces used as join keys beyond that, longest usable first.
-GRAM_SIZES = (12, 6, 3, 1)
+GRAM_SIZES = (8, 4, 2, 1)
 
 
 def clean_markers(lines: DataFrame, column: str = "marker") -> DataFrame:
@@ -20,18 +24,63 @@ def clean_markers(lines: DataFrame, column: str = "marker") -> DataFrame:
     return trimmed.where(F.col("marker") != "").distinct()
 
 
+def flag_containing(
+    texts: DataFrame, text: Column, markers: DataFrame, flag: str, limit: int = LIST_LIMIT
+) -> DataFrame:
+    """Add the boolean ``flag``: does ``text`` contain at least one marker?
+
+    Up to ``limit`` markers travel inside the expression itself and nothing is
+    joined; beyond it ``texts`` needs a unique ``rec_id`` and the match is an
+    equi-join.
+    """
+    listed = [row[0] for row in markers.select("marker").limit(limit + 1).collect()]
+    if len(listed) <= limit:
+        return texts.withColumn(flag, F.coalesce(contains_any(text, listed), F.lit(False)))
+    hits = matching_ids(texts.select("rec_id", text.alias("text")), markers)
+    return texts.join(hits.withColumn(flag, F.lit(True)), "rec_id", "left").withColumn(
+        flag, F.coalesce(flag, F.lit(False))
+    )
+
+
 def containing(
     texts: DataFrame, text: Column, markers: DataFrame, limit: int = LIST_LIMIT
 ) -> DataFrame:
-    """Rows of ``texts`` whose ``text`` contains at least one marker (each row once).
+    """Rows of ``texts`` whose ``text`` contains at least one marker (each row once)."""
+    return flag_containing(texts, text, markers, "_hit", limit).where("_hit").drop("_hit")
+
+
+def contains_any(text: Column, markers: Sequence[str]) -> Column:
+    """Whether the text contains one of a short list of markers.
 
-    ``texts`` needs a unique ``rec_id`` for lists longer than ``limit``.
+    The distinct pieces of the text are intersected with one piece per marker
+    (a hash lookup each); whole markers are compared only for pieces in common.
     """
-    few = markers.limit(limit + 1).count() <= limit
-    if few:
-        return texts.join(F.broadcast(markers), text.contains(F.col("marker")), "left_semi")
-    hits = matching_ids(texts.select("rec_id", text.alias("text")), markers)
-    return texts.join(hits, "rec_id", "left_semi")
+    shared = Counter(g for m in markers for g in set(_cut(m)))
+    by_size: dict[int, dict[str, list[str]]] = {}
+    for marker in markers:
+        gram = min(_cut(marker), key=lambda g: (shared[g], g))
+        by_size.setdefault(len(gram), {}).setdefault(gram, []).append(marker)
+    found = F.lit(False)
+    for size, owners in by_size.items():
+        # Constants, spelled as JSON: one expression instead of one per marker.
+        grams = F.from_json(F.lit(json.dumps(list(owners))), "array<string>")
+        whole = F.from_json(F.lit(json.dumps(owners)), "map<string, array<string>>")
+        common = F.array_intersect(_pieces(text, size), grams)
+        found = found | F.exists(
+            common, lambda g: F.exists(F.element_at(whole, g), lambda m: text.contains(m))
+        )
+    return found
+
+
+def _cut(marker: str) -> list[str]:
+    """Pieces of a marker in the largest size it has."""
+    size = next(s for s in GRAM_SIZES if s <= len(marker))
+    return [marker[i : i + size] for i in range(len(marker) - size + 1)]
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """All overlapping pieces of ``size`` characters; one regex pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def matching_ids(texts: DataFrame, markers: DataFrame) -> DataFrame:
@@ -70,9 +119,8 @@ def _with_size(markers: DataFrame) -> DataFrame:
 
 
 def _grams(text: Column, size: Column) -> Column:
-    """All overlapping pieces of ``size`` characters; one regex pass over the text."""
-    result = None
-    for s in GRAM_SIZES:
-        found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{s}}}))"), F.lit(1))
-        result = F.when(size == s, found) if result is None else result.when(size == s, found)
+    """Pieces of the size given per row."""
+    result = F.when(size == GRAM_SIZES[0], _pieces(text, GRAM_SIZES[0]))
+    for s in GRAM_SIZES[1:]:
+        result = result.when(size == s, _pieces(text, s))
     return result

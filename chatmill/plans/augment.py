@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatmill.functions import placeholders as ph
 from chatmill.functions.answers import json_ok, read_answer
+from chatmill.functions.noise import add_noise
 from chatmill.operators.chat import canonical
 from chatmill.operators.scoring import CLASS_PATH
 
@@ -46,29 +47,48 @@ def fan_out(records: DataFrame, n_variants: Column) -> DataFrame:
     return records.withColumn("variant", F.explode(F.sequence(F.lit(0), n_variants)))
 
 
-def substitute_variants(fanned: DataFrame, seed: int = 42, key: str = "rec_id") -> DataFrame:
-    """Replace placeholders in user and answer; the original stays untouched."""
-    both = F.concat_ws("\n", "user_text", "answer")
-    drawn = ph.replacements(both, seed, F.col(key), F.col("variant"))
-    named = {f"_{kind}": F.when(F.col("variant") > 0, value) for kind, value in drawn.items()}
-    values = {kind: F.col(f"_{kind}") for kind in drawn}
-    return (
-        fanned.withColumns(named)
-        .withColumns({c: ph.substitute(F.col(c), values) for c in ("user_text", "answer")})
-        .drop(*named)
-    )
-
-
-def noisy_variants(
-    fanned: DataFrame, rate: float = 0.003, seed: int = 42, key: str = "rec_id"
+def fill_variants(
+    records: DataFrame,
+    n_variants: Column,
+    seed: int = 42,
+    key: str = "rec_id",
 ) -> DataFrame:
-    """Add noise to the user text of variants."""
-    if rate <= 0:
-        return fanned
-    noisy = ph.add_noise(F.col("user_text"), rate, F.lit(seed), F.col(key), F.col("variant"))
-    return fanned.withColumn(
-        "user_text", F.when(F.col("variant") > 0, noisy).otherwise(F.col("user_text"))
+    """Fan out and write each variant's ``user_text`` and ``answer``.
+
+    Texts are cut at their placeholders once per record, before the fan-out; a
+    variant draws one value per kind, used on both sides, and joins the pieces.
+    The original (variant 0) stays as it is.
+    """
+    sides = ("user_text", "answer")
+    present = ph.presence(*[F.col(c) for c in sides])
+    cut = records.withColumns(
+        {
+            **{c: ph.pieces(F.col(c)) for c in sides},
+            **{f"_has_{kind}": held for kind, held in present.items()},
+        }
     )
+    fanned = fan_out(cut, n_variants)
+    flags = {kind: F.col(f"_has_{kind}") & (F.col("variant") > 0) for kind in present}
+    drawn = ph.replacements(flags, seed, F.col(key), F.col("variant"))
+    named = fanned.withColumns({f"_{kind}": value for kind, value in drawn.items()})
+    values = {kind: F.col(f"_{kind}") for kind in drawn}
+    original = F.col("variant") == 0
+    return named.withColumns(
+        {
+            c: F.when(original, F.array_join(c, "")).otherwise(ph.fill(F.col(c), values))
+            for c in sides
+        }
+    ).drop(*[f"_{k}" for k in drawn], *[f"_has_{k}" for k in present])
+
+
+def noisy_user(rate: float, seed: int = 42, key: str = "rec_id") -> Column:
+    """User text with noise on variants, untouched on originals."""
+    user = F.col("user_text")
+    if rate <= 0:
+        return user
+    variant = F.col("variant")
+    noisy = add_noise(F.when(variant > 0, user), rate, F.lit(seed), F.col(key), variant)
+    return F.coalesce(noisy, user)
 
 
 def variants(
@@ -87,9 +107,12 @@ def variants(
     marked = records.withColumn(
         "_retest", ~F.col("answer_ok") & ph.has_placeholder(F.col("answer"))
     )
-    made = noisy_variants(substitute_variants(fan_out(marked, n_variants), seed, key), noise, seed, key)
+    made = fill_variants(marked, n_variants, seed, key=key)
     recheck = F.when(F.col("_retest") & (F.col("variant") > 0), F.col("answer"))
-    checked = made.withColumn("_valid", json_ok(recheck))
+    # Both Arrow functions sit in one projection, hence in one exchange with Python.
+    checked = made.withColumns(
+        {"_valid": json_ok(recheck), "user_text": noisy_user(noise, seed, key)}
+    )
     keep = (F.col("variant") == 0) | F.coalesce(F.col("_valid"), F.col("answer_ok"))
     return checked.where(keep).drop("_retest", "_valid", "answer_ok")
 

@@ -85,24 +85,26 @@ def anchors(cases: DataFrame, per_class: int = 6, failure_class: str = FAILURE_C
     return ranking.top_per_group(narrow, ["gold_class"], [F.col("case_pos")], per_class)
 
 
-def donors(cases: DataFrame, failure_class: str = FAILURE_CLASS) -> DataFrame:
-    """``(gold_class, donor)``: the first passing prediction of each class.
+def anchor_cases(
+    cases: DataFrame, per_class: int = 6, failure_class: str = FAILURE_CLASS
+) -> DataFrame:
+    """``(case_pos, gold_class, input, answer, row_no)`` of the anchors, materialised.
 
-    The first position per class is found on short columns, then only the
-    winning cases are read again for their answer.
+    Positions are chosen on short columns; only the chosen cases, K per class,
+    are read again for their text and answer.
     """
-    first = (
-        categorise(cases, failure_class)
-        .where(F.col("category") == "anchor")
-        .groupBy("gold_class")
-        .agg(F.min("case_pos").alias("case_pos"))
-    )
-    chosen = broadcast_if_small(materialise(first).select("case_pos"))
-    winners = cases.join(chosen, "case_pos", "left_semi")
+    chosen = materialise(anchors(cases, per_class, failure_class).select("case_pos", "row_no"))
+    winners = cases.join(broadcast_if_small(chosen), "case_pos")
+    scored = scoring.score_asserts(winners, skip_errors=False, keep_json=True)
     return materialise(
-        scoring.score_asserts(winners, skip_errors=False, keep_json=True).select(
-            "gold_class", F.col("pred_json").alias("donor")
-        )
+        scored.select("case_pos", "gold_class", "input", F.col("pred_json").alias("answer"), "row_no")
+    )
+
+
+def donors(anchor_table: DataFrame) -> DataFrame:
+    """``(gold_class, donor)``: the first passing prediction of each class."""
+    return anchor_table.where(F.col("row_no") == 1).select(
+        "gold_class", F.col("answer").alias("donor")
     )
 
 
@@ -153,18 +155,16 @@ def focus(
     Failures are decided and corrected in their own row.  Anchors are few (K per
     class): their positions are chosen first and only those cases read again.
     """
-    donor_table = donors(cases, failure_class).where(F.col("gold_class") == failure_class)
+    table = anchor_cases(cases, max(anchors_per_class, 1), failure_class)
+    donor_table = donors(table).where(F.col("gold_class") == failure_class)
     failing = categorise(cases, failure_class, keep_json=True).where(F.col("category") == "failure")
     fixed = corrected(failing, donor_table, defaults).select(
         "case_pos", "input", F.lit("failure").alias("kind"), F.col("gold_class").alias("cls"),
         F.col("corrected").alias("answer"),
     )
-    picked = broadcast_if_small(materialise(anchors(cases, anchors_per_class, failure_class)).select("case_pos"))
-    kept = scoring.score_asserts(
-        cases.join(picked, "case_pos", "left_semi"), skip_errors=False, keep_json=True
-    ).select(
+    kept = table.where(F.col("row_no") <= anchors_per_class).select(
         "case_pos", "input", F.lit("anchor").alias("kind"), F.col("gold_class").alias("cls"),
-        patch_json(F.col("pred_json"), F.array().cast(_EDITS)).alias("answer"),
+        patch_json(F.col("answer"), F.array().cast(_EDITS)).alias("answer"),
     )
     seeds = fixed.unionByName(kept).select(
         F.col("case_pos").alias("rec_id"),

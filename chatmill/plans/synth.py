@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chatmill.functions.answers import patch_json, read_answer
 from chatmill.functions.text import first_fence, or_empty
 from chatmill.operators.chat import canonical
-from chatmill.operators.markers import LIST_LIMIT, containing
+from chatmill.operators.markers import LIST_LIMIT, flag_containing
 from chatmill.operators.scoring import CLASS_PATH
 
 
@@ -29,13 +29,9 @@ def work_list(
 ) -> DataFrame:
     """``(rec_id, is_failure, n_variants)``: seeds with a marker anywhere get more variants."""
     record = F.concat_ws("\n", "system", "user_text", "answer")
-    failing = containing(seeds, record, markers, limit).select("rec_id", F.lit(True).alias("_hit"))
-    flagged = seeds.select("rec_id").join(failing, "rec_id", "left")
-    is_failure = F.coalesce("_hit", F.lit(False))
+    flagged = flag_containing(seeds, record, markers, "is_failure", limit)
     return flagged.select(
-        "rec_id",
-        is_failure.alias("is_failure"),
-        F.when(is_failure, failure).otherwise(normal).alias("n_variants"),
+        "rec_id", "is_failure", F.when(F.col("is_failure"), failure).otherwise(normal).alias("n_variants")
     )
 
 

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows are multiplied after some shuffles: a small partition is still worth a core.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Texts run to hundreds of kilobytes: small Arrow batches keep Python workers small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),

@@ -17,6 +17,18 @@ RESULT_SCHEMA = (
 )
 
 
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A parquet table, its rows spread by ``key`` when it has too few splits for the cores.
+
+    A small file arrives as one task however many cores wait, and the jobs here
+    multiply rows.  Below two splits per core the input is small enough to be
+    shuffled for that; larger tables are read as they lie.
+    """
+    df = spark.read.parquet(path)
+    wanted = 2 * spark.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def tidy_cases(cases: DataFrame, limit: int | None = None) -> DataFrame:
     """Named cases with empty text for null cells; the limit counts unnamed rows too."""
     limited = first_n(cases, limit, "case_pos") if limit else cases

@@ -8,8 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chatmill.sources.tables import read_spread
+
 BASE = ("documents", "labels", "conversations", "events", "embeddings", "benchmark")
 
+#: Tables of long texts, whose jobs do much work per row, and the key that spreads them.
+SPREAD = {"documents": "doc_id", "conversations": "conv_id"}
+
 STATEMENTS: dict[str, str] = {}
 USES: dict[str, tuple[str, ...]] = {"chat": ("conversations",)}
 
@@ -197,7 +202,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table over the parquet files of ``sf_dir``."""
     for step in _needed(name, []):
         if step in BASE:
-            df = spark.read.parquet(f"{sf_dir}/{step}.parquet")
+            path = f"{sf_dir}/{step}.parquet"
+            key = SPREAD.get(step)
+            df = read_spread(spark, path, key) if key else spark.read.parquet(path)
         else:
             df = spark.sql(CHAT["spark"] if step == "chat" else STATEMENTS[step])
         df.createOrReplaceTempView(step)

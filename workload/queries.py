@@ -204,8 +204,7 @@ def augment_fanout(rows):
 @query("sft")
 def augment_substitute(rows):
     classed = augment.with_class(rows.select("rec_id", "user_text", "answer"))
-    fanned = augment.fan_out(classed, augment.variant_count(F.col("cls")))
-    return augment.substitute_variants(fanned, SEED).select(
+    return augment.fill_variants(classed, augment.variant_count(F.col("cls")), SEED).select(
         "rec_id", "variant", "user_text", "answer"
     )
 
@@ -214,7 +213,7 @@ def augment_substitute(rows):
 def augment_noise(rows):
     classed = augment.with_class(rows.select("rec_id", "user_text", "answer"))
     fanned = augment.fan_out(classed, augment.variant_count(F.col("cls")))
-    return augment.noisy_variants(fanned, 0.003, SEED).select("rec_id", "variant", "user_text")
+    return fanned.select("rec_id", "variant", augment.noisy_user(0.003, SEED).alias("user_text"))
 
 
 @query("sft_raw")
@@ -232,6 +231,12 @@ def augment_by_class(rows):
     return augment.augment(rows).by_class
 
 
+@query("sft")
+def augment_dataset(rows):
+    """The full job, substitution and noise included."""
+    return augment.augment(rows).data
+
+
 # -- mix -------------------------------------------------------------------------------
 
 
@@ -405,13 +410,20 @@ def focus_donor(cases):
     scored = focus.categorise(cases, keep_json=True).where(
         F.col("gold_class").isNotNull() & ~F.col("pred_ok")
     )
-    return focus.with_base(scored, focus.donors(cases)).select("case_pos", "gold_class", "base")
+    return focus.with_base(scored, focus.donors(focus.anchor_cases(cases, 1))).select("case_pos", "gold_class", "base")
 
 
 @query("backtest")
 def focus_corrected(cases):
     failing = focus.categorise(cases, keep_json=True).where(F.col("category") == "failure")
-    return focus.corrected(failing, focus.donors(cases)).select("case_pos", "gold_class", "corrected")
+    donors = focus.donors(focus.anchor_cases(cases, 1))
+    return focus.corrected(failing, donors).select("case_pos", "gold_class", "corrected")
+
+
+@query("backtest")
+def focus_dataset(cases):
+    """The full job, substitution and noise included."""
+    return focus.focus(cases, SYSTEM).data
 
 
 @query("backtest")
