@@ -4,6 +4,10 @@ Spark's own JSON readers are laxer than the rules the jobs must follow (they
 take trailing text, keep the first of duplicate keys, print 1.0 as 1), so three
 small Arrow functions apply Python's rules: validity, reading, patching.  All
 text preparation around them is native, and they return only short values.
+
+They are declared non-deterministic although they are not: that keeps the
+optimizer from copying a filter on their result below the projection that
+computes it, which would run them twice per row.
 """
 
 from __future__ import annotations
@@ -186,7 +190,7 @@ def _patcher(style: str):
 
 def json_ok(text: Column) -> Column:
     """Whether the text is one JSON value by Python's rules; null for null."""
-    return _json_ok(text)
+    return _json_ok.asNondeterministic()(text)
 
 
 #: mode -> (native preparation, scan for the last object instead of parsing the whole text)
@@ -209,8 +213,8 @@ def read_answer(
     """
     prepare, scan = MODES[mode]
     if isinstance(paths, Column):
-        return _reader(None, scan, keep_json)(prepare(text), paths)
-    return _reader(tuple(paths), scan, keep_json)(prepare(text))
+        return _reader(None, scan, keep_json).asNondeterministic()(prepare(text), paths)
+    return _reader(tuple(paths), scan, keep_json).asNondeterministic()(prepare(text))
 
 
 def patch_json(text: Column, edits: Column, style: str = "plain") -> Column:
@@ -218,4 +222,4 @@ def patch_json(text: Column, edits: Column, style: str = "plain") -> Column:
 
     The value is written out again in the given style, so an empty list normalises it.
     """
-    return _patcher(style)(text, edits)
+    return _patcher(style).asNondeterministic()(text, edits)

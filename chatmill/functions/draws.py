@@ -1,8 +1,4 @@
-"""Repeatable random draws keyed by record, independent of partitioning.
-
-A draw is 32 bits cut from the MD5 of ``seed:key:...``; one digest yields four.
-The same value comes out on any cluster, any retry and in any SQL engine.
-"""
+"""Repeatable random order: digests keyed by record, independent of partitioning."""
 
 from __future__ import annotations
 
@@ -14,20 +10,3 @@ def digest(*parts: Column | int | str) -> Column:
     """MD5 hex of the parts joined by colons."""
     as_text = [(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]
     return F.md5(F.concat_ws(":", *as_text))
-
-
-def draw(hexdigest: Column, slot: int = 0) -> Column:
-    """The ``slot``-th (0..3) 32-bit draw of a digest, as a long."""
-    return F.conv(F.substring(hexdigest, 1 + 8 * slot, 8), 16, 10).cast("long")
-
-
-def between(hexdigest: Column, slot: int, low: int, high: int) -> Column:
-    """Whole number in ``low..high``, both included."""
-    return draw(hexdigest, slot) % (high - low + 1) + low
-
-
-def pick(hexdigest: Column, slot: int, values: list[str]) -> Column:
-    """One of ``values``, which hold no line breaks."""
-    pool = F.split(F.lit("\n".join(values)), "\n")  # folded to a constant array
-    return F.element_at(pool, (draw(hexdigest, slot) % len(values) + 1).cast("int"))
-

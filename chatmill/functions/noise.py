@@ -105,4 +105,5 @@ def add_noise(text: Column, rate: float, *key: Column) -> Column:
         drawn = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         return pa.array(noisy_texts(texts.to_pylist(), drawn, rate), pa.string())
 
-    return noisy(text, F.xxhash64(*key))
+    # See chatmill.functions.answers on the declaration.
+    return noisy.asNondeterministic()(text, F.xxhash64(*key))

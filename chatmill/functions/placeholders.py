@@ -1,12 +1,15 @@
-"""Placeholder substitution as native, repeatable column expressions."""
+"""Placeholder substitution as native, repeatable column expressions.
+
+A draw is 32 bits cut from the MD5 of ``seed:record:variant:kind``; one digest
+yields up to four.  The same values come out on any cluster, after any retry and
+in any SQL engine.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatmill.functions.draws import between, digest, pick
-
 # The placeholders, in the order they are replaced.
 PLACEHOLDERS = {
     "person": "[PRIVATE_PERSON]",
@@ -40,45 +43,58 @@ CITIES = [
 MAIL_DOMAINS = ["example.com", "mail.com", "inbox.org", "fastmail.net"]
 
 
-def _two(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 2, "0")
-
-
-def _replacement(kind: str, seed: int, key: Column, variant: Column) -> Column:
-    """Value of one placeholder kind for one variant of one record."""
-    d = digest(seed, key, variant, kind)
-    if kind == "person":
-        return F.concat_ws(" ", pick(d, 0, FIRST_NAMES), pick(d, 1, LAST_NAMES))
-    if kind == "date":
-        month, day, year = between(d, 0, 1, 12), between(d, 1, 1, 28), between(d, 2, 2024, 2025)
-        return F.concat_ws("-", _two(month), _two(day), year.cast("string"))
-    if kind == "phone":
-        area, office, line = between(d, 0, 200, 999), between(d, 1, 200, 999), between(d, 2, 1000, 9999)
-        return F.concat(
-            F.lit("("), area.cast("string"), F.lit(") "), office.cast("string"), F.lit("-"),
-            line.cast("string"),
-        )
-    if kind == "email":
-        name = F.lower(F.concat_ws(".", pick(d, 0, FIRST_NAMES), pick(d, 1, LAST_NAMES)))
-        return F.concat_ws("@", name, pick(d, 2, MAIL_DOMAINS))
-    if kind == "address":
-        number = between(d, 0, 100, 9999).cast("string")
-        return F.concat(number, F.lit(" "), pick(d, 1, STREETS), F.lit(", "), pick(d, 2, CITIES))
-    # account: 8 to 12 digits cut from two zero-padded draws
-    digits = F.concat(
-        F.lpad((between(d, 0, 0, 999_999)).cast("string"), 6, "0"),
-        F.lpad((between(d, 1, 0, 999_999)).cast("string"), 6, "0"),
-    )
-    return F.left(digits, between(d, 2, 8, 12).cast("int"))
+def _draw(slot: int) -> str:
+    return f"cast(conv(substring(d, {1 + 8 * slot}, 8), 16, 10) AS BIGINT)"
+
+
+def _between(slot: int, low: int, high: int) -> str:
+    return f"({_draw(slot)} % {high - low + 1} + {low})"
+
+
+def _pick(slot: int, values: list[str]) -> str:
+    pool = "split('" + "|".join(values) + "', '[|]')"  # folded to a constant array
+    return f"element_at({pool}, cast({_draw(slot)} % {len(values)} + 1 AS INT))"
+
+
+def _padded(number: str, width: int) -> str:
+    return f"lpad(cast({number} AS STRING), {width}, '0')"
 
 
-def replacements(
-    present: dict[str, Column], seed: int, key: Column, variant: Column
-) -> dict[str, Column]:
-    """Per kind its replacement, null where the record holds no such placeholder."""
-    return {
-        kind: F.when(present[kind], _replacement(kind, seed, key, variant)) for kind in PLACEHOLDERS
+# Value of each kind as SQL over ``d``, the digest of (seed, record, variant, kind).
+_VALUE = {
+    "person": f"concat_ws(' ', {_pick(0, FIRST_NAMES)}, {_pick(1, LAST_NAMES)})",
+    "date": f"concat_ws('-', {_padded(_between(0, 1, 12), 2)}, {_padded(_between(1, 1, 28), 2)}, "
+    f"{_between(2, 2024, 2025)})",
+    "phone": f"concat('(', {_between(0, 200, 999)}, ') ', {_between(1, 200, 999)}, '-', "
+    f"{_between(2, 1000, 9999)})",
+    "email": f"concat_ws('@', lower(concat_ws('.', {_pick(0, FIRST_NAMES)}, {_pick(1, LAST_NAMES)})), "
+    f"{_pick(2, MAIL_DOMAINS)})",
+    "address": f"concat({_between(0, 100, 9999)}, ' ', {_pick(1, STREETS)}, ', ', {_pick(2, CITIES)})",
+    # 8 to 12 digits cut from two zero-padded draws
+    "account": f"left(concat({_padded(_between(0, 0, 999_999), 6)}, {_padded(_between(1, 0, 999_999), 6)}), "
+    f"cast({_between(2, 8, 12)} AS INT))",
+}
+
+
+def with_values(fanned: DataFrame, seed: int, key: str, variant: str = "variant") -> DataFrame:
+    """Add one column per kind: its value for this variant, null where there is no such
+    placeholder (``_has_<kind>`` is false) or the row is an original."""
+    digests = {
+        f"_d_{kind}": F.expr(
+            f"CASE WHEN _has_{kind} AND {variant} > 0 "
+            f"THEN md5(concat_ws(':', {seed}, {key}, {variant}, '{kind}')) END"
+        )
+        for kind in PLACEHOLDERS
+    }
+    values = {
+        f"_{kind}": F.expr(sql.replace("substring(d,", f"substring(_d_{kind},"))
+        for kind, sql in _VALUE.items()
     }
+    # concat_ws skips nulls, hence the guard on the digest.
+    guarded = {
+        name: F.when(F.col(name.replace("_", "_d_", 1)).isNotNull(), v) for name, v in values.items()
+    }
+    return fanned.withColumns(digests).withColumns(guarded).drop(*digests)
 
 
 def presence(*texts: Column) -> dict[str, Column]:
@@ -104,16 +120,13 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"{_TOKENS}|[^\[]+|\["), F.lit(0))
 
 
-def fill(parts: Column, values: dict[str, Column]) -> Column:
-    """Join pieces with each placeholder replaced by the value of its kind."""
-
-    def one(piece: Column) -> Column:
-        value = piece
-        for kind, token in PLACEHOLDERS.items():
-            value = F.when(piece == token, values[kind]).otherwise(value)
-        return F.when(piece.startswith("["), value).otherwise(piece)
-
-    return F.array_join(F.transform(parts, one), "")
+def fill(parts: str) -> Column:
+    """Join a column of pieces with each placeholder replaced by the value of its kind."""
+    cases = " ".join(f"WHEN '{token}' THEN _{kind}" for kind, token in PLACEHOLDERS.items())
+    return F.expr(
+        f"array_join(transform({parts}, p -> CASE WHEN startswith(p, '[') "
+        f"THEN CASE p {cases} ELSE p END ELSE p END), '')"
+    )
 
 
 def has_placeholder(text: Column) -> Column:

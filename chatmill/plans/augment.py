@@ -67,18 +67,11 @@ def fill_variants(
             **{f"_has_{kind}": held for kind, held in present.items()},
         }
     )
-    fanned = fan_out(cut, n_variants)
-    flags = {kind: F.col(f"_has_{kind}") & (F.col("variant") > 0) for kind in present}
-    drawn = ph.replacements(flags, seed, F.col(key), F.col("variant"))
-    named = fanned.withColumns({f"_{kind}": value for kind, value in drawn.items()})
-    values = {kind: F.col(f"_{kind}") for kind in drawn}
+    drawn = ph.with_values(fan_out(cut, n_variants), seed, key)
     original = F.col("variant") == 0
-    return named.withColumns(
-        {
-            c: F.when(original, F.array_join(c, "")).otherwise(ph.fill(F.col(c), values))
-            for c in sides
-        }
-    ).drop(*[f"_{k}" for k in drawn], *[f"_has_{k}" for k in present])
+    return drawn.withColumns(
+        {c: F.when(original, F.array_join(c, "")).otherwise(ph.fill(c)) for c in sides}
+    ).drop(*[f"_{k}" for k in present], *[f"_has_{k}" for k in present])
 
 
 def noisy_user(rate: float, seed: int = 42, key: str = "rec_id") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -116,13 +117,9 @@ def with_base(scored: DataFrame, donor_table: DataFrame) -> DataFrame:
 
 def default_edits(gold: Column, defaults: Mapping[str, list[tuple[str, str]]] = CLASS_DEFAULTS) -> Column:
     """Edits of a class as an array; empty for a class without defaults."""
-    chain = F.array().cast(_EDITS)
-    for cls, pairs in defaults.items():
-        edits = F.array(
-            *[F.struct(F.lit(p).alias("path"), F.lit(v).alias("value")) for p, v in pairs]
-        )
-        chain = F.when(gold == cls, edits).otherwise(chain)
-    return chain
+    table = {c: [{"path": p, "value": v} for p, v in pairs] for c, pairs in defaults.items()}
+    constant = F.from_json(F.lit(json.dumps(table)), f"map<string, {_EDITS}>")
+    return F.coalesce(F.try_element_at(constant, gold), F.array().cast(_EDITS))
 
 
 def corrected(
