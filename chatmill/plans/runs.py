@@ -118,9 +118,8 @@ def compare_results(results: DataFrame) -> DataFrame:
     def shown(name: str) -> Column:
         if name not in results.columns:
             return F.lit("-").alias(name)
-        return F.coalesce(
-            F.format_string("%.2f", F.bround(F.col(name).cast("double"), 2)), F.lit("-")
-        ).alias(name)
+        text = F.format_string("%.2f", F.bround(F.col(name).cast("double"), 2))
+        return F.when(F.col(name).isNull(), "-").otherwise(text).alias(name)
 
     failed = F.coalesce("failed", F.lit(0)) if "failed" in results.columns else F.lit(0)
     concurrency = F.coalesce(F.col("max_concurrency").cast("string"), F.lit("-"))
