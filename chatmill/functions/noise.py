@@ -1,9 +1,9 @@
 """OCR-like noise: rare changes of single characters.
 
-Written natively this is one draw per character inside an array function, which
-Spark interprets; measured, that is ten times slower than jumping from change to
-change.  So this is an Arrow function: the gaps between changes are drawn for a
-whole batch with numpy, and Python touches only the characters that change.
+Written natively this is a draw per character (or per short run of characters)
+inside an array function, which Spark interprets.  Jumping from change to change
+is much cheaper, so this is an Arrow function: the gaps between changes are drawn
+for a whole batch with numpy, and Python touches only the characters that change.
 """
 
 from __future__ import annotations

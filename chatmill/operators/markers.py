@@ -100,7 +100,10 @@ def matching_ids(texts: DataFrame, markers: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("shared", "gram")).alias("best"))
         .select("marker", "size", F.col("best.gram").alias("gram"))
     )
-    sizes = F.array(*[F.lit(s) for s in GRAM_SIZES])
+    used = [row[0] for row in keyed.select("size").distinct().collect()]  # at most four sizes
+    if not used:
+        return texts.select("rec_id").limit(0)
+    sizes = F.array(*[F.lit(s) for s in used])
     text_pieces = texts.select("rec_id", "text", F.explode(sizes).alias("size")).select(
         "rec_id", "size", F.explode(F.array_distinct(_grams(F.col("text"), F.col("size")))).alias("gram")
     )

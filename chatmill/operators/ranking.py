@@ -76,11 +76,15 @@ def digest_cuts(df: DataFrame, key: str, fractions: Sequence[Column]) -> DataFra
         "_bucket", "t.cut", (F.col("t.at") - (F.col("_end") - F.col("_n")) + 1).alias("_nth")
     )
     # At most one row per requested fraction, hence safe to broadcast.
-    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
-    inside = keys.join(F.broadcast(spots.select("_bucket").distinct()), "_bucket", "left_semi")
-    found = inside.withColumn("_pos", nth).join(F.broadcast(spots), "_bucket").where(
-        F.col("_pos") == F.col("_nth")
+    few = F.broadcast(spots)
+    counted = (
+        keys.join(F.broadcast(spots.select("_bucket").distinct()), "_bucket", "left_semi")
+        .groupBy("_bucket", "_key")
+        .agg(F.count(F.lit(1)).alias("_copies"))
     )
+    inside = Window.partitionBy("_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    found = counted.withColumn("_through", F.sum("_copies").over(inside)).join(few, "_bucket")
+    found = found.where(F.col("_through") >= F.col("_nth"))
     columns = [
         F.min(F.when(F.col("cut") == i, F.col("_key"))).alias(f"cut_{i}")
         for i in range(len(fractions))

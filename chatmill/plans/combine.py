@@ -71,9 +71,10 @@ def split_exact(
     a, b = ratios[0], ratios[1]
     keyed = df.withColumn("_key", shuffle_key(seed, key))
     cuts = ranking.digest_cuts(keyed, "_key", [F.lit(float(a)), F.lit(float(a + b))])
+    pair = cuts.select(F.struct("cut_0", "cut_1")).scalar()  # one subquery, used twice
     past_all = F.lit("g")  # sorts after every hex digest
-    first = F.coalesce(cuts.select("cut_0").scalar(), past_all)
-    second = F.coalesce(cuts.select("cut_1").scalar(), past_all)
+    first = F.coalesce(pair["cut_0"], past_all)
+    second = F.coalesce(pair["cut_1"], past_all)
     name = F.when(F.col("_key") < first, "train").when(F.col("_key") < second, "val").otherwise("test")
     return keyed.withColumn("split", name).drop("_key")
 

@@ -39,15 +39,19 @@ def gate(variants: DataFrame, seeds: DataFrame, keep_label: bool = False) -> Dat
     """``outcome`` of each variant of a seed with a readable answer.
 
     Seeds and labels are read down to their class before the join, so only short
-    columns are shuffled unless the label itself is asked for.
+    columns are shuffled unless the texts themselves are asked for.  A seed with
+    a large share of all variants makes a skewed join, which the adaptive planner
+    splits on the variants' side.
     """
+    system = ["system"] if keep_label else []
     seed_side = (
         seeds.select(
             F.col("rec_id").alias("seed_id"),
+            *system,
             read_answer(F.col("answer"), [CLASS_PATH], "strict").alias("s"),
         )
         .where("s.ok")
-        .select("seed_id", F.col("s.vals")[0].alias("seed_class"))
+        .select("seed_id", *system, F.col("s.vals")[0].alias("seed_class"))
     )
     label = F.col("label_text")
     extra = [F.col("variant_text"), label] if keep_label else []
@@ -96,10 +100,9 @@ def synth_gate(variants: DataFrame, seeds: DataFrame) -> Gated:
         canonical(F.col("system"), F.col("user_text"), F.col("answer")).alias("messages"),
     )
     kept = gate(variants, seeds, keep_label=True).where(F.col("outcome") == "kept")
-    system = seeds.select(F.col("rec_id").alias("seed_id"), "system")
     no_edits = F.array().cast("array<struct<path: string, value: string>>")
     label = patch_json(first_fence(F.col("label_text")), no_edits, "indented")
-    new = kept.join(system, "seed_id").select(
+    new = kept.select(
         "seed_id",
         "variant",
         canonical(F.col("system"), F.col("variant_text"), label).alias("messages"),

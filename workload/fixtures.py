@@ -175,18 +175,24 @@ _define("bench_requests", ('events',), """
 """)
 
 
-#: Conversations as one row per chat; the two engines spell the collection differently.
-CHAT = {
-    "spark": """
+#: Tables the two engines spell differently.  Conversations become one row per chat;
+#: the four variants of a seed are exploded in Spark instead of cross joined.
+STATEMENTS["chat"] = """
+    SELECT conv_id AS rec_id, list({'role': role, 'content': text} ORDER BY turn) AS messages
+    FROM conversations GROUP BY conv_id
+"""
+_CROSS = "FROM sft CROSS JOIN (SELECT 1 AS variant UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) v"
+IN_SPARK = {
+    "chat": """
     SELECT conv_id AS rec_id, transform(array_sort(collect_list(struct(turn, role, text))),
            x -> struct(x.role AS role, x.text AS content)) AS messages
     FROM conversations GROUP BY conv_id
 """,
-    "oracle": """
-    SELECT conv_id AS rec_id, list({'role': role, 'content': text} ORDER BY turn) AS messages
-    FROM conversations GROUP BY conv_id
-""",
+    "variants": STATEMENTS["variants"].replace(
+        _CROSS, "FROM sft LATERAL VIEW explode(sequence(1, 4)) v AS variant"
+    ),
 }
+assert IN_SPARK["variants"] != STATEMENTS["variants"]
 
 
 def _needed(name: str, order: list[str]) -> list[str]:
@@ -206,7 +212,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             key = SPREAD.get(step)
             df = read_spread(spark, path, key) if key else spark.read.parquet(path)
         else:
-            df = spark.sql(CHAT["spark"] if step == "chat" else STATEMENTS[step])
+            df = spark.sql(IN_SPARK.get(step, STATEMENTS[step]))
         df.createOrReplaceTempView(step)
     return df
 
@@ -216,7 +222,5 @@ def prefix(*names: str) -> str:
     order: list[str] = []
     for name in names:
         _needed(name, order)
-    parts = [
-        f"{n} AS ({CHAT['oracle'] if n == 'chat' else STATEMENTS[n]})" for n in order if n not in BASE
-    ]
+    parts = [f"{n} AS ({STATEMENTS[n]})" for n in order if n not in BASE]
     return "WITH " + ",\n".join(parts)
