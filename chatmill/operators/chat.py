@@ -50,6 +50,12 @@ def positional(messages: Column) -> dict[str, Column]:
     }
 
 
+def triples(chats: DataFrame, messages: str = "messages") -> DataFrame:
+    """``(rec_id, system, user_text, answer)`` of the first three messages."""
+    parts = positional(F.col(messages))
+    return chats.select("rec_id", *[content.alias(name) for name, content in parts.items()])
+
+
 def longest_user(messages: Column) -> Column:
     """Length of the longest user message, 0 when there is none."""
     sizes = F.transform(

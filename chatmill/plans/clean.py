@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.functions import text as tx
@@ -73,17 +73,22 @@ def classify(
 
 
 
-def summarise(classified: DataFrame) -> DataFrame:
-    """One row: kept, dropped by cause, prefixes and fences stripped."""
+def counters() -> list[Column]:
+    """Kept, dropped by cause, prefixes and fences stripped: aggregates over classified rows."""
     reason = F.col("drop_reason")
-    return classified.agg(
+    return [
         F.count_if(reason.isNull()).alias("kept"),
         F.count_if(reason == "oversize").alias("dropped_oversize"),
         F.count_if(reason.isin("missing_role", "bad_json")).alias("dropped_invalid"),
         F.count_if(reason == "no_prefix").alias("dropped_no_prefix"),
         F.count_if("prefix_stripped").alias("prefixes_stripped"),
         F.count_if("fence_stripped").alias("fences_stripped"),
-    )
+    ]
+
+
+def summarise(classified: DataFrame) -> DataFrame:
+    """The counters as one row."""
+    return classified.agg(*counters())
 
 
 def reason_counts(classified: DataFrame) -> DataFrame:

@@ -25,15 +25,16 @@ def geometry(detections: DataFrame) -> DataFrame:
     is_points = box.rlike(r"^\s*\[\s*\[")
     points = F.from_json(F.when(is_points, box), "array<array<double>>")
     flat = F.from_json(F.when(~is_points, box), "array<double>")
-    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
-    x0, y0, x1, y1 = (flat[i] for i in range(4))
+    xs = F.transform(points, lambda p: F.get(p, F.lit(0)))
+    ys = F.transform(points, lambda p: F.get(p, F.lit(1)))
+    x0, y0, x1, y1 = (F.get(flat, F.lit(i)) for i in range(4))  # null where a box is cut short
     corners = F.array(_point(x0, y0), _point(x0, y1), _point(x1, y1), _point(x1, y0))
     extremes = F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
     return detections.withColumns(
         {
             "bbox": F.when(is_points, extremes).otherwise(flat),
             "polygon": F.when(
-                is_points, F.transform(points, lambda p: _point(p[0], p[1]))
+                is_points, F.transform(points, lambda p: _point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
             ).otherwise(corners),
         }
     )
@@ -57,8 +58,8 @@ def per_image(
     return shaped.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("detections"),
         F.max("score").alias("max_score"),
-        F.min(F.col("bbox")[0]).alias("xmin"),
-        F.min(F.col("bbox")[1]).alias("ymin"),
-        F.max(F.col("bbox")[2]).alias("xmax"),
-        F.max(F.col("bbox")[3]).alias("ymax"),
+        F.min(F.get("bbox", F.lit(0))).alias("xmin"),
+        F.min(F.get("bbox", F.lit(1))).alias("ymin"),
+        F.max(F.get("bbox", F.lit(2))).alias("xmax"),
+        F.max(F.get("bbox", F.lit(3))).alias("ymax"),
     )

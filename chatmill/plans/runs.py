@@ -137,7 +137,7 @@ def benchmark(requests: DataFrame) -> DataFrame:
     good = requests.where(F.col("failed") == 0)
     span = (F.unix_micros(F.max(F.col("ts").cast("timestamp")))
             - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6
-    tpot = (F.col("e2e_ms") - F.col("ttft_ms")) / (F.col("output_tokens") - 1)
+    tpot = F.try_divide(F.col("e2e_ms") - F.col("ttft_ms"), F.col("output_tokens") - 1)
     ok = F.col("failed") == 0
     totals = requests.groupBy(F.col("concurrency").alias("max_concurrency")).agg(
         F.count_if(ok).alias("completed"),
