@@ -61,8 +61,8 @@ def leading_fence(text: Column) -> Column:
 def drop_reasoning(text: Column) -> Column:
     """Remove complete ``<think>`` blocks, then everything from an unclosed one on."""
     closed = F.regexp_replace(text, rf"(?s)<think>.*?</think>[{WS_CLASS}]*", "")
-    at = F.instr(closed, "<think>")
-    return F.when(at > 0, rstrip(F.substr(closed, F.lit(1), at - 1))).otherwise(closed)
+    # The look-behind lets a match start only where a run of blanks starts.
+    return F.regexp_replace(closed, rf"(?s)(?<![{WS_CLASS}])[{WS_CLASS}]*+<think>.*", "")
 
 
 def drop_fences(text: Column) -> Column:

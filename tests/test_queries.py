@@ -69,3 +69,31 @@ def test_scans_read_only_what_is_used(spark):
     ids = spark.read.parquet(f"{SF}/documents.parquet").withColumnRenamed("doc_id", "rec_id")
     split = plan_of(ranking.digest_cuts(ids.withColumn("k", F.md5(F.col("rec_id").cast("string"))), "k", [F.lit(0.5)]))
     assert "text" not in split
+
+
+def test_a_hot_seed_is_split(spark, rows):
+    """One seed with a third of all variants: the adaptive planner splits its partition."""
+    answer = '{"extracted_data": {"document_classification": "A"}}'
+    seeds = rows([(i, "s", "u", answer) for i in range(200)], "rec_id long, system string, user_text string, answer string")
+    variants = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 200 END AS seed_id", "CAST(id AS INT) AS variant",
+        "'t' AS variant_text", f"'{answer}' AS label_text",
+    )
+    tuned = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    before = {k: spark.conf.get(k, None) for k in tuned}
+    for k, v in tuned.items():
+        spark.conf.set(k, v)
+    try:
+        gated = synth.gate(variants.repartition(16), seeds)
+        assert len(gated.where("outcome = 'kept'").collect()) == 60_000
+        gated.collect()
+        assert "SortMergeJoin(skew=true)" in plan_of(gated)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -38,9 +38,10 @@ def test_unfence(rows, text, inside):
 def test_drop_reasoning_and_fences(rows):
     got = apply(
         rows, tx.drop_reasoning,
-        ["a<think>b\nc</think>  d<think>e</think>f", "a  <think>b", "<think>", "none", "x</think>y"],
+        ["a<think>b\nc</think>  d<think>e</think>f", "a  <think>b", "<think>", "none", "x</think>y",
+         "a \u2003\n<think>b\n<think>c", "  <think>", "a  b" + " " * 50_000 + "c"],
     )
-    assert got == ["adf", "a", "", "none", "x</think>y"]
+    assert got == ["adf", "a", "", "none", "x</think>y", "a", "", "a  b" + " " * 50_000 + "c"]
     assert apply(rows, tx.drop_fences, ["```json\n{}\n```", " a ``` b "]) == ["{}", "a b"]
 
 
