@@ -77,12 +77,14 @@ def exact_percentiles(
         F.min(F.when(F.col("through") >= floor + 1, F.col("value"))).alias("low"),
         F.min(F.when(F.col("through") >= floor + 2, F.col("value"))).alias("high"),
         F.first("at").alias("at"),
+        F.coalesce(F.max(F.when(F.col("value").isNull(), F.col("through"))), F.lit(0)).alias("below"),
     )
     share = F.col("at") - F.floor("at")
-    result = ends.select(
-        *place,
-        (F.col("low") + (F.coalesce("high", "low") - F.col("low")) * share).alias("result"),
-    )
+    exact = F.col("low") + (F.coalesce("high", "low") - F.col("low")) * share
+    # Cannot happen while the sketch keeps its promise; a wrong value must not pass silently.
+    missed = (F.col("below") > F.floor("at")) | F.col("low").isNull()
+    message = F.lit("percentile sketch missed a rank; raise the accuracy")
+    result = ends.select(*place, F.when(missed, F.raise_error(message)).otherwise(exact).alias("result"))
     wanted_names = [f"p{q}_{v}" for v, qs in values.items() for q in qs]
     return result.groupBy(*names).agg(
         *[F.max(F.when(F.col("name") == w, F.col("result"))).alias(w) for w in wanted_names]

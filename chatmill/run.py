@@ -11,7 +11,7 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from chatmill.functions import tokens
@@ -25,9 +25,8 @@ COUNTERS = {"words": tokens.count_words, "quarter": tokens.count_quarter}
 
 
 def show(title: str, rows: DataFrame | dict) -> None:
-    """Print a small report."""
-    listed = [rows] if isinstance(rows, dict) else [r.asDict() for r in rows.limit(1000).collect()]
-    for row in listed:
+    """Print a report row by row; a DataFrame is fetched one partition at a time."""
+    for row in [rows] if isinstance(rows, dict) else map(Row.asDict, rows.toLocalIterator()):
         print(json.dumps({"report": title, **row}, ensure_ascii=False, default=str))
 
 

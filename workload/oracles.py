@@ -26,6 +26,14 @@ def strip(x: str) -> str:
     return f"trim({x}, {WS})"
 
 
+# -- sources ---------------------------------------------------------------------------
+
+oracle("src_jsonl_lenient", ("conversations",), """
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS total_chars
+FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id""")
+oracle("src_jsonl_rejects", ("conversations",), """
+SELECT DISTINCT conv_id, true AS numbered FROM conversations WHERE conv_id % 7 = 0""")
+
 # -- records ---------------------------------------------------------------------------
 
 ROLES = """SELECT rec_id, messages,
@@ -374,6 +382,18 @@ oracle("focus_donor", ("backtest",), """
 SELECT c.case_pos, c.gold_class, coalesce(a.raw_json, '{"extracted_data": {}}') AS base
 FROM cats c LEFT JOIN anchors a ON c.gold_class = a.gold_class AND a.row_no = 1
 WHERE c.gold_class IS NOT NULL AND NOT c.pred_ok""", **FOCUS)
+_OPEN = '{"extracted_data": {'
+oracle("focus_corrected", ("backtest",), f"""
+SELECT c.case_pos, c.gold_class, CASE WHEN base = '{_OPEN}"service_type": "x"}}}}' THEN
+  '{_OPEN}"service_type": "Pre-Service", "case_specific_fields": {{"case_type_post_service": "", '
+  || '"case_type_grievance": "", "type_of_issue": "", "case_type_pre_service": "en"}}, '
+  || '"document_classification": "Pre-Service Appeal"}}}}'
+ELSE '{_OPEN}"document_classification": "Pre-Service Appeal", "service_type": "Pre-Service", "manual_review": '
+  || json_extract_string(base, '$.extracted_data.manual_review')
+  || ', "member": "[PRIVATE_PERSON]", "case_specific_fields": {{"case_type_pre_service": "en", '
+  || '"case_type_post_service": "", "case_type_grievance": "", "type_of_issue": ""}}}}}}' END AS corrected
+FROM (SELECT c.case_pos, c.gold_class, coalesce(c.raw_json, a.raw_json) AS base FROM cats c
+  LEFT JOIN anchors a ON a.gold_class = c.gold_class AND a.row_no = 1 WHERE c.category = 'failure') c""", **FOCUS)
 oracle("focus_summary", ("backtest",), """
 SELECT cls, CAST(sum(CASE kind WHEN 'failure' THEN 41 ELSE 16 END) AS BIGINT) AS records,
   count(*) FILTER (WHERE kind = 'failure') AS failure_seeds, count(*) FILTER (WHERE kind = 'anchor') AS anchor_seeds
@@ -543,6 +563,14 @@ SELECT c.dir, c.created_at, c.base_model, loss, epoch, learning_rate, completed,
 FROM (SELECT *, CAST(epoch(TIMESTAMP '2024-01-02 03:04:05') - epoch(CAST(TRY_CAST(replace(created_at, 'Z', '') AS TIMESTAMP) AS TIMESTAMP)) AS BIGINT) AS sec
   FROM catalog) c LEFT JOIN status s ON c.dir = s.run""", **LOG, catalog=CATALOG)
 
+oracle("stream_runlog_status", ("run_log",), """
+SELECT run, loss, epoch, learning_rate, completed, final_loss FROM status""", **LOG)
+oracle("stream_route", R, """
+SELECT req_id, requested_model, status, error, backend, forwarded_model FROM answered""", **ROUTED)
+oracle("stream_score", ("backtest",), """
+SELECT case_pos, gold_class, passed, CASE WHEN starts_with(output, 'ERROR:') THEN 'inference_error'
+  WHEN NOT pred_ok THEN 'unparseable' WHEN passed THEN 'passed' ELSE 'failed' END AS outcome FROM scored""", **BACK)
+
 QUANTILES = ",\n  ".join(
     f"quantile_cont({src}, {q / 100}) FILTER (WHERE failed = 0) AS p{q}_{out}"
     for src, out in (("ttft_ms", "ttft_ms"), ("e2e_ms", "e2el_ms")) for q in (50, 90, 95, 99))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from chatmill.plans import (
     alpaca, augment, clean, combine, detect, evaluate, focus, inventory, ocr, routing, runs,
     synth, token_filter,
 )
-from chatmill.session import configure, materialise
-from chatmill.sources import tables
+from chatmill.session import configure, materialise, shared_dir
+from chatmill.sources import records, tables
+from chatmill.streaming import jobs
 from workload.fixtures import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +43,42 @@ def query(*inputs: str):
     return add
 
 
+# -- sources ---------------------------------------------------------------------------
+
+
+def _scratch(df: DataFrame) -> str:
+    """A new folder in the shared place."""
+    return f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+
+
+def _as_lines(chats: DataFrame) -> str:
+    """Write the chats as JSONL with a cut line for every seventh and blank lines for every fifth."""
+    line = F.to_json(F.struct(F.col("rec_id").alias("conv_id"), "messages"))
+    cut = F.when(F.col("rec_id") % 7 == 0, F.left(line, F.length(line) - 1)).otherwise(line)
+    with_blank = F.when(F.col("rec_id") % 5 == 0, F.concat(cut, F.lit("\n  \n"))).otherwise(cut)
+    path = _scratch(chats)
+    chats.select(with_blank.alias("value")).write.text(path)
+    return path
+
+
+@query("chat")
+def src_jsonl_lenient(chats):
+    lines = records.read_jsonl(chats.sparkSession, _as_lines(chats))
+    return lines.records.select(
+        F.get_json_object("raw", "$.conv_id").cast("long").alias("conv_id"),
+        F.size("messages").alias("n_messages"),
+        chat.total_chars(F.col("messages")).alias("total_chars"),
+    )
+
+
+@query("chat")
+def src_jsonl_rejects(chats):
+    """The malformed lines by the conversation they begin with."""
+    rejects = records.read_jsonl(chats.sparkSession, _as_lines(chats)).rejects
+    conv = F.regexp_extract("raw", r'^\{"conv_id":(\d+),', 1).cast("long")
+    return rejects.select(conv.alias("conv_id"), (F.col("line_no") > 0).alias("numbered"))
+
+
 # -- records ---------------------------------------------------------------------------
 
 
@@ -619,3 +657,43 @@ def bench_table(reqs):
 def rank_records(rows):
     keyed = rows.select("rec_id", combine.shuffle_key(SEED, "rec_id").alias("shuffle_key"))
     return ranking.rank_by_digest(keyed, "shuffle_key").select("rec_id", "rank")
+
+
+# -- streams: the input table is written as files, a stream reads them to the end -------
+
+
+def _segments(df: DataFrame) -> str:
+    path = _scratch(df)
+    df.write.json(path)
+    return path
+
+
+@query("run_log")
+def stream_runlog_status(lines):
+    spark = lines.sparkSession
+    out, check = _scratch(lines), _scratch(lines)
+    status = jobs.follow_logs(spark, _segments(lines))
+    jobs.publish_status(status, out, check, once=True).awaitTermination()
+    published = spark.read.parquet(out)
+    last = published.select(F.max("batch")).scalar()
+    return published.where(F.col("batch") == last).drop("batch")
+
+
+@query("requests", "routes", "path_routes")
+def stream_route(reqs, routes, paths):
+    spark = reqs.sparkSession
+    out, check = _scratch(reqs), _scratch(reqs)
+    routed = jobs.route_stream(spark, _segments(reqs), routes, paths)
+    jobs.persist(routed, out, check, once=True).awaitTermination()
+    return spark.read.parquet(out).select(
+        "req_id", "requested_model", "status", "error", "backend", "forwarded_model"
+    )
+
+
+@query("backtest")
+def stream_score(cases):
+    spark = cases.sparkSession
+    out, check = _scratch(cases), _scratch(cases)
+    scored = jobs.score_stream(spark, _segments(cases))
+    jobs.persist(scored, out, check, once=True).awaitTermination()
+    return spark.read.parquet(out).select("case_pos", "gold_class", "passed", "outcome")
