@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.functions.answers import patch_json
+from chatmill.functions.asserts import gold_class, parse_asserts
 from chatmill.operators import ranking, scoring
 from chatmill.operators.chat import canonical
 from chatmill.plans.augment import variants
@@ -75,14 +76,24 @@ def categorise(
     return scored.withColumn("category", category)
 
 
+def _gold() -> Column:
+    """Gold class straight from the assertion cell: a native test made before any parsing."""
+    return gold_class(parse_asserts(F.col("asserts")))
+
+
+def failures(cases: DataFrame, failure_class: str = FAILURE_CLASS) -> DataFrame:
+    """Scored failures of one class; outputs of other classes are not even read."""
+    scored = categorise(cases.where(_gold() == failure_class), failure_class, keep_json=True)
+    return scored.where(F.col("category") == "failure")
+
+
 def anchors(cases: DataFrame, per_class: int = 6, failure_class: str = FAILURE_CLASS) -> DataFrame:
     """``(gold_class, case_pos, row_no)`` of the first K passing cases of each class.
 
     Ranks two short columns; each map task hands on at most K rows per class.
     """
-    narrow = categorise(cases, failure_class).where(F.col("category") == "anchor").select(
-        "gold_class", "case_pos"
-    )
+    scored = categorise(cases.where(_gold().isNotNull()), failure_class)
+    narrow = scored.where(F.col("category") == "anchor").select("gold_class", "case_pos")
     return ranking.top_per_group(narrow, ["gold_class"], [F.col("case_pos")], per_class)
 
 
@@ -123,7 +134,7 @@ def default_edits(gold: Column, defaults: Mapping[str, list[tuple[str, str]]] =
 
 
 def corrected(
-    failures: DataFrame,
+    failing: DataFrame,
     donor_table: DataFrame,
     defaults: Mapping[str, list[tuple[str, str]]] = CLASS_DEFAULTS,
 ) -> DataFrame:
@@ -131,7 +142,7 @@ def corrected(
     asserted = F.transform(
         "checks", lambda c: F.struct(c["path"].alias("path"), c["expected"].alias("value"))
     )
-    based = with_base(failures, donor_table)
+    based = with_base(failing, donor_table)
     edits = F.concat(default_edits(F.col("gold_class"), defaults), asserted)
     return based.withColumn("corrected", patch_json(F.col("base"), edits)).drop("base")
 
@@ -154,8 +165,7 @@ def focus(
     """
     table = anchor_cases(cases, max(anchors_per_class, 1), failure_class)
     donor_table = donors(table).where(F.col("gold_class") == failure_class)
-    failing = categorise(cases, failure_class, keep_json=True).where(F.col("category") == "failure")
-    fixed = corrected(failing, donor_table, defaults).select(
+    fixed = corrected(failures(cases, failure_class), donor_table, defaults).select(
         "case_pos", "input", F.lit("failure").alias("kind"), F.col("gold_class").alias("cls"),
         F.col("corrected").alias("answer"),
     )

@@ -54,13 +54,14 @@ def gate(variants: DataFrame, seeds: DataFrame, keep_label: bool = False) -> Dat
         .select("seed_id", *system, F.col("s.vals")[0].alias("seed_class"))
     )
     label = F.col("label_text")
+    no_text = or_empty(F.col("variant_text")) == ""
     extra = [F.col("variant_text"), label] if keep_label else []
     variant_side = variants.select(
         "seed_id",
         "variant",
-        (or_empty(F.col("variant_text")) == "").alias("_no_text"),
+        no_text.alias("_no_text"),
         (first_fence(label) == "null").alias("_null_label"),
-        read_answer(label, [CLASS_PATH], "label").alias("l"),
+        read_answer(F.when(~no_text, label), [CLASS_PATH], "label").alias("l"),
         *extra,
     ).select(
         "seed_id", "variant", "_no_text",

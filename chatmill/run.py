@@ -35,16 +35,17 @@ def text_file(spark: SparkSession, path: str) -> str:
 
 
 def run_clean(spark: SparkSession, a: argparse.Namespace) -> None:
-    lines = records.read_jsonl(spark, a.input)
+    # One pass: both counts are taken while the data is written.
+    read, decided = Observation("read"), Observation("decided")
+    lines = records.read_jsonl(spark, a.input, number=False, counted=read)
     prefix = text_file(spark, a.strip_prefix_file) if a.strip_prefix_file else None
-    counted = Observation("clean")  # counted while the data is written, not in a pass of its own
     classified = clean.classify(clean.from_chats(lines.records), prefix, a.max_user_chars).observe(
-        counted, *clean.counters()
+        decided, *clean.counters()
     )
     records.write_jsonl(clean.kept(classified, text_file(spark, a.system)), a.output)
-    malformed = lines.rejects.count()
-    found = counted.get
-    show("clean", {**found, "dropped_invalid": found["dropped_invalid"] + malformed})
+    found = decided.get
+    found["dropped_invalid"] += read.get["malformed"]
+    show("clean", found)
 
 
 def run_augment(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -109,7 +110,8 @@ def run_eval(spark: SparkSession, a: argparse.Namespace) -> None:
     chats = records.read_jsonl_strict(spark, a.input)
     if a.limit:
         chats = chat.first_n(chats, a.limit)
-    gold = chat.triples(chats).select(F.col("rec_id").alias("case_id"), F.col("answer").alias("gold"))
+    gold = records.indexed(chat.triples(chats).select("rec_id", F.col("answer").alias("gold")))
+    gold = gold.select(F.col("index").alias("case_id"), "gold")
     predictions = spark.read.schema("case_id long, raw_output string").format(a.format).load(a.predictions)
     report = evaluate.eval_report(gold, predictions)
     report.cases.write.parquet(a.output)

@@ -6,11 +6,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatmill.functions.answers import json_ok
 from chatmill.functions.text import strip
+from chatmill.operators.ranking import running_totals
 from chatmill.session import broadcast_if_small, materialise
 
 CHAT_SCHEMA = "messages array<struct<role: string, content: string>>"
@@ -23,25 +24,30 @@ class Lines:
     rejects: DataFrame
 
 
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
+        F.col("value").alias("raw"),
+        F.col("_metadata.file_path").alias("src_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(src_file, line_no, rec_id, raw)``: every line with its number in its file.
 
     ``rec_id`` counts lines over all files in name order.  Spark reads a file in
     splits; within a split its row ids are consecutive, so a line number is the
     id's distance from the split's first id plus the lines of earlier splits.
-    Only the table of splits is ordered, never the lines.
+    Only the table of splits is ordered, never the lines.  The price of numbers
+    that are the same on any cluster is a pass that counts the lines of each split.
     """
     # Both passes must cut the files into the same splits, also when the number of
     # executors changes in between.
     pin = "spark.sql.files.minPartitionNum"
     if spark.conf.get(pin, None) is None:
         spark.conf.set(pin, str(spark.sparkContext.defaultParallelism))
-    lines = spark.read.text(path).select(
-        F.col("value").alias("raw"),
-        F.col("_metadata.file_path").alias("src_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
+    lines = _raw_lines(spark, path)
     splits = materialise(
         lines.groupBy("src_file", "_block").agg(
             F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines")
@@ -70,12 +76,30 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str = CHAT_SCHEMA) -> Lines:
-    """Skip blank lines; malformed ones come back as rejects with file and line number."""
-    lines = numbered_lines(spark, path).where(strip(F.col("raw")) != "")
-    checked = lines.withColumn("_ok", json_ok(F.col("raw")))
-    parsed = F.from_json("raw", schema)
-    records = checked.where("_ok").withColumn("_rec", parsed).select(
+def read_jsonl(
+    spark: SparkSession,
+    path: str,
+    schema: str = CHAT_SCHEMA,
+    number: bool = True,
+    counted: Observation | None = None,
+) -> Lines:
+    """Skip blank lines; malformed ones come back as rejects with file and line number.
+
+    Without ``number`` the files are read once: ``rec_id`` is then only unique
+    within this read and ``line_no`` is null.  ``counted`` receives the numbers
+    of ``records`` and ``malformed`` lines while the records are consumed.
+    """
+    if number:
+        lines = numbered_lines(spark, path)
+    else:
+        unnumbered = F.lit(None).cast("long").alias("line_no")
+        lines = _raw_lines(spark, path).select("src_file", unnumbered, F.col("_id").alias("rec_id"), "raw")
+    checked = lines.where(strip(F.col("raw")) != "").withColumn("_ok", json_ok(F.col("raw")))
+    if counted is not None:
+        checked = checked.observe(
+            counted, F.count_if("_ok").alias("records"), F.count_if(~F.col("_ok")).alias("malformed")
+        )
+    records = checked.where("_ok").withColumn("_rec", F.from_json("raw", schema)).select(
         "src_file", "line_no", "rec_id", "_rec.*", "raw"
     )
     rejects = checked.where(~F.col("_ok")).select("src_file", "line_no", "raw")
@@ -92,6 +116,13 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: str = CHAT_SCHEMA)
     )
 
 
+def indexed(records: DataFrame) -> DataFrame:
+    """Add ``index``: the 0-based place of each record by ``rec_id``, blank lines not counted."""
+    return running_totals(records, "rec_id", {"_n": F.lit(1)}).withColumn(
+        "index", F.col("_n") - 1
+    ).drop("_n")
+
+
 def write_jsonl(df: DataFrame, path: str, *columns: str, mode: str = "errorifexists") -> None:
     """One object per line with the given columns (default: messages); text stays literal."""
     names = columns or ("messages",)

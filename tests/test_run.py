@@ -82,7 +82,7 @@ def test_focus_eval_backtest(files, spark, rows, capsys):
     main(["backtest", "--input", f"{files}/cases", "--output", f"{files}/scored"])
     assert reports(capsys)[0]["passed"] == 1
     assert spark.read.parquet(f"{files}/scored").count() == 2
-    (files / "gold.jsonl").write_text(chat_line("u", ANSWER % "A") + chat_line("u", ANSWER % "B"))
+    (files / "gold.jsonl").write_text("\n" + chat_line("u", ANSWER % "A") + chat_line("u", ANSWER % "B"))
     (files / "pred.json").write_text(json.dumps({"case_id": 0, "raw_output": ANSWER % "A"}) + "\n")
     main(["eval", "--input", f"{files}/gold.jsonl", "--predictions", f"{files}/pred.json", "--output", f"{files}/eval"])
     assert reports(capsys)[0]["pct"] == 50.0

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from chatmill.plans import runs
@@ -31,6 +32,15 @@ def test_lenient_read_numbers_lines_and_keeps_rejects(spark, jsonl):
     assert sorted((r.line_no, r.raw[:4]) for r in lines.rejects.collect()) == [(3, "{bad"), (4, '{"me')]
 
 
+def test_one_pass_read_counts_on_the_way(spark, jsonl):
+    counted = Observation("lines")
+    lines = records.read_jsonl(spark, jsonl, number=False, counted=counted)
+    got = lines.records.collect()
+    assert len({r.rec_id for r in got}) == len(got) == 3
+    assert counted.get == {"records": 3, "malformed": 2}
+    assert [r["index"] for r in records.indexed(lines.records.drop("raw")).orderBy("index").collect()] == [0, 1, 2]
+
+
 def test_line_numbers_over_many_splits(spark, tmp_path):
     n = 30_000
     (tmp_path / "big.jsonl").write_text("".join(f'{{"messages": [], "n": {i}}}\n' for i in range(n)))

@@ -453,9 +453,8 @@ def focus_donor(cases):
 
 @query("backtest")
 def focus_corrected(cases):
-    failing = focus.categorise(cases, keep_json=True).where(F.col("category") == "failure")
     donors = focus.donors(focus.anchor_cases(cases, 1))
-    return focus.corrected(failing, donors).select("case_pos", "gold_class", "corrected")
+    return focus.corrected(focus.failures(cases), donors).select("case_pos", "gold_class", "corrected")
 
 
 @query("backtest")
