@@ -35,7 +35,9 @@ def flag_containing(
     """
     listed = [row[0] for row in markers.select("marker").limit(limit + 1).collect()]
     if len(listed) <= limit:
-        return texts.withColumn(flag, F.coalesce(contains_any(text, listed), F.lit(False)))
+        # As a column of its own a composed text is built once, not once per comparison.
+        found = F.coalesce(contains_any(F.col("_text"), listed), F.lit(False))
+        return texts.withColumn("_text", text).withColumn(flag, found).drop("_text")
     hits = matching_ids(texts.select("rec_id", text.alias("text")), markers)
     return texts.join(hits.withColumn(flag, F.lit(True)), "rec_id", "left").withColumn(
         flag, F.coalesce(flag, F.lit(False))
