@@ -29,6 +29,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Local fallback folders by application, for sessions that name no shared folder.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for materialised intermediate tables.
 
@@ -39,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     if spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="chatmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        return named
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="chatmill-")
+        return _LOCAL[app]
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
