@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmill.llm import toxicity
+from chatmill.llm import decontaminate, mixing, toxicity
 from chatmill.llm.store import is_fold
 from chatmill.session import configure
 
@@ -31,3 +31,19 @@ def op10_toxicity(spark, table):
     labels = table("labels").where(~is_fold("doc_id", 3, 1)).where("toxic IS NOT NULL")
     scored = toxicity.score(table("documents"), labels.selectExpr("doc_id", "toxic AS label"), threshold=0.7)
     return scored.select("doc_id", is_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_mixing(spark, table):
+    return mixing.mix(table("documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op3_mixing"] = mixing.sql()
+
+
+@query
+def op4_decontamination(spark, table):
+    return decontaminate.report(table("documents"), table("benchmark")).drop("hit_items")
+
+
+SQL["op4_decontamination"] = decontaminate.sql()
