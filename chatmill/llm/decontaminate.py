@@ -114,7 +114,7 @@ def clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """``docs`` without the rows that hold a window of an item; columns unchanged."""
     _, found = hits(docs, items, width)
     bad = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_digest"))
+    same = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_digest"])
     return docs.join(bad, same, "left_anti")
 
 

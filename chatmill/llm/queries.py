@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmill.llm import decontaminate, mixing, suffixes, toxicity
+from chatmill.llm import decontaminate, mixing, phrases, suffixes, toxicity
 from chatmill.llm.store import is_fold
 from chatmill.session import configure
 
@@ -52,3 +52,11 @@ SQL["op4_decontamination"] = decontaminate.sql()
 @query
 def op8_suffix_array(spark, table):
     return suffixes.dedup(table("documents"), length=200)
+
+
+@query
+def op2_phrase_automata(spark, table):
+    return phrases.dedup(table("documents"), width=35)
+
+
+SQL["op2_phrase_automata"] = phrases.sql()
