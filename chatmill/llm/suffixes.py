@@ -8,8 +8,7 @@ another, is a repeat; every byte it covers is removed.  The work runs in steps:
 2. Where an anchor stands in different stretches, these are brought together by
    their anchor and sorted as suffixes by the difference-cover algorithm: sort
    the triples at positions not divisible by three, recurse on their names,
-   sort the others by first symbol and rank, merge by rank.  Recursion ends at
-   the depth that covers ``length`` bytes, as longer agreement does not matter.
+   sort the others by first symbol and rank, merge by rank.
 3. Neighbours in suffix order are compared by their first ``length`` bytes.
 4. Each text is cut by what was found in it.
 
@@ -40,8 +39,8 @@ GRAM = 64
 BLOCK = 1 << 20
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes, which are compared on ``depth`` symbols at least.
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Positions in the order of their suffixes.
 
     ``symbols`` are positive integers; zero stands behind the end.
     """
@@ -56,9 +55,8 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     triples = (s[cover] * base + s[cover + 1]) * base + s[cover + 2]
     _, names = np.unique(triples, return_inverse=True)
     names = names.astype(np.int64) + 1
-    if depth > 3 and names.max() < len(cover):
-        names_apart = np.concatenate([names[: len(ones)], names[len(ones) :]])
-        order = suffix_order(names_apart, -(-depth // 3))
+    if names.max() < len(cover):
+        order = suffix_order(names)
     else:
         order = np.argsort(names, kind="stable")
     sampled = cover[order]
@@ -108,7 +106,7 @@ def recurring_windows(stretches: list[bytes], counts: np.ndarray, length: int) -
     symbols = data[: int(sizes.sum())].astype(np.int64) + 1
     symbols[begin + sizes - 1] = 0
     symbols += 1  # the end of a stretch sorts before every byte
-    order = suffix_order(symbols, length)
+    order = suffix_order(symbols)
     number = np.full(len(symbols), -1, dtype=np.int64)
     firsts = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     number[firsts] = np.arange(len(firsts))
