@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmill.llm import decontaminate, mixing, phrases, suffixes, toxicity
+from chatmill.llm import decontaminate, mixing, phrases, similar, suffixes, toxicity
 from chatmill.llm.store import is_fold
 from chatmill.session import configure
 
@@ -60,3 +60,11 @@ def op2_phrase_automata(spark, table):
 
 
 SQL["op2_phrase_automata"] = phrases.sql()
+
+
+@query
+def op1_jaccard_join(spark, table):
+    return similar.join(table("documents"), width=5, percent=75)
+
+
+SQL["op1_jaccard_join"] = similar.sql()
