@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmill.llm import decontaminate, mixing, phrases, similar, suffixes, toxicity
+from chatmill.llm import decontaminate, language, mixing, phrases, quality, similar, suffixes, toxicity
 from chatmill.llm.store import is_fold
 from chatmill.session import configure
 
@@ -68,3 +68,17 @@ def op1_jaccard_join(spark, table):
 
 
 SQL["op1_jaccard_join"] = similar.sql()
+
+
+@query
+def op7_language(spark, table):
+    docs = table("documents")
+    named = language.identify(docs, docs.where(~is_fold("doc_id", 3, 1)))
+    return named.select("doc_id", is_fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_quality(spark, table):
+    labels = table("labels").where(~is_fold("doc_id", 5, 0)).selectExpr("doc_id", "quality AS label")
+    scored = quality.score(table("documents"), labels, threshold=0.3)
+    return scored.select("doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
