@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmill.llm import decontaminate, language, mixing, phrases, quality, similar, suffixes, toxicity
+from chatmill.llm import decontaminate, language, mixing, phrases, quality, similar, suffixes, toxicity, wrapper
 from chatmill.llm.store import is_fold
 from chatmill.session import configure
 
@@ -82,3 +82,8 @@ def op9_quality(spark, table):
     labels = table("labels").where(~is_fold("doc_id", 5, 0)).selectExpr("doc_id", "quality AS label")
     scored = quality.score(table("documents"), labels, threshold=0.3)
     return scored.select("doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_html_extraction(spark, table):
+    return wrapper.extract(table("pages"))
