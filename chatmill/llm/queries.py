@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmill.llm import decontaminate, language, mixing, phrases, quality, similar, suffixes, toxicity, wrapper
+from chatmill.llm import decontaminate, language, mixing, phrases, quality, similar, suffixes, toxicity, vectors, wrapper
 from chatmill.llm.store import is_fold
 from chatmill.session import configure
 
@@ -87,3 +87,11 @@ def op9_quality(spark, table):
 @query
 def op6_html_extraction(spark, table):
     return wrapper.extract(table("pages"))
+
+
+@query
+def op5_near_dedup(spark, table):
+    return vectors.near_duplicates(table("embeddings"), least_cosine=0.95)
+
+
+SQL["op5_near_dedup"] = vectors.sql()
