@@ -127,6 +127,24 @@ def mix(
     )
 
 
+def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """The mix itself: the columns of ``docs`` (doc_id, text, source, ...) once for every time a row is taken,
+    with ``copy`` (from 1), ``size``, ``source_size`` and ``target``.
+
+    Whether a row is taken depends on its id and source alone, so the rows need no shuffle by id.
+    """
+    sized = written(sizes(docs), "mix-sizes")
+    limits = thresholds(sized, targets(sized, weights, share, repeats))
+    limits = limits.withColumnsRenamed({c: f"_{c}" for c in limits.columns})
+    joined = docs.join(limits, docs["source"].eqNullSafe(limits["_source"]))
+    times = limits["_copies"] + (bucket(docs["doc_id"]) < limits["_below"]).cast("long")
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    return joined.where(times > 0).select(
+        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy"),
+        size.alias("size"), limits["_source_size"].alias("source_size"), limits["_target"].alias("target"),
+    )
+
+
 def sql(documents: str = "documents") -> str:
     """The same in DuckDB's SQL (weights 5, 2, 1; share 1.5; at most twice)."""
     return f"""
