@@ -10,11 +10,11 @@ else, in this document or another, is a repeat; every word it covers is removed.
    are joined into passages, all of whose windows recur.
 2. *Compile* the passages into Aho-Corasick automata.  The automata are sharded
    by blocks of documents (a few megabytes of text): a block's automaton holds
-   the passages with an anchor in the block, each cut into tiles of half a
-   window, so that every window of a passage holds a whole tile.
-3. *Stream* the block's documents through its automaton.  Each hit of a tile is
-   stretched to the left and right as far as document and passage agree; what
-   reaches ``width`` words is an occurrence.
+   the passages with an anchor in the block, by phrases of ``PHRASE`` words at
+   such distances that every window of a passage holds a whole phrase.
+3. *Stream* the block's documents through its automaton.  Each hit of a phrase
+   is stretched to the left and right as far as document and passage agree;
+   what reaches ``width`` words is an occurrence.
 
 No group is gathered but a block, whose size is a parameter, with the passages
 that occur in it.
@@ -40,6 +40,8 @@ from chatmill.llm.store import written
 from chatmill.llm.text import Rolling, Words, chunks, flat, mix, word_rolling
 
 GRAM = 8
+PHRASE = 6
+PAIRS = 500_000
 BLOCK_BYTES = 4 << 20
 
 
@@ -129,13 +131,15 @@ class _Slots:
         self.spaces = np.flatnonzero(data == 0x20)  # one before each word, one before each end
 
 
-def _automaton(passages: list[bytes], tile: int) -> tuple[ahocorasick.Automaton, list[list[tuple[int, int]]], np.ndarray]:
-    """Tiles of the passages; for each tile, the passages that hold it and where (in words)."""
+def _automaton(
+    passages: list[bytes], phrase: int, step: int
+) -> tuple[ahocorasick.Automaton, list[list[tuple[int, int]]], np.ndarray]:
+    """Phrases of the passages; for each, the passages that hold it and where (in words), and its length."""
     machine, places, lengths = ahocorasick.Automaton(), [], []
     for number, passage in enumerate(passages):
         words = passage.split(b" ")
-        for at in range(0, len(words) - tile + 1, tile):
-            text = (b" " + b" ".join(words[at : at + tile]) + b" ").decode("latin-1")
+        for at in range(0, len(words) - phrase + 1, step):
+            text = (b" " + b" ".join(words[at : at + phrase]) + b" ").decode("latin-1")
             known = machine.get(text, None)
             if known is None:
                 known = len(places)
@@ -166,8 +170,8 @@ def _agree(rolling: Rolling, a: np.ndarray, b: np.ndarray, most: np.ndarray, bac
 
 def locate(texts: list[bytes], passages: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each text (words joined by spaces): which words lie in an occurrence of ``width`` words of a passage."""
-    tile = (width + 1) // 2
-    machine, places, lengths = _automaton(passages, tile)
+    phrase = min(PHRASE, (width + 1) // 2)
+    machine, places, lengths = _automaton(passages, phrase, width - phrase + 1)
     here, there = _Slots(texts, 11), _Slots(passages, 12)
     ends, which = [], []
     if len(places):
@@ -182,9 +186,12 @@ def locate(texts: list[bytes], passages: list[bytes], width: int) -> tuple[list[
     values = np.concatenate([here.values, there.values])
     rolling = word_rolling(values)
     starts, counts = [], []
-    step = 500_000
-    for lo in range(0, len(slot), step):
-        some, w = slot[lo : lo + step], which_at[lo : lo + step]
+    upto = np.concatenate([[0], np.cumsum(many[which_at])]) if len(slot) else np.zeros(1, dtype=np.int64)
+    lo = 0
+    while lo < len(slot):  # about PAIRS pairs of a hit and a passage at a time
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, "right")) - 1)
+        some, w = slot[lo:hi], which_at[lo:hi]
+        lo = hi
         a = np.repeat(some, many[w])
         pick = np.repeat(first[w] - (np.cumsum(many[w]) - many[w]), many[w]) + np.arange(len(a))
         passage, at = pairs[pick].T
@@ -206,11 +213,12 @@ def locate(texts: list[bytes], passages: list[bytes], width: int) -> tuple[list[
 def _stream(touched: DataFrame, routed: DataFrame, width: int) -> DataFrame:
     """``doc, tag, removed, sha, kept`` of the documents of each block with passages."""
 
-    def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, routed_here: pa.Table) -> pa.Table:
+        passages = sorted(set(routed_here.column("passage").to_pylist()))
         texts = [b" ".join((t or "").encode().split()) for t in docs.column("text").to_pylist()]
         removed, kept = [], []
-        if len(docs) and len(passages):
-            for text, gone in zip(texts, locate(texts, passages.column("passage").to_pylist(), width)[0]):
+        if len(docs) and passages:
+            for text, gone in zip(texts, locate(texts, passages, width)[0]):
                 n = int(gone.sum())
                 removed.append(n)
                 if n:
