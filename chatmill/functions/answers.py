@@ -84,12 +84,12 @@ def _steps(path: str) -> list[str]:
     return path.removeprefix("$").removeprefix(".").split(".") if path[:1] == "$" else path.split(".")
 
 
-def _lookup(value, steps: Sequence[str]) -> str | None:
+def _lookup(value, steps: Sequence[str], drop_falsy: bool = False) -> str | None:
     for step in steps:
         if not isinstance(value, dict):
             return None
         value = value.get(step)
-    return None if value is None else _utf8(str(value))
+    return None if value is None or drop_falsy and not value else _utf8(str(value))
 
 
 def _assign(root: dict, steps: Sequence[str], new: str) -> None:
@@ -101,7 +101,7 @@ def _assign(root: dict, steps: Sequence[str], new: str) -> None:
     root[steps[-1]] = new
 
 
-def _read(text: str | None, steps: list[list[str]], decode, keep: bool):
+def _read(text: str | None, steps: list[list[str]], decode, keep: bool, drop_falsy: bool = False):
     """Reading of one text: its last object where ``decode`` is given, else all of it."""
     if text is None:
         return {"ok": False, "json": None, "vals": [None] * len(steps)}
@@ -116,7 +116,7 @@ def _read(text: str | None, steps: list[list[str]], decode, keep: bool):
     return {
         "ok": ok,
         "json": source if keep else None,
-        "vals": [_lookup(value, s) for s in steps],
+        "vals": [_lookup(value, s, drop_falsy) for s in steps],
     }
 
 
@@ -132,7 +132,7 @@ def _json_ok(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else valid(t) for t in texts.to_pylist()], pa.bool_())
 
 
-def _reader(paths: tuple[str, ...] | None, scan: bool, keep: bool):
+def _reader(paths: tuple[str, ...] | None, scan: bool, keep: bool, drop_falsy: bool):
     """Arrow function reading fixed paths, or (paths is None) the paths of a second column."""
 
     def decoder():
@@ -144,7 +144,7 @@ def _reader(paths: tuple[str, ...] | None, scan: bool, keep: bool):
         def read_each(texts: pa.Array, wanted: pa.Array) -> pa.Array:
             decode = decoder()
             rows = [
-                _read(t, [_steps(p) for p in ps or []], decode, keep)
+                _read(t, [_steps(p) for p in ps or []], decode, keep, drop_falsy)
                 for t, ps in zip(texts.to_pylist(), wanted.to_pylist())
             ]
             return pa.array(rows, _READING_ARROW)
@@ -156,7 +156,8 @@ def _reader(paths: tuple[str, ...] | None, scan: bool, keep: bool):
     @F.arrow_udf(READING)
     def read_fixed(texts: pa.Array) -> pa.Array:
         decode = decoder()
-        return pa.array([_read(t, steps, decode, keep) for t in texts.to_pylist()], _READING_ARROW)
+        rows = [_read(t, steps, decode, keep, drop_falsy) for t in texts.to_pylist()]
+        return pa.array(rows, _READING_ARROW)
 
     return read_fixed
 
@@ -204,17 +205,23 @@ MODES = {
 
 
 def read_answer(
-    text: Column, paths: Sequence[str] | Column = (), mode: str = "raw", keep_json: bool = False
+    text: Column,
+    paths: Sequence[str] | Column = (),
+    mode: str = "raw",
+    keep_json: bool = False,
+    drop_falsy: bool = False,
 ) -> Column:
     """Struct ``(ok, json, vals)``: readable?, the JSON text if kept, one text per path.
 
-    ``vals`` holds ``str()`` of each value found, null for a missing or null one.
+    ``vals`` holds ``str()`` of each value found, null for a missing or null one and,
+    with ``drop_falsy``, for empty text, zero, false and empty containers (by the
+    value's type: the text ``"0"`` stays).
     ``paths`` is a fixed list or an array column (paths that differ per row).
     """
     prepare, scan = MODES[mode]
     if isinstance(paths, Column):
-        return _reader(None, scan, keep_json).asNondeterministic()(prepare(text), paths)
-    return _reader(tuple(paths), scan, keep_json).asNondeterministic()(prepare(text))
+        return _reader(None, scan, keep_json, drop_falsy).asNondeterministic()(prepare(text), paths)
+    return _reader(tuple(paths), scan, keep_json, drop_falsy).asNondeterministic()(prepare(text))
 
 
 def patch_json(text: Column, edits: Column, style: str = "plain") -> Column:

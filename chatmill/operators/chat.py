@@ -50,10 +50,33 @@ def positional(messages: Column) -> dict[str, Column]:
     }
 
 
+#: What a record keeps besides its first three messages, where the input has it.
+WHOLE = ("messages", "raw")
+
+
 def triples(chats: DataFrame, messages: str = "messages") -> DataFrame:
-    """``(rec_id, system, user_text, answer)`` of the first three messages."""
+    """``(rec_id, system, user_text, answer)`` of the first three messages, and the whole
+    record (all messages, the line it was read from) where there is one."""
     parts = positional(F.col(messages))
-    return chats.select("rec_id", *[content.alias(name) for name, content in parts.items()])
+    whole = [c for c in WHOLE if c in chats.columns]
+    return chats.select("rec_id", *[content.alias(name) for name, content in parts.items()], *whole)
+
+
+def record_text(records: DataFrame) -> Column:
+    """Everything a record says: the three texts, all messages and the line it was read from."""
+    parts = [F.col(c) for c in ("system", "user_text", "answer")]
+    if "messages" in records.columns:
+        parts.append(F.array_join(F.transform("messages", lambda m: or_empty(m["content"])), "\n"))
+    if "raw" in records.columns:
+        parts.append(F.col("raw"))
+    return F.concat_ws("\n", *parts)
+
+
+def original_or(records: DataFrame, is_original: Column, made: Column) -> Column:
+    """All messages of an original record, the made ones of a variant."""
+    if "messages" not in records.columns:
+        return made
+    return F.when(is_original, F.col("messages")).otherwise(made)
 
 
 def longest_user(messages: Column) -> Column:

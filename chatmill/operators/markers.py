@@ -1,21 +1,19 @@
-"""Which texts contain any of a list of markers: exact substring matching at scale."""
+"""Which texts contain any of a list of markers: exact substring matching in one pass."""
 
 from __future__ import annotations
 
-import json
-from collections import Counter
-from collections.abc import Sequence
+import sys
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatmill.functions.text import strip
-from chatmill.session import materialise
 
-#: Up to this many markers the list travels inside the filter expression.
-LIST_LIMIT = 2_000
-#: Marker pieces used as join keys beyond that, longest usable first.
-GRAM_SIZES = (8, 4, 2, 1)
+# Ship the function with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def clean_markers(lines: DataFrame, column: str = "marker") -> DataFrame:
@@ -24,108 +22,43 @@ def clean_markers(lines: DataFrame, column: str = "marker") -> DataFrame:
     return trimmed.where(F.col("marker") != "").distinct()
 
 
-def flag_containing(
-    texts: DataFrame, text: Column, markers: DataFrame, flag: str, limit: int = LIST_LIMIT
-) -> DataFrame:
-    """Add the boolean ``flag``: does ``text`` contain at least one marker?
+def _finder(listed):
+    """Arrow function: does a text hold one of the (broadcast) markers?
 
-    Up to ``limit`` markers travel inside the expression itself and nothing is
-    joined; beyond it ``texts`` needs a unique ``rec_id`` and the match is an
-    equi-join.
+    The markers form one automaton, built once per task, which reads each text
+    once whatever their number, up to its first hit.
     """
-    listed = [row[0] for row in markers.select("marker").limit(limit + 1).collect()]
-    if len(listed) <= limit:
-        # As a column of its own a composed text is built once, not once per comparison.
-        found = F.coalesce(contains_any(F.col("_text"), listed), F.lit(False))
-        return texts.withColumn("_text", text).withColumn(flag, found).drop("_text")
-    hits = matching_ids(texts.select("rec_id", text.alias("text")), markers)
-    return texts.join(hits.withColumn(flag, F.lit(True)), "rec_id", "left").withColumn(
-        flag, F.coalesce(flag, F.lit(False))
-    )
-
-
-def containing(
-    texts: DataFrame, text: Column, markers: DataFrame, limit: int = LIST_LIMIT
-) -> DataFrame:
-    """Rows of ``texts`` whose ``text`` contains at least one marker (each row once)."""
-    return flag_containing(texts, text, markers, "_hit", limit).where("_hit").drop("_hit")
-
-
-def contains_any(text: Column, markers: Sequence[str]) -> Column:
-    """Whether the text contains one of a short list of markers.
-
-    The distinct pieces of the text are intersected with one piece per marker
-    (a hash lookup each); whole markers are compared only for pieces in common.
-    """
-    shared = Counter(g for m in markers for g in set(_cut(m)))
-    by_size: dict[int, dict[str, list[str]]] = {}
-    for marker in markers:
-        gram = min(_cut(marker), key=lambda g: (shared[g], g))
-        by_size.setdefault(len(gram), {}).setdefault(gram, []).append(marker)
-    found = F.lit(False)
-    for size, owners in by_size.items():
-        # Constants, spelled as JSON: one expression instead of one per marker.
-        grams = F.from_json(F.lit(json.dumps(list(owners))), "array<string>")
-        whole = F.from_json(F.lit(json.dumps(owners)), "map<string, array<string>>")
-        common = F.array_intersect(_pieces(text, size), grams)
-        found = found | F.exists(
-            common, lambda g: F.exists(F.element_at(whole, g), lambda m: text.contains(m))
+    built: list = []
+
+    @F.arrow_udf(T.BooleanType())
+    def found(texts: pa.Array) -> pa.Array:
+        if not built:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for marker in listed.value:
+                machine.add_word(marker, True)
+            machine.make_automaton()
+            built.append(machine)
+        search = built[0].iter if listed.value else lambda text: iter(())
+        return pa.array(
+            [None if t is None else next(search(t), None) is not None for t in texts.to_pylist()], pa.bool_()
         )
-    return found
 
-
-def _cut(marker: str) -> list[str]:
-    """Pieces of a marker in the largest size it has."""
-    size = next(s for s in GRAM_SIZES if s <= len(marker))
-    return [marker[i : i + size] for i in range(len(marker) - size + 1)]
+    return found
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """All overlapping pieces of ``size`` characters; one regex pass over the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+def flag_containing(texts: DataFrame, text: Column, markers: DataFrame, flag: str) -> DataFrame:
+    """Add the boolean ``flag``: does ``text`` contain at least one marker?
 
+    The marker list is a job's configuration and travels with the tasks, as one
+    copy per executor; every row of ``texts`` is decided by itself.
+    """
+    listed = sorted(row[0] for row in markers.select("marker").distinct().collect())
+    shared = texts.sparkSession.sparkContext.broadcast(listed)
+    return texts.withColumn(flag, F.coalesce(_finder(shared).asNondeterministic()(text), F.lit(False)))
 
-def matching_ids(texts: DataFrame, markers: DataFrame) -> DataFrame:
-    """Distinct ``rec_id`` with a match, by an equi-join on one piece of each marker.
 
-    Every marker is represented by its rarest piece (the one fewest other markers
-    share), texts by all their distinct pieces of that size; candidates are then
-    verified on the whole text.  No pair is formed without a common piece.
-    """
-    pieces = _with_size(markers).select(
-        "marker", "size", F.explode(F.array_distinct(_grams(F.col("marker"), F.col("size")))).alias("gram")
-    )
-    shared = pieces.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("shared"))
-    keyed = materialise(
-        pieces.join(shared, ["size", "gram"])
-        .groupBy("marker", "size")
-        .agg(F.min(F.struct("shared", "gram")).alias("best"))
-        .select("marker", "size", F.col("best.gram").alias("gram"))
-    )
-    used = [row[0] for row in keyed.select("size").distinct().collect()]  # at most four sizes
-    if not used:
-        return texts.select("rec_id").limit(0)
-    sizes = F.array(*[F.lit(s) for s in used])
-    text_pieces = texts.select("rec_id", "text", F.explode(sizes).alias("size")).select(
-        "rec_id", "size", F.explode(F.array_distinct(_grams(F.col("text"), F.col("size")))).alias("gram")
-    )
-    candidates = text_pieces.join(keyed, ["size", "gram"]).select("rec_id", "marker")
-    return (
-        candidates.join(texts, "rec_id").where(F.col("text").contains(F.col("marker")))
-        .select("rec_id").distinct()
-    )
-
-
-def _with_size(markers: DataFrame) -> DataFrame:
-    size = F.lit(GRAM_SIZES[-1])
-    for s in reversed(GRAM_SIZES):
-        size = F.when(F.length("marker") >= s, F.lit(s)).otherwise(size)
-    return markers.withColumn("size", size)
-
-
-def _grams(text: Column, size: Column) -> Column:
-    """Pieces of the size given per row."""
-    result = F.when(size == GRAM_SIZES[0], _pieces(text, GRAM_SIZES[0]))
-    for s in GRAM_SIZES[1:]:
-        result = result.when(size == s, _pieces(text, s))
-    return result
+def containing(texts: DataFrame, text: Column, markers: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose ``text`` contains at least one marker (each row once)."""
+    return flag_containing(texts, text, markers, "_hit").where("_hit").drop("_hit")

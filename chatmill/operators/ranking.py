@@ -144,11 +144,11 @@ def top_per_group(
     """First ``k`` rows of each group in ``order``, with their ``row_no``.
 
     For small ``k`` Spark itself cuts every map task down to ``k`` rows per group
-    before the shuffle.  Above its threshold a hot group is spread over 64 salts
-    first, so that no task receives more of it than 1/64 plus 64 * k rows.
+    before the shuffle.  With ``spread`` (a column that tells rows apart) each group
+    is cut in 64 parts first, so that no task receives more of a hot group than 1/64
+    plus 64 * k rows, however large ``k`` is.  Ties in ``order`` are the caller's to break.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k >= limit and spread is not None:
+    if spread is not None:
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(64)))
         part = F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order))
         df = salted.withColumn("_part", part).where(F.col("_part") <= k).drop("_part", "_salt")

@@ -23,8 +23,6 @@ CORE_PATHS = [
 ]
 CLASS_PATH = "extracted_data.document_classification"
 ERROR_PREFIX = "ERROR:"
-#: Most labels for which the full class-by-class grid is written out.
-GRID_LABELS = 1000
 
 
 def answer_class(text: Column, mode: str = "strict", path: str = CLASS_PATH) -> Column:
@@ -187,22 +185,17 @@ def class_pairs(scored: DataFrame, name: str = "document_classification") -> Dat
     return pairs.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_grid(pairs: DataFrame, max_labels: int = GRID_LABELS) -> DataFrame:
-    """Every (gold, predicted) cell over the union of both label sets, zeros shown.
+def confusion_grid(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Every (gold, predicted) cell over a given list of labels, zeros shown.
 
-    The grid is quadratic in the labels, and predicted labels are free text: past
-    ``max_labels`` the non-zero cells are returned as they are (an absent cell is
-    zero).  ``pairs`` should be materialised; it is read several times.
+    Predicted labels are free text, so the caller says which ones make the grid;
+    cells of other labels stay in ``pairs``.
     """
-    labels = pairs.select(F.col("gold").alias("label")).union(pairs.select("pred")).distinct()
-    if labels.limit(max_labels + 1).count() > max_labels:
-        return pairs
-    # The label set is within the checked bound, so it fits one array in each row.
-    axis = labels.agg(F.sort_array(F.collect_set("label")).alias("axis"))
-    grid = axis.select(F.explode("axis").alias("gold"), "axis").select(
-        "gold", F.explode("axis").alias("pred")
-    )
-    return grid.join(F.broadcast(pairs), ["gold", "pred"], "left").select(
+    spark = pairs.sparkSession
+    axis = spark.createDataFrame([(x,) for x in dict.fromkeys(labels)], "label string")
+    every = F.array(*[F.lit(x) for x in dict.fromkeys(labels)])
+    grid = axis.select(F.col("label").alias("gold"), F.explode(every).alias("pred"))
+    return grid.join(pairs, ["gold", "pred"], "left").select(
         "gold", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
 
@@ -245,17 +238,13 @@ def score_retest(cases: DataFrame, raw: str = "raw_output", expected: str = "exp
         F.transform(fields, lambda f: F.concat(F.lit("extracted_data.case_specific_fields."), f)),
     )
     read = cases.withColumn("_fields", fields).withColumn(
-        "_read", read_answer(F.col(raw), paths, "retest")
+        "_read", read_answer(F.col(raw), paths, "retest", drop_falsy=True)
     )
     size = F.size("_fields")
 
-    def truthy(value: Column) -> Column:
-        # str() of the values Python treats as false
-        return F.when(~value.isin("", "False", "0", "0.0", "[]", "{}"), value)
-
     def holds(field: Column, i: Column) -> Column:
         top, nested = F.col("_read.vals")[i], F.col("_read.vals")[i + size]
-        got = F.coalesce(truthy(top), truthy(nested), F.lit(""))
+        got = F.coalesce(top, nested, F.lit(""))
         return F.lower(strip(got)) == F.lower(strip(F.col(expected)[field]))
 
     matches = F.transform("_fields", holds)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chatmill.functions import placeholders as ph
 from chatmill.functions.answers import json_ok, read_answer
 from chatmill.functions.noise import add_noise
-from chatmill.operators.chat import canonical
+from chatmill.operators.chat import WHOLE, canonical, original_or
 from chatmill.operators.scoring import CLASS_PATH
 
 # Classes whose records get more variants.
@@ -130,13 +130,18 @@ def augment(
     seed: int = 42,
     classes: Sequence[str] = PRIORITY_CLASSES,
 ) -> Augmented:
-    """The whole job over ``(rec_id, system, user_text, answer)``."""
-    classed = with_class(records.select("rec_id", "system", "user_text", "answer"))
+    """The whole job over ``(rec_id, system, user_text, answer)``.
+
+    Originals stay whole: all their messages, and the line they were read from as
+    ``raw``, where the input has them.
+    """
+    whole = [c for c in WHOLE if c in records.columns]
+    classed = with_class(records.select("rec_id", "system", "user_text", "answer", *whole))
     count = variant_count(F.col("cls"), normal, priority, classes)
     made = variants(classed, count, seed, noise)
     # Counting needs no texts beyond the answer's own validity; Spark prunes the rest.
-    data = made.select(
-        "rec_id", "variant", "cls",
-        canonical(F.col("system"), F.col("user_text"), F.col("answer")).alias("messages"),
-    )
+    original = F.col("variant") == 0
+    new = canonical(F.col("system"), F.col("user_text"), F.col("answer"))
+    raw = [F.when(original, F.col("raw")).alias("raw")] if "raw" in whole else []
+    data = made.select("rec_id", "variant", "cls", original_or(made, original, new).alias("messages"), *raw)
     return Augmented(data, by_class(made, classes).orderBy(F.desc("total"), "cls"))

@@ -27,7 +27,8 @@ class Cleaned:
 def from_chats(chats: DataFrame) -> DataFrame:
     """``(rec_id, user_text, assistant_text)``, null where the role is absent.
 
-    A present message with null content counts as empty text.
+    A present message with null content counts as empty text; ``answer_was_null``
+    marks such answers, whose text is changed by that.
     """
     view = chat.role_view(chats)
     return view.select(
@@ -36,6 +37,7 @@ def from_chats(chats: DataFrame) -> DataFrame:
         F.when(F.col("assistant_msg").isNotNull(), tx.or_empty(F.col("assistant_msg.content"))).alias(
             "assistant_text"
         ),
+        (F.col("assistant_msg").isNotNull() & F.col("assistant_msg.content").isNull()).alias("answer_was_null"),
     )
 
 
@@ -61,11 +63,13 @@ def classify(
         .when(~has_prefix if prefix else F.lit(False), "no_prefix")
         .when(F.length("user") > max_user_chars, "oversize")
     )
+    # A null content is not equal to the empty text it becomes.
+    was_null = F.col("answer").isNotNull() & F.col("answer_was_null") if "answer_was_null" in rows.columns else F.lit(False)
     staged = (
         rows.withColumns({"user": cleaned, "prefix_stripped": has_prefix})
         .withColumn("_early", early)
         .withColumn("answer", F.when(F.col("_early").isNull(), tx.unfence(answer)))
-        .withColumn("fence_stripped", F.coalesce(F.col("answer") != answer, F.lit(False)))
+        .withColumn("fence_stripped", F.coalesce((F.col("answer") != answer) | was_null, F.lit(False)))
         .withColumn("_ok", json_ok(F.col("answer")))
     )
     reason = F.coalesce(F.col("_early"), F.when(~F.col("_ok"), "bad_json"))

@@ -14,7 +14,7 @@ from chatmill.functions.asserts import gold_class, parse_asserts
 from chatmill.operators import ranking, scoring
 from chatmill.operators.chat import canonical
 from chatmill.plans.augment import variants
-from chatmill.session import broadcast_if_small, materialise
+from chatmill.session import materialise
 
 FAILURE_CLASS = "Pre-Service Appeal"
 _FIELDS = "extracted_data.case_specific_fields."
@@ -106,7 +106,7 @@ def anchor_cases(
     are read again for their text and answer.
     """
     chosen = materialise(anchors(cases, per_class, failure_class).select("case_pos", "row_no"))
-    winners = cases.join(broadcast_if_small(chosen), "case_pos")
+    winners = cases.join(chosen, "case_pos")
     scored = scoring.score_asserts(winners, skip_errors=False, keep_json=True)
     return materialise(
         scored.select("case_pos", "gold_class", "input", F.col("pred_json").alias("answer"), "row_no")
@@ -122,7 +122,7 @@ def donors(anchor_table: DataFrame) -> DataFrame:
 
 def with_base(scored: DataFrame, donor_table: DataFrame) -> DataFrame:
     """Add ``base``: the case's own prediction, else its class's donor, else an empty answer."""
-    joined = scored.join(broadcast_if_small(donor_table), "gold_class", "left")
+    joined = scored.join(donor_table, "gold_class", "left")
     return joined.withColumn("base", F.coalesce("pred_json", "donor", F.lit(NO_ANSWER))).drop("donor")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatmill.functions.numbers import fixed
+
 DIR_PREFIX = "models--"
 UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 TOTAL = "TOTAL"
@@ -24,13 +26,14 @@ def sizes(files: DataFrame) -> DataFrame:
 
 
 def human_size(size: Column) -> Column:
-    """One decimal in units of 1024, halves to even."""
-    text = F.lit(None).cast("string")
+    """One decimal in units of 1024, rounded from the exact value."""
+    number = name = None
     for power in range(len(UNITS) - 1, -1, -1):
         scaled = size.cast("double") / F.lit(float(1024**power))
-        shown = F.format_string(f"%.1f {UNITS[power]}", F.bround(scaled, 1))
-        text = shown if power == len(UNITS) - 1 else F.when(scaled < 1024, shown).otherwise(text)
-    return F.when(size.isNotNull(), text)
+        unit = F.lit(UNITS[power])
+        number = scaled if number is None else F.when(scaled < 1024, scaled).otherwise(number)
+        name = unit if name is None else F.when(scaled < 1024, unit).otherwise(name)
+    return F.concat(fixed(number, 1), F.lit(" "), name)
 
 
 def latest_definitions(registry: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.functions.answers import patch_json, read_answer
-from chatmill.session import broadcast_if_small
 
 MAX_BODY_BYTES = 50_000_000
 # The messages of a request that cannot be routed.
@@ -31,8 +30,9 @@ class RoutingReport:
 def model_table(routes: DataFrame) -> DataFrame:
     """``(model, backend, served_model)``, one row per model."""
     listed = routes.where(F.col("model").isNotNull())
-    return listed.groupBy("model").agg(
-        F.min("backend").alias("model_backend"), F.min("served_model").alias("model_served")
+    one = F.min(F.struct("backend", "served_model"))  # both of the same route
+    return listed.groupBy("model").agg(one.alias("r")).select(
+        "model", F.col("r.backend").alias("model_backend"), F.col("r.served_model").alias("model_served")
     )
 
 
@@ -82,14 +82,13 @@ def route(
 ) -> DataFrame:
     """Add ``requested_model, status, error, backend, forwarded_model`` to requests.
 
-    Works on batch and streaming requests alike.  The route tables are
-    configuration; they are broadcast after their size is checked.
+    Works on batch and streaming requests alike.  The route tables are configuration,
+    which the planner broadcasts by their size.
     """
-    models = broadcast_if_small(model_table(routes))
+    models = model_table(routes)
     served = routes.groupBy("backend").agg(F.max("served_model").alias("path_served"))
-    paths = broadcast_if_small(
-        path_routes.select("path", F.col("backend").alias("path_backend"))
-        .join(served.withColumnRenamed("backend", "path_backend"), "path_backend", "left")
+    paths = path_routes.select("path", F.col("backend").alias("path_backend")).join(
+        served.withColumnRenamed("backend", "path_backend"), "path_backend", "left"
     )
     body = F.col("body")
     # A null header or body is an absent one; the tests below must not turn null.
@@ -98,13 +97,12 @@ def route(
         F.lower("content_type").startswith("application/json") & (body != "") & ~too_large,
         F.lit(False),
     )
-    read = read_answer(F.when(is_json, body), ["model"], "strict")
-    no_value = ("", "False", "0", "0.0", "[]", "{}")  # str() of what counts as absent
+    read = read_answer(F.when(is_json, body), ["model"], "strict", drop_falsy=True)
     in_body = F.col("_read.vals")[0]
     header = F.nullif("model_header", F.lit(""))
     prepared = (
         requests.withColumns({"_json": is_json, "_too_large": too_large, "_read": read})
-        .withColumn("_body_model", F.when(~in_body.isin(*no_value), in_body))
+        .withColumn("_body_model", in_body)
         .withColumn("_header", header)
         .withColumn("requested_model", F.coalesce("_header", "_body_model"))
     )

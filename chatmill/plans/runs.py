@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatmill.operators.quantiles import exact_percentiles
+from chatmill.functions.numbers import fixed
 from chatmill.operators.ranking import top_per_group
 
 # What a log line must hold to count.
@@ -112,14 +112,16 @@ SHOWN = (
 )
 
 
+PERCENTILES = (50, 90, 95, 99)
+
+
 def compare_results(results: DataFrame) -> DataFrame:
     """Comparison rows from result files: two decimals, a dash for a missing number."""
 
     def shown(name: str) -> Column:
         if name not in results.columns:
             return F.lit("-").alias(name)
-        text = F.format_string("%.2f", F.bround(F.col(name).cast("double"), 2))
-        return F.when(F.col(name).isNull(), "-").otherwise(text).alias(name)
+        return F.coalesce(fixed(F.col(name).cast("double"), 2), F.lit("-")).alias(name)
 
     failed = F.coalesce("failed", F.lit(0)) if "failed" in results.columns else F.lit(0)
     concurrency = F.coalesce(F.col("max_concurrency").cast("string"), F.lit("-"))
@@ -134,28 +136,23 @@ def benchmark(requests: DataFrame) -> DataFrame:
     Failed requests count only as failed.  Time per output token spreads what is
     left after the first token over the other tokens.
     """
-    good = requests.where(F.col("failed") == 0)
     span = (F.unix_micros(F.max(F.col("ts").cast("timestamp")))
             - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6
     tpot = F.try_divide(F.col("e2e_ms") - F.col("ttft_ms"), F.col("output_tokens") - 1)
     ok = F.col("failed") == 0
+    wanted = F.array(*[F.lit(q / 100) for q in PERCENTILES])
     totals = requests.groupBy(F.col("concurrency").alias("max_concurrency")).agg(
         F.count_if(ok).alias("completed"),
         F.sum(F.when(ok, F.col("output_tokens"))).alias("_tokens"),
         F.sum("failed").cast("long").alias("failed"),
         F.avg(F.when(ok, tpot)).alias("mean_tpot_ms"),
         span.alias("_span"),
+        *[F.percentile(F.when(ok, F.col(c)), wanted).alias(f"_{n}") for n, c in (("ttft", "ttft_ms"), ("e2e", "e2e_ms"))],
     )
-    quantiles = exact_percentiles(
-        good.select(F.col("concurrency").alias("max_concurrency"), "ttft_ms", "e2e_ms"),
-        ["max_concurrency"],
-        {"ttft_ms": [50, 90, 95, 99], "e2e_ms": [50, 90, 95, 99]},
-    )
-    e2e = {f"p{q}_e2e_ms": f"p{q}_e2el_ms" for q in (50, 90, 95, 99)}
     return (
-        totals.join(quantiles, "max_concurrency", "left")
-        .withColumnsRenamed(e2e)
+        totals.select("*", *[F.col("_ttft")[i].alias(f"p{q}_ttft_ms") for i, q in enumerate(PERCENTILES)],
+                      *[F.col("_e2e")[i].alias(f"p{q}_e2el_ms") for i, q in enumerate(PERCENTILES)])
         .withColumn("request_throughput", F.try_divide("completed", "_span"))
         .withColumn("output_throughput", F.try_divide("_tokens", "_span"))
-        .drop("_tokens", "_span")
-    )
+        .drop("_tokens", "_span", "_ttft", "_e2e")
+    )

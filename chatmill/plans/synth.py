@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from chatmill.functions.answers import patch_json, read_answer
 from chatmill.functions.text import first_fence, or_empty
-from chatmill.operators.chat import canonical
-from chatmill.operators.markers import LIST_LIMIT, flag_containing
+from chatmill.operators.chat import WHOLE, canonical, record_text
+from chatmill.operators.markers import flag_containing
 from chatmill.operators.scoring import CLASS_PATH
 
 
@@ -25,18 +25,16 @@ def work_list(
     markers: DataFrame,
     normal: int = 4,
     failure: int = 12,
-    limit: int = LIST_LIMIT,
 ) -> DataFrame:
-    """``(rec_id, is_failure, n_variants)``: seeds with a marker anywhere get more variants."""
-    record = F.concat_ws("\n", "system", "user_text", "answer")
-    flagged = flag_containing(seeds, record, markers, "is_failure", limit)
+    """``(rec_id, is_failure, n_variants)``: seeds with a marker anywhere in the record get more variants."""
+    flagged = flag_containing(seeds, record_text(seeds), markers, "is_failure")
     return flagged.select(
         "rec_id", "is_failure", F.when(F.col("is_failure"), failure).otherwise(normal).alias("n_variants")
     )
 
 
 def gate(variants: DataFrame, seeds: DataFrame, keep_label: bool = False) -> DataFrame:
-    """``outcome`` of each variant of a seed with a readable answer.
+    """``outcome`` of every variant, also of those without a seed or of an unreadable one.
 
     Seeds and labels are read down to their class before the join, so only short
     columns are shuffled unless the texts themselves are asked for.  A seed with
@@ -50,8 +48,7 @@ def gate(variants: DataFrame, seeds: DataFrame, keep_label: bool = False) -> Dat
             *system,
             read_answer(F.col("answer"), [CLASS_PATH], "strict").alias("s"),
         )
-        .where("s.ok")
-        .select("seed_id", *system, F.col("s.vals")[0].alias("seed_class"))
+        .select("seed_id", *system, F.col("s.ok").alias("_seed_ok"), F.col("s.vals")[0].alias("seed_class"))
     )
     label = F.col("label_text")
     no_text = or_empty(F.col("variant_text")) == ""
@@ -70,13 +67,15 @@ def gate(variants: DataFrame, seeds: DataFrame, keep_label: bool = False) -> Dat
         *[c for c in ("variant_text", "label_text") if keep_label],
     )
     outcome = (
-        F.when(F.col("_no_text"), "paraphrase_failed")
+        F.when(F.col("_seed_ok").isNull(), "no_seed")
+        .when(~F.col("_seed_ok"), "seed_invalid")
+        .when(F.col("_no_text"), "paraphrase_failed")
         .when(F.col("_no_label"), "label_failed")
         .when(~F.col("variant_class").eqNullSafe(F.col("seed_class")), "drift")
         .otherwise("kept")
     )
-    return variant_side.join(seed_side, "seed_id").withColumn("outcome", outcome).drop(
-        "_no_text", "_no_label"
+    return variant_side.join(seed_side, "seed_id", "left").withColumn("outcome", outcome).drop(
+        "_no_text", "_no_label", "_seed_ok"
     )
 
 
@@ -94,11 +93,14 @@ def outcome_counts(gated: DataFrame) -> DataFrame:
 
 
 def synth_gate(variants: DataFrame, seeds: DataFrame) -> Gated:
-    """The whole job: originals of valid seeds plus variants that kept their class."""
+    """The whole job: originals of valid seeds, whole as they are, plus variants that kept their class."""
+    made = canonical(F.col("system"), F.col("user_text"), F.col("answer"))
+    whole = [c for c in WHOLE if c in seeds.columns]
     originals = valid_seeds(seeds).select(
         F.col("rec_id").alias("seed_id"),
         F.lit(0).alias("variant"),
-        canonical(F.col("system"), F.col("user_text"), F.col("answer")).alias("messages"),
+        (F.col("messages") if "messages" in whole else made).alias("messages"),
+        *[c for c in whole if c == "raw"],
     )
     kept = gate(variants, seeds, keep_label=True).where(F.col("outcome") == "kept")
     no_edits = F.array().cast("array<struct<path: string, value: string>>")
@@ -112,4 +114,4 @@ def synth_gate(variants: DataFrame, seeds: DataFrame) -> Gated:
     seeds_kept = originals.select(F.lit("original").alias("outcome")).groupBy("outcome").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return Gated(originals.unionByName(new), counted.unionByName(seeds_kept))
+    return Gated(originals.unionByName(new, allowMissingColumns=True), counted.unionByName(seeds_kept))

@@ -51,7 +51,7 @@ def run_clean(spark: SparkSession, a: argparse.Namespace) -> None:
 def run_augment(spark: SparkSession, a: argparse.Namespace) -> None:
     seeds = chat.triples(records.read_jsonl_strict(spark, a.input))
     made = augment.augment(seeds, a.pass_variants, a.fail_variants, a.ocr_noise_rate, a.seed)
-    records.write_jsonl(made.data, a.output)
+    records.write_records(made.data, a.output)
     show("class", made.by_class)
 
 
@@ -92,7 +92,7 @@ def run_synth_gate(spark: SparkSession, a: argparse.Namespace) -> None:
         "seed_id long, variant int, variant_text string, label_text string"
     ).format(a.format).load(a.variants)
     gated = synth.synth_gate(variants, seeds)
-    records.write_jsonl(gated.data, a.output)
+    records.write_records(gated.data, a.output)
     show("outcome", gated.summary)
 
 

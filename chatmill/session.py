@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Settings the jobs are written for.  All are ordinary Spark SQL settings; a
 #: cluster that already sets them keeps its own values for the rest.
@@ -61,15 +60,3 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting that it is small.
-
-    ``df`` must be cheap to count (a configuration table or a materialised
-    result).  Larger inputs are returned unhinted: Spark then shuffles both
-    sides and the adaptive planner splits skewed partitions.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

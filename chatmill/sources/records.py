@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chatmill.functions.answers import json_ok
 from chatmill.functions.text import strip
 from chatmill.operators.ranking import running_totals
-from chatmill.session import broadcast_if_small, materialise
+from chatmill.session import materialise
 
 CHAT_SCHEMA = "messages array<struct<role: string, content: string>>"
 ALPACA_SCHEMA = "instruction string, input string, output string"
@@ -68,7 +68,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.sum("_lines").over(over_all), F.lit(0)).alias("_overall"),
     )
     place = F.col("_id") - F.col("_first")
-    return lines.join(broadcast_if_small(placed, 1_000_000), ["src_file", "_block"]).select(
+    return lines.join(placed, ["src_file", "_block"]).select(
         "src_file",
         (F.col("_in_file") + place + 1).alias("line_no"),
         (F.col("_overall") + place).alias("rec_id"),
@@ -130,6 +130,14 @@ def write_jsonl(df: DataFrame, path: str, *columns: str, mode: str = "errorifexi
     df.select(line.alias("value")).write.mode(mode).text(path)
 
 
+def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write made records as objects and originals (``raw`` is not null) as the lines they were."""
+    line = F.to_json(F.struct("messages"), {"ignoreNullFields": "false"})
+    if "raw" in df.columns:
+        line = F.coalesce("raw", line)
+    df.select(line.alias("value")).write.mode(mode).text(path)
+
+
 def write_raw(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write records back as the lines they were read from, extra keys included."""
     df.select(F.col("raw").alias("value")).write.mode(mode).text(path)

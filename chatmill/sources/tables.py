@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatmill.operators.chat import first_n
 from chatmill.operators.markers import clean_markers
-from chatmill.sources.records import numbered_lines
+from chatmill.sources.records import numbered_lines, read_jsonl_strict
 
 CASE_SCHEMA = "case_pos long, name string, input string, asserts string, output string"
 RETEST_SCHEMA = "case_name string, input_text string"
@@ -17,18 +17,6 @@ RESULT_SCHEMA = (
 )
 
 
-def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """A parquet table, its rows spread by ``key`` when it has too few splits for the cores.
-
-    A small file arrives as one task however many cores wait, and the jobs here
-    multiply rows.  Below two splits per core the input is small enough to be
-    shuffled for that; larger tables are read as they lie.
-    """
-    df = spark.read.parquet(path)
-    wanted = 2 * spark.sparkContext.defaultParallelism
-    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
-
-
 def tidy_cases(cases: DataFrame, limit: int | None = None) -> DataFrame:
     """Named cases with empty text for null cells; the limit counts unnamed rows too."""
     limited = first_n(cases, limit, "case_pos") if limit else cases
@@ -56,15 +44,13 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_retest(spark: SparkSession, path: str) -> DataFrame:
-    """Retest cases; expected values are an object or a list of pairs."""
-    lines = numbered_lines(spark, path)
+    """Retest cases; expected values are an object or a list of pairs.  A malformed line fails the job."""
+    lines = read_jsonl_strict(spark, path, RETEST_SCHEMA)
     as_object = F.from_json("raw", "expected_failures map<string, string>")["expected_failures"]
     pairs = F.from_json("raw", "expected_failures array<array<string>>")["expected_failures"]
     as_map = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p[0], p[1])))
-    return lines.withColumn("_c", F.from_json("raw", RETEST_SCHEMA)).select(
-        F.col("rec_id").alias("case_id"),
-        "_c.*",
-        F.coalesce(as_object, as_map).alias("expected"),
+    return lines.select(
+        F.col("rec_id").alias("case_id"), "case_name", "input_text", F.coalesce(as_object, as_map).alias("expected")
     )
 
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatmill.operators import chat, scoring
-from chatmill.plans import alpaca, clean, combine, detect, evaluate, focus, inventory, ocr, routing, runs, synth, token_filter
+from chatmill.plans import alpaca, augment, clean, combine, detect, evaluate, focus, inventory, ocr, routing, runs, synth, token_filter
+from chatmill.functions.numbers import fixed
 from chatmill.functions.tokens import count_quarter, counter_from
 
 MSG = "array<struct<role: string, content: string>>"
@@ -163,8 +164,9 @@ def test_assertion_scoring(rows):
     s = report.summary.first()
     assert (s.cases, s.passed, s.failed) == (7, 3, 4)
     grid = {(r.gold, r.pred): r.n for r in report.confusion.collect()}
-    assert grid["A", "A"] == 2 and grid["A", "B"] == 1 and grid["A", ""] == 2 and grid["B", "B"] == 0
-    assert len(grid) == 9
+    assert grid == {("A", "A"): 2, ("A", "B"): 1, ("A", ""): 2} | {k: v for k, v in grid.items() if k[0] != "A"}
+    dense = {(r.gold, r.pred): r.n for r in scoring.confusion_grid(report.confusion, ["A", "B", "", "A"]).collect()}
+    assert dense["A", ""] == 2 and dense["B", "B"] == 0 and len(dense) == 9
     running = report.running.orderBy("case_pos").collect()
     assert [r.passed_so_far for r in running] == [1, 1, 2, 2, 2, 2, 3]
     # focus reads the raw text even of an error line
@@ -173,10 +175,13 @@ def test_assertion_scoring(rows):
     }
 
 
-def test_large_confusion_axis_stays_sparse(rows):
-    pairs = rows([(f"g{i}", f"p{i}", i) for i in range(10)], "gold string, pred string, n long")
-    assert scoring.confusion_grid(pairs, max_labels=5).count() == 10
-    assert scoring.confusion_grid(pairs, max_labels=20).count() == 400
+def test_confusion_has_one_form_for_any_number_of_labels(rows):
+    checks = [(i, [("p.document_classification", f"g{i}", f"p{i}")]) for i in range(1001)]
+    scored = rows(checks, "case_pos long, checks array<struct<path: string, expected: string, actual: string>>")
+    pairs = scoring.class_pairs(scored)
+    assert pairs.count() == 1001
+    grid = {(r.gold, r.pred): r.n for r in scoring.confusion_grid(pairs, ["g7", "p7", "other"]).collect()}
+    assert len(grid) == 9 and grid["g7", "p7"] == 1 and sum(grid.values()) == 1
 
 
 def test_eval_denominators_and_untrimmed_comparison(rows):
@@ -246,10 +251,12 @@ def test_synth_gate(rows):
     data = [
         (0, 1, "t", label), (0, 2, "", label), (0, 3, None, label), (0, 4, "t", "null"),
         (0, 5, "t", "{}"), (0, 6, "t", None), (1, 1, "t", label), (2, 1, "t", "[1]"),
+        (77, 1, "t", label),
     ]
     result = synth.synth_gate(rows(data, "seed_id long, variant int, variant_text string, label_text string"), seeds)
     counts = {r.outcome: r.n for r in result.summary.collect()}
-    assert counts == {"kept": 2, "paraphrase_failed": 2, "label_failed": 2, "drift": 1, "original": 2}
+    assert counts == {"kept": 2, "paraphrase_failed": 2, "label_failed": 2, "drift": 1, "original": 2, "seed_invalid": 1, "no_seed": 1}
+    assert sum(n for outcome, n in counts.items() if outcome != "original") == len(data)
     got = {(r.seed_id, r.variant): r.messages[2].content for r in result.data.collect()}
     assert got[0, 1] == json.dumps(json.loads(label[8:-4]), ensure_ascii=False, indent=2)
     assert sorted(got) == [(0, 0), (0, 1), (2, 0), (2, 1)]
@@ -348,3 +355,60 @@ def test_elapsed(spark):
     start = F.lit("2024-01-01T00:00:00Z").cast("timestamp")
     got = spark.range(1).select(runs.elapsed(start, now), runs.elapsed(F.lit(None).cast("timestamp"), now)).first()
     assert tuple(got) == ("27h 4m 5s", None)
+
+
+# -- whole records, types of values, exact rounding --------------------------------------
+
+FOUR = [("system", "s"), ("user", "u [PRIVATE_PERSON]"), ("assistant", "{}"), ("user", "and a late-marker")]
+RECORD = "rec_id long, messages array<struct<role: string, content: string>>, raw string"
+
+
+def test_originals_stay_whole(rows):
+    raw = '{"id": 9, "messages": "as they were"}'
+    seeds = chat.triples(rows([(0, FOUR, raw)], RECORD))
+    made = augment.augment(seeds, normal=2, noise=0.0).data.collect()
+    by_variant = {r.variant: r for r in made}
+    assert [tuple(m) for m in by_variant[0].messages] == FOUR and by_variant[0].raw == raw
+    assert [len(by_variant[v].messages) for v in (1, 2)] == [3, 3] and by_variant[1].raw is None
+    none = rows([], "seed_id long, variant int, variant_text string, label_text string")
+    kept = synth.synth_gate(none, seeds).data.first()
+    assert [tuple(m) for m in kept.messages] == FOUR and kept.raw == raw
+
+
+def test_markers_are_searched_in_the_whole_record(rows):
+    seeds = chat.triples(rows([(0, FOUR, "{}"), (1, FOUR[:3], '{"id": "key-marker"}'), (2, FOUR[:3], "{}")], RECORD))
+    marks = rows([("late-marker",), ("key-marker",)], "marker string")
+    assert {r.rec_id: r.n_variants for r in synth.work_list(seeds, marks).collect()} == {0: 12, 1: 12, 2: 4}
+
+
+def test_truth_of_a_value_is_that_of_its_type(rows):
+    answers = ['{"extracted_data": {"a": %s}}' % v for v in ('"0"', "0", '"False"', "false", "[]", '"[]"', '""', "0.0")]
+    cases = rows([(i, a) for i, a in enumerate(answers)], "case_id long, raw_output string")
+    expected = F.element_at(F.array(*map(F.lit, ["0", "0", "False", "False", "[]", "[]", "", "0.0"])), (F.col("case_id") + 1).cast("int"))
+    scored = scoring.score_retest(cases.withColumn("expected", F.create_map(F.lit("a"), expected))).collect()
+    assert [r.outcome for r in sorted(scored, key=lambda r: r.case_id)] == ["PASS", "FAIL", "PASS", "FAIL", "FAIL", "PASS", "PASS", "FAIL"]
+    routes = rows([("b", "http://b", "big", "0"), ("p", "http://p", None, "x")], "backend string, url string, served_model string, model string")
+    paths = rows([("/v1/z", "p")], "path string, backend string")
+    reqs = rows([(0, '{"model": "0"}'), (1, '{"model": 0}')], "req_id long, body string").selectExpr(
+        "req_id", "'/v1/z' AS path", "'application/json' AS content_type", "body", "CAST(NULL AS STRING) AS model_header"
+    )
+    got = {r.req_id: (r.requested_model, r.backend) for r in routing.route(reqs, routes, paths).collect()}
+    assert got == {0: ("0", "b"), 1: (None, "p")}
+
+
+def test_a_model_of_two_backends_keeps_name_and_served_model_together(rows):
+    routes = rows([("a", "u", "z", "m"), ("b", "u", "c", "m")], "backend string, url string, served_model string, model string")
+    assert [tuple(r) for r in routing.model_table(routes).collect()] == [("m", "a", "z")]
+
+
+def test_decimals_round_the_exact_value(rows):
+    values = [2.675, 0.125, 1e15 + 0.3, -0.001, 2.5, None]
+    got = rows([(v,) for v in values], "v double").select(fixed(F.col("v"), 2)).collect()
+    assert [r[0] for r in got] == [None if v is None else f"{v:.2f}" for v in values]
+    shown = rows([(1034,), (1075,), (10**16,), (None,)], "n long").select(inventory.human_size(F.col("n"))).collect()
+    assert [r[0] for r in shown] == ["1.0 KB", "1.0 KB", "8.9 PB", None]
+
+
+def test_a_null_answer_counts_as_a_changed_one(rows):
+    chats = rows([(0, [("user", "u"), ("assistant", None)]), (1, [("user", "u"), ("assistant", "{}")])], "rec_id long, messages array<struct<role: string, content: string>>")
+    assert clean.clean(clean.from_chats(chats), "s").summary.first().fences_stripped == 1

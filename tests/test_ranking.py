@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatmill.operators import ranking
-from chatmill.operators.quantiles import exact_percentiles
 from chatmill.plans.combine import shuffle_key, split_exact
 
 
@@ -64,20 +63,6 @@ def test_top_per_group_with_a_hot_group(rows, k):
     assert sum(r.g != "hot" for r in got) == 50
 
 
-@pytest.mark.parametrize("accuracy", [100, 100_000])
-def test_exact_percentiles(rows, accuracy):
-    rng = random.Random(3)
-    data = [("hot", rng.choice([5.0, rng.gauss(100, 30), rng.expovariate(0.001)])) for _ in range(5000)]
-    data += [("one", 7.0)] + [("few", float(x)) for x in (4, 1, 3, 2)] + [("few", None), ("same", 2.0), ("same", 2.0)]
-    df = rows(data, "g string, x double")
-    got = exact_percentiles(df, ["g"], {"x": [50, 90, 95, 99]}, accuracy).collect()
-    assert {r.g for r in got} == {"hot", "one", "few", "same"}
-    for r in got:
-        values = [x for g, x in data if g == r.g and x is not None]
-        for q in (50, 90, 95, 99):
-            assert r[f"p{q}_x"] == pytest.approx(np.percentile(values, q), rel=1e-12)
-
-
 def test_histogram_order_statistics(rows):
     values = [random.Random(5).randrange(40) for _ in range(333)] + [1, 2, 3, 4]
     hist = rows([(v,) for v in values], "v int").groupBy("v").agg(F.count(F.lit(1)).alias("c"))

@@ -144,3 +144,9 @@ def test_markers_retest_results_metadata_logs_and_listing(spark, tmp_path):
     (hub / "x").write_bytes(b"12345")
     files = tables.scan_files(spark, str(tmp_path / "hub"))
     assert [(r.dir, r.length) for r in files.collect()] == [("models--org--my--model", 5)]
+
+
+def test_a_malformed_retest_line_fails_the_job(spark, tmp_path):
+    (tmp_path / "bad.jsonl").write_text('{"case_name": "a", "input_text": "t", "expected_failures": {}}\nnot json\n')
+    with pytest.raises(Exception, match="malformed JSON"):
+        tables.read_retest(spark, str(tmp_path / "bad.jsonl")).collect()

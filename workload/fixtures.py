@@ -8,13 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatmill.sources.tables import read_spread
-
 BASE = ("documents", "labels", "conversations", "events", "embeddings", "benchmark")
 
-#: Tables of long texts, whose jobs do much work per row, and the key that spreads them.
-SPREAD = {"documents": "doc_id", "conversations": "conv_id"}
-
 STATEMENTS: dict[str, str] = {}
 USES: dict[str, tuple[str, ...]] = {"chat": ("conversations",)}
 
@@ -92,12 +87,12 @@ _define("requests", ('events',), """
 
 _define("ocr_pages", ('documents',), """
     SELECT doc_id - doc_id % 25 AS doc_id, doc_id % 25 AS page_no,
-      '<|ref|># Page ' || CAST(doc_id % 25 AS STRING) || '<|/ref|>' || chr(10) || '<|det|>text [0,0,1,1]<|/det|>  ' || chr(10) || chr(10) || chr(10) || substr(text, 1, 400) AS text
+      '<|ref|># Page ' || CAST(doc_id % 25 AS STRING) || '<|/ref|>' || chr(10) || '<|det|>text [0,0,1,1]<|/det|>  ' || chr(10) || chr(10) || chr(10) || text AS text
     FROM documents
 """)
 
 _define("files", ('documents',), """
-    SELECT 'hub/models--org--' || source || '/blobs/' || CAST(doc_id AS STRING) AS path, 'models--org--' || source AS dir, n_chars AS length FROM documents WHERE CAST(substr(source, 4) AS INT) < 15
+    SELECT 'hub/models--org--' || source || '/blobs/' || CAST(doc_id AS STRING) AS path, 'models--org--' || source AS dir, n_chars AS length FROM documents
 """)
 
 _define("eval_gold", ('sft',), """
@@ -113,14 +108,13 @@ _define("sft_synth", ('sft',), """
 """)
 
 _define("markers", ('documents', 'benchmark'), """
-    SELECT substr(text, 20, 12) AS marker FROM benchmark WHERE length(trim(substr(text, 20, 12))) > 0
-    UNION SELECT substr(text, 30, 10) AS marker FROM documents WHERE doc_id % 200 = 7 AND length(trim(substr(text, 30, 10))) > 0
+    SELECT text AS marker FROM benchmark UNION SELECT ' ' || source AS marker FROM documents
 """)
 
 _define("alpaca", ('documents',), """
     SELECT doc_id AS rec_id, substr(text, 1, 60) AS instruction,
       CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE substr(text, 61, 100) END AS input,
-      CASE WHEN doc_id % 97 = 0 THEN NULL ELSE substr(text, 161, 300) END AS output
+      CASE WHEN doc_id % 97 = 0 THEN NULL ELSE substr(text, 161) END AS output
     FROM documents
 """)
 
@@ -138,35 +132,45 @@ _define("run_meta", ('events',), """
     FROM events
 """)
 
-_define("registry", ('documents',), """
-    SELECT DISTINCT 'm-' || source AS alias, 'org/' || source AS hf_id,
-      CASE WHEN CAST(substr(source, 4) AS INT) % 4 = 0 THEN 'docker' END AS serve_backend, CAST(substr(source, 4) AS BIGINT) AS line_no
-    FROM documents WHERE CAST(substr(source, 4) AS INT) >= 5
-    UNION ALL SELECT 'm-src7' AS alias, 'org/src7-v2' AS hf_id, 'vision' AS serve_backend, CAST(1000000 AS BIGINT) AS line_no
+_define("registry", ('documents', 'conversations'), """
+    SELECT 'm-' || lang AS alias, 'org/' || source AS hf_id,
+      CASE WHEN min(doc_id) % 4 = 0 THEN 'docker' END AS serve_backend, min(doc_id) * 2 AS line_no
+    FROM documents GROUP BY lang, source
+    UNION ALL SELECT 'm-' || role AS alias, 'org/' || role AS hf_id, 'vision' AS serve_backend, min(conv_id) * 2 + 1 AS line_no
+    FROM conversations GROUP BY role
 """)
 
-_define("routes", (), """
-    SELECT * FROM (VALUES ('a', 'http://a', 'big-a', 'm0'), ('a', 'http://a', 'big-a', 'm1'), ('b', 'http://b', 'big-b', 'm2'),
-      ('b', 'http://b', 'big-b', 'm3'), ('det', 'http://d', 'det', 'det')) AS t(backend, url, served_model, model)
+# A backend serves the models that users of one group of four ask for; m4 and m5 have none.
+_define("routes", ('events',), """
+    SELECT DISTINCT 'b' || CAST(user_id % 4 - user_id % 2 AS STRING) AS backend,
+      'http://b' || CAST(user_id % 4 - user_id % 2 AS STRING) AS url,
+      'big-' || CAST(user_id % 4 - user_id % 2 AS STRING) AS served_model, 'm' || CAST(user_id % 4 AS STRING) AS model
+    FROM events
+    UNION ALL SELECT DISTINCT event_type AS backend, 'http://' || event_type AS url, event_type AS served_model, event_type AS model
+    FROM events WHERE event_type = 'view'
 """)
 
-_define("path_routes", (), """
-    SELECT '/v1/text/detections' AS path, 'det' AS backend
+_define("path_routes", ('events',), """
+    SELECT DISTINCT '/v1/text/detections' AS path, event_type AS backend FROM events WHERE event_type = 'view'
 """)
 
-_define("routes_broken", (), """
-    SELECT * FROM (VALUES ('a', 'http://a', 'm0'), ('b', 'http://b', 'm0'), ('c', NULL, 'm5'), ('d', 'http://d', NULL)) AS t(backend, url, model)
+_define("routes_broken", ('events',), """
+    SELECT DISTINCT event_type AS backend, CASE WHEN event_type = 'error' THEN NULL ELSE 'http://' || event_type END AS url,
+      CASE WHEN event_type = 'signup' THEN NULL ELSE 'm' || CAST(user_id % 6 AS STRING) END AS model
+    FROM events
 """)
 
-_define("path_routes_broken", (), """
-    SELECT * FROM (VALUES ('v1/x', 'a'), ('/v1/y', 'zz'), ('/v1/z', 'b')) AS t(path, backend)
+_define("path_routes_broken", ('events',), """
+    SELECT DISTINCT CASE WHEN event_type = 'view' THEN 'v1/' ELSE '/v1/' END || event_type AS path,
+      CASE WHEN event_type = 'click' THEN 'nowhere' ELSE event_type END AS backend
+    FROM events
 """)
 
 _define("detections", ('embeddings',), """
-    SELECT vec_id AS det_id, vec_id % 20 AS image_id, CAST((vec_id * 37) % 100 AS DOUBLE) / 100 AS score,
-      CASE WHEN vec_id % 2 = 0 THEN '[' || CAST(vec_id % 50 AS STRING) || ',2,' || CAST(vec_id % 50 + 10 AS STRING) || ',12]'
-        ELSE '[[' || CAST(vec_id % 40 AS STRING) || ',5],[60,' || CAST(vec_id % 7 AS STRING) || '],[55,30],[3,25]]' END AS box
-    FROM embeddings
+    SELECT vec_id AS det_id, label AS image_id, CAST(e[0] % 100 AS DOUBLE) / 100 AS score,
+      CASE WHEN vec_id % 2 = 0 THEN '[' || CAST(e[1] AS STRING) || ',' || CAST(e[2] AS STRING) || ',' || CAST(e[1] + e[3] + 1 AS STRING) || ',' || CAST(e[2] + e[4] + 1 AS STRING) || ']'
+        ELSE '[[' || CAST(e[5] AS STRING) || ',5],[60,' || CAST(e[6] AS STRING) || '],[' || CAST(e[7] AS STRING) || ',30],[3,' || CAST(e[8] AS STRING) || ']]' END AS box
+    FROM (SELECT vec_id, label, transform(slice(embedding, 1, 9), x -> CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT)) AS e FROM embeddings)
 """)
 
 _define("bench_requests", ('events',), """
@@ -188,11 +192,17 @@ IN_SPARK = {
            x -> struct(x.role AS role, x.text AS content)) AS messages
     FROM conversations GROUP BY conv_id
 """,
+    "detections": STATEMENTS["detections"],
     "variants": STATEMENTS["variants"].replace(
         _CROSS, "FROM sft LATERAL VIEW explode(sequence(1, 4)) v AS variant"
     ),
 }
 assert IN_SPARK["variants"] != STATEMENTS["variants"]
+for _i in range(9):  # the other engine counts list positions from one
+    STATEMENTS["detections"] = STATEMENTS["detections"].replace(f"e[{8 - _i}]", f"e[{9 - _i}]")
+STATEMENTS["detections"] = STATEMENTS["detections"].replace(
+    "transform(slice(embedding, 1, 9), x -> CAST", "list_transform(embedding[1:9], lambda x: CAST"
+)
 
 
 def _needed(name: str, order: list[str]) -> list[str]:
@@ -208,9 +218,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table over the parquet files of ``sf_dir``."""
     for step in _needed(name, []):
         if step in BASE:
-            path = f"{sf_dir}/{step}.parquet"
-            key = SPREAD.get(step)
-            df = read_spread(spark, path, key) if key else spark.read.parquet(path)
+            df = spark.read.parquet(f"{sf_dir}/{step}.parquet")
         else:
             df = spark.sql(IN_SPARK.get(step, STATEMENTS[step]))
         df.createOrReplaceTempView(step)

@@ -353,11 +353,13 @@ oracle("assert_field_accuracy", ("backtest",), """
 SELECT field, count(*) FILTER (WHERE trim(actual) = trim(expected)) AS correct, count(*) AS total,
   count(*) FILTER (WHERE trim(actual) = trim(expected)) * CAST(100 AS DOUBLE) / count(*) AS pct
 FROM checks GROUP BY field""", **BACK)
+PAIRS = "SELECT expected AS gold, actual AS pred FROM checks WHERE contains(path, 'document_classification')"
 oracle("confusion_long", ("backtest",), """
+SELECT gold, pred, count(*) AS n FROM pairs GROUP BY gold, pred""", **BACK, pairs=PAIRS)
+oracle("confusion_dense", ("backtest",), """
 SELECT g.label AS gold, p.label AS pred, (SELECT count(*) FROM pairs WHERE gold = g.label AND pred = p.label) AS n
-FROM labels g, labels p""", **BACK,
-    pairs="SELECT expected AS gold, actual AS pred FROM checks WHERE contains(path, 'document_classification')",
-    labels="SELECT gold AS label FROM pairs UNION SELECT pred FROM pairs")
+FROM labels g, labels p""", **BACK, pairs=PAIRS,
+    labels="SELECT unnest(['Pre-Service Appeal', 'Post-Service Appeal', 'Grievance', 'Provider Dispute', 'Inquiry']) AS label")
 oracle("backtest_running", ("backtest",), """
 SELECT case_pos, count(*) OVER w AS done, CAST(sum(CAST(passed AS INTEGER)) OVER w AS BIGINT) AS passed_so_far,
   CAST(sum(CAST(passed AS INTEGER)) OVER w AS BIGINT) * CAST(100 AS DOUBLE) / count(*) OVER w AS running_pct

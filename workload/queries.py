@@ -409,7 +409,13 @@ def assert_field_accuracy(cases):
 
 @query("backtest")
 def confusion_long(cases):
-    return scoring.confusion_grid(materialise(scoring.class_pairs(scoring.score_asserts(cases))))
+    return scoring.class_pairs(scoring.score_asserts(cases))
+
+
+@query("backtest")
+def confusion_dense(cases):
+    """The grid over the classes of the data set."""
+    return scoring.confusion_grid(scoring.class_pairs(scoring.score_asserts(cases)), list(focus.CLASS_DEFAULTS))
 
 
 @query("backtest")
