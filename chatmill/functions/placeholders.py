@@ -20,25 +20,25 @@ PLACEHOLDERS = {
     "account": "[ACCOUNT_NUMBER]",
 }
 
-FIRST_NAMES = [
-    "Alva", "Basil", "Cyra", "Dorian", "Edda", "Fergus", "Gilda", "Hollis", "Imre", "Jorun",
-    "Kasper", "Lotte", "Merle", "Nadir", "Oda", "Piers", "Quill", "Runa", "Selwyn", "Tamsin",
-    "Ulric", "Vesna", "Wendel", "Xenia", "Yorick", "Zelda", "Ansel", "Bronte", "Corin", "Delphi",
-]
-LAST_NAMES = [
-    "Abbeville", "Brackwater", "Calloway", "Dunmore", "Elderfield", "Farrowby", "Greystoke",
-    "Hathersage", "Ingleby", "Jessamine", "Kettering", "Larkspur", "Merriweather", "Northcott",
-    "Oakhanger", "Pemberley", "Quantock", "Ravensworth", "Silverdale", "Thistlewood",
-    "Underhill", "Verity", "Winterbourne", "Yarborough",
-]
+# Names are composed of a beginning and an ending: 120 first and 104 last names.
+FIRST_STARTS = ["Al", "Ber", "Cor", "Dar", "El", "Fen", "Gar", "Hal", "Is", "Jor", "Kel", "Lor"]
+FIRST_ENDS = ["a", "an", "da", "en", "ia", "in", "is", "na", "on", "ric"]
+LAST_STARTS = [
+    "Ash", "Brack", "Cal", "Dun", "Elder", "Farrow", "Grey", "Hart", "Ingle", "Kings", "Mill", "Oak", "Raven",
+]
+LAST_ENDS = ["bourne", "by", "combe", "field", "ford", "ham", "more", "worth"]
+FIRST_NAMES = [a + b for a in FIRST_STARTS for b in FIRST_ENDS]
+LAST_NAMES = [a + b for a in LAST_STARTS for b in LAST_ENDS]
 STREETS = [
     "Juniper Way", "Quarry Road", "Mill Lane", "Harbour Street", "Orchard Close", "Station Road",
-    "Foundry Court", "Meadow Drive", "Chapel Hill", "Lantern Row",
-]
+    "Foundry Court", "Meadow Drive", "Chapel Hill", "Lantern Row", "Ferry Walk", "Linden Avenue",
+    "Tannery Yard", "Willow Bank", "Cooper Terrace",
+]
 CITIES = [
-    "Ashport", "Bellmere", "Cedar Falls", "Dunhaven", "Eastwick", "Fairmoor", "Glenrock",
-    "Highgate", "Ironbridge", "Kingsmead",
-]
+    "Ashport, OR 97301", "Bellmere, OH 43011", "Cedar Falls, IA 50613", "Dunhaven, ME 04019", "Eastwick, CT 06103",
+    "Fairmoor, KS 66007", "Glenrock, WY 82637", "Highgate, VT 05459", "Ironbridge, PA 15022", "Kingsmead, NY 12401",
+    "Larkfield, CA 95403", "Millbrook, AL 36054", "Northcott, TX 75001", "Oakhanger, GA 30002", "Pinehurst, NC 28374",
+]
 # Mail domains of generated addresses.
 MAIL_DOMAINS = ["example.com", "mail.com", "inbox.org", "fastmail.net"]
 

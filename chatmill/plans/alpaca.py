@@ -19,6 +19,7 @@ REQUIRED = {"alpaca": ["instruction", "output"]}
 class Prepared:
     audit: DataFrame
     data: DataFrame
+    rejects: DataFrame
 
 
 def audit(rows: DataFrame, fmt: str = "alpaca") -> DataFrame:
@@ -63,7 +64,16 @@ def prepare_alpaca(
     seed: int = 42,
     eos: str = "</s>",
 ) -> Prepared:
-    """Audit plus ``(rec_id, split, text)`` of the complete rows."""
-    complete = rows.where(F.col("instruction").isNotNull() & F.col("output").isNotNull())
-    split = split_exact(complete, ratios, seed)
-    return Prepared(audit(rows), split.select("rec_id", "split", render_alpaca(eos=eos).alias("text")))
+    """Audit, ``(rec_id, split, text)`` of the complete rows and ``(rec_id, field)`` of the others.
+
+    A job that must refuse incomplete data calls ``check`` first.
+    """
+    missing = F.filter(
+        F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in REQUIRED["alpaca"]]), lambda k: k.isNotNull()
+    )
+    split = split_exact(rows.where(F.size(missing) == 0), ratios, seed)
+    return Prepared(
+        audit(rows),
+        split.select("rec_id", "split", render_alpaca(eos=eos).alias("text")),
+        rows.select("rec_id", F.explode(missing).alias("field")),
+    )

@@ -18,6 +18,7 @@ class TokenFiltered:
     data: DataFrame | None
     report: DataFrame
     dropped_top: DataFrame
+    dropped: DataFrame
 
 
 def with_tokens(
@@ -50,7 +51,8 @@ def length_report(counted: DataFrame, max_tokens: int) -> DataFrame:
 
 def longest_dropped(counted: DataFrame, max_tokens: int, n: int = 20) -> DataFrame:
     """The longest records over the cap."""
-    over = counted.where(F.col("n_tokens") > max_tokens).select("rec_id", "n_tokens")
+    place = [c for c in ("src_file", "line_no") if c in counted.columns]
+    over = counted.where(F.col("n_tokens") > max_tokens).select("rec_id", "n_tokens", *place)
     return over.orderBy(F.desc("n_tokens"), "rec_id").limit(n)
 
 
@@ -63,8 +65,9 @@ def token_filter(
     """The whole job; with ``report_only`` no data comes back."""
     counted = with_tokens(chats, counter)
     data = None if report_only else within(counted, max_tokens).drop("n_tokens")
+    total = counted.agg(F.count_if(F.col("n_tokens") > max_tokens).alias("dropped"))
     return TokenFiltered(
-        data, length_report(counted, max_tokens), longest_dropped(counted, max_tokens)
+        data, length_report(counted, max_tokens), longest_dropped(counted, max_tokens), total
     )
 
 

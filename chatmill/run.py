@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from chatmill.functions import tokens
-from chatmill.operators import chat
+from chatmill.operators import chat, scoring
 from chatmill.operators.markers import clean_markers
-from chatmill.plans import augment, clean, combine, evaluate, focus, synth, token_filter
+from chatmill.plans import (
+    alpaca, augment, clean, combine, detect, evaluate, focus, inventory, ocr, routing, runs, synth, token_filter,
+)
 from chatmill.session import configure
 from chatmill.sources import records, tables
+from chatmill.streaming import jobs
 
 COUNTERS = {"words": tokens.count_words, "quarter": tokens.count_quarter}
 
@@ -35,9 +38,10 @@ def text_file(spark: SparkSession, path: str) -> str:
 
 
 def run_clean(spark: SparkSession, a: argparse.Namespace) -> None:
-    # One pass: both counts are taken while the data is written.
+    # One pass: both counts are taken while the data is written.  Rejects with their
+    # line numbers are a second one, for those who ask for them.
     read, decided = Observation("read"), Observation("decided")
-    lines = records.read_jsonl(spark, a.input, number=False, counted=read)
+    lines = records.read_jsonl(spark, a.input, number=bool(a.rejects), counted=read)
     prefix = text_file(spark, a.strip_prefix_file) if a.strip_prefix_file else None
     classified = clean.classify(clean.from_chats(lines.records), prefix, a.max_user_chars).observe(
         decided, *clean.counters()
@@ -45,6 +49,10 @@ def run_clean(spark: SparkSession, a: argparse.Namespace) -> None:
     records.write_jsonl(clean.kept(classified, text_file(spark, a.system)), a.output)
     found = decided.get
     found["dropped_invalid"] += read.get["malformed"]
+    if a.rejects:
+        bad = clean.classify(clean.from_chats(lines.records), prefix, a.max_user_chars).where("drop_reason IS NOT NULL")
+        malformed = lines.rejects.select("src_file", "line_no", F.lit("malformed").alias("drop_reason"))
+        bad.select("src_file", "line_no", "drop_reason").unionByName(malformed).write.json(a.rejects)
     show("clean", found)
 
 
@@ -56,11 +64,15 @@ def run_augment(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_combine(spark: SparkSession, a: argparse.Namespace) -> None:
-    sources = {n: records.read_jsonl(spark, p).records for n, p in (("real", a.real), ("synth", a.synth))}
+    read = {n: records.read_jsonl(spark, p) for n, p in (("real", a.real), ("synth", a.synth))}
+    sources = {n: lines.records for n, lines in read.items()}
     times = {"real": a.real_multiplier, "synth": a.synth_multiplier}
     mixed = combine.combine(sources, times, a.max_user_chars, shuffle=not a.no_shuffle, seed=a.seed)
     records.write_raw(mixed.data, a.output)  # as read, with any further keys
     show("source", mixed.counts)
+    if a.rejects:
+        every = [x.rejects.select(F.lit(n).alias("source_name"), "src_file", "line_no") for n, x in read.items()]
+        every[0].unionByName(every[1]).write.json(a.rejects)
 
 
 def run_token_filter(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -68,6 +80,7 @@ def run_token_filter(spark: SparkSession, a: argparse.Namespace) -> None:
         records.read_jsonl_strict(spark, a.input), a.max_tokens, COUNTERS[a.counter], a.report_only
     )
     show("longest dropped", result.dropped_top)
+    show("dropped", result.dropped)
     show("kept", result.report)
     if result.data is not None:
         records.write_raw(result.data, a.output)
@@ -122,8 +135,86 @@ def run_eval(spark: SparkSession, a: argparse.Namespace) -> None:
 def run_backtest(spark: SparkSession, a: argparse.Namespace) -> None:
     report = evaluate.backtest_report(tables.read_cases(spark, a.input, a.format, a.limit))
     report.cases.join(report.running, "case_pos").write.parquet(a.output)
-    for title in ("summary", "outcomes", "fields", "confusion"):
+    for title in ("summary", "outcomes"):
         show(title, getattr(report, title))
+    for title in ("fields", "confusion"):  # grouped by free text: written, not printed
+        getattr(report, title).write.json(f"{a.output}-{title}")
+
+
+def run_prepare(spark: SparkSession, a: argparse.Namespace) -> None:
+    chats = records.read_jsonl_strict(spark, a.input)
+    token_filter.prepare(chats, a.max_tokens, a.limit, a.biggest, COUNTERS[a.counter]).write.parquet(a.output)
+
+
+def run_alpaca(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = records.read_jsonl_strict(spark, a.input, records.ALPACA_SCHEMA)
+    done = alpaca.prepare_alpaca(rows, seed=a.seed)
+    done.data.write.partitionBy("split").parquet(a.output)
+    if a.rejects:
+        done.rejects.write.json(a.rejects)
+    show("field", done.audit)
+
+
+def run_ocr(spark: SparkSession, a: argparse.Namespace) -> None:
+    pages = spark.read.schema("doc_id long, page_no int, text string").format(a.format).load(a.input)
+    ocr.corpus(pages, a.page_cap).write.parquet(a.output)
+
+
+def run_detections(spark: SparkSession, a: argparse.Namespace) -> None:
+    schema = "det_id long, image_id long, score double, box string"
+    detect.per_image(spark.read.schema(schema).format(a.format).load(a.input), a.threshold).write.parquet(a.output)
+
+
+def run_route(spark: SparkSession, a: argparse.Namespace) -> None:
+    requests = spark.read.schema(jobs.REQUEST_SCHEMA).format(a.format).load(a.input)
+    routes = spark.read.schema("backend string, url string, served_model string, model string").json(a.routes)
+    paths = spark.read.schema("path string, backend string").json(a.path_routes)
+    report = routing.routing_report(requests, routes, paths)
+    report.routed.write.parquet(a.output)
+    report.unknown_models.write.json(f"{a.output}-unknown-models")
+    show("problem", report.audit)
+    show("status", report.by_status)
+
+
+def run_inventory(spark: SparkSession, a: argparse.Namespace) -> None:
+    registry = spark.read.schema("alias string, hf_id string, serve_backend string, line_no long").json(a.registry)
+    files = tables.scan_files(spark, a.root)
+    inventory.reconcile(registry, files).write.json(a.output)
+    inventory.totals(files).write.json(f"{a.output}-totals")
+
+
+def run_runs(spark: SparkSession, a: argparse.Namespace) -> None:
+    meta = tables.read_metadata(spark, a.metadata)
+    catalog = runs.run_catalog(meta.select("dir"), meta)
+    runs.run_report(catalog, tables.read_log(spark, a.logs)).write.json(a.output)
+
+
+def run_bench(spark: SparkSession, a: argparse.Namespace) -> None:
+    runs.compare_results(tables.read_results(spark, a.results)).write.json(a.output)
+
+
+def run_retest(spark: SparkSession, a: argparse.Namespace) -> None:
+    outputs = spark.read.schema("case_name string, raw_output string").format(a.format).load(a.outputs)
+    cases = tables.read_retest(spark, a.cases).join(outputs, "case_name", "left")
+    scored = scoring.score_retest(cases)
+    scored.select("case_id", "case_name", "outcome").write.json(a.output)
+    show("outcome", evaluate.retest_report(cases))
+
+
+def run_follow(spark: SparkSession, a: argparse.Namespace) -> None:
+    status = jobs.follow_logs(spark, a.input)
+    jobs.publish_status(status, a.output, a.checkpoint, a.once).awaitTermination()
+
+
+def run_route_stream(spark: SparkSession, a: argparse.Namespace) -> None:
+    routes = spark.read.schema("backend string, url string, served_model string, model string").json(a.routes)
+    paths = spark.read.schema("path string, backend string").json(a.path_routes)
+    routed = jobs.route_stream(spark, a.input, routes, paths)
+    jobs.persist(routed, a.output, a.checkpoint, a.once).awaitTermination()
+
+
+def run_score_stream(spark: SparkSession, a: argparse.Namespace) -> None:
+    jobs.persist(jobs.score_stream(spark, a.input), a.output, a.checkpoint, a.once).awaitTermination()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -139,6 +230,7 @@ def parser() -> argparse.ArgumentParser:
 
     c = command("clean", run_clean, "input", "output", "system")
     c.add_argument("--strip-prefix-file")
+    c.add_argument("--rejects")
     c.add_argument("--max-user-chars", type=int, default=clean.MAX_USER_CHARS)
 
     c = command("augment", run_augment, "input", "output")
@@ -152,6 +244,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--synth-multiplier", type=int, default=1)
     c.add_argument("--max-user-chars", type=int)
     c.add_argument("--no-shuffle", action="store_true")
+    c.add_argument("--rejects")
     c.add_argument("--seed", type=int, default=42)
 
     c = command("token-filter", run_token_filter, "input", "output")
@@ -184,6 +277,39 @@ def parser() -> argparse.ArgumentParser:
     c = command("backtest", run_backtest, "input", "output")
     c.add_argument("--format", default="parquet")
     c.add_argument("--limit", type=int)
+
+    c = command("prepare", run_prepare, "input", "output")
+    c.add_argument("--max-tokens", type=int, required=True)
+    c.add_argument("--counter", choices=COUNTERS, default="words")
+    c.add_argument("--limit", type=int)
+    c.add_argument("--biggest", action="store_true")
+
+    c = command("alpaca", run_alpaca, "input", "output")
+    c.add_argument("--seed", type=int, default=42)
+    c.add_argument("--rejects")
+
+    c = command("ocr", run_ocr, "input", "output")
+    c.add_argument("--format", default="json")
+    c.add_argument("--page-cap", type=int, default=ocr.PAGE_CAP)
+
+    c = command("detections", run_detections, "input", "output")
+    c.add_argument("--format", default="json")
+    c.add_argument("--threshold", type=float, default=detect.BOX_THRESHOLD)
+
+    c = command("route", run_route, "input", "routes", "path-routes", "output")
+    c.add_argument("--format", default="json")
+
+    command("inventory", run_inventory, "registry", "root", "output")
+    command("runs", run_runs, "metadata", "logs", "output")
+    command("bench", run_bench, "results", "output")
+
+    c = command("retest", run_retest, "cases", "outputs", "output")
+    c.add_argument("--format", default="json")
+
+    for name, fn, more in (("follow-logs", run_follow, ()), ("route-stream", run_route_stream, ("routes", "path-routes")),
+                           ("score-stream", run_score_stream, ())):
+        c = command(name, fn, "input", "output", "checkpoint", *more)
+        c.add_argument("--once", action="store_true")
     return top
 
 

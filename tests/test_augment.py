@@ -49,7 +49,7 @@ def test_same_value_on_both_sides_and_formats(records):
     got, _ = variants_of(records)
     shape = re.compile(
         r"Dear ([A-Z]\w+ [A-Z]\w+), on (\d\d)-(\d\d)-(2024|2025) call \((\d{3})\) (\d{3})-(\d{4}) or "
-        r"([a-z]+\.[a-z]+@[a-z]+\.[a-z]+); (\d{3,4}) [A-Z][\w ]+, [A-Z][\w ]+, (\d{8,12})\. \1 \[x\] \["
+        r"([a-z]+\.[a-z]+@[a-z]+\.[a-z]+); (\d{3,4}) [A-Z][\w ]+, [A-Z][\w ]+, [A-Z]{2} \d{5}, (\d{8,12})\. \1 \[x\] \["
     )
     seen = set()
     for v in range(1, 13):
@@ -114,3 +114,16 @@ def test_pieces_rejoin(rows):
     df = rows([(t,) for t in texts], "t string")
     got = df.select("t", F.array_join(ph.pieces(F.col("t")), "").alias("j")).collect()
     assert all(r.t == r.j for r in got)
+
+
+def test_pools_are_large_and_drawn_from_wholly(spark):
+    assert len(set(ph.FIRST_NAMES)) >= 116 and len(set(ph.LAST_NAMES)) >= 104
+    assert len(set(ph.STREETS)) >= 15 and len(set(ph.CITIES)) >= 15
+    records = spark.range(800).selectExpr("id AS rec_id", "'s' AS system", "'[PRIVATE_PERSON]|[PRIVATE_ADDRESS]' AS user_text", "'{}' AS answer")
+    made = augment.augment(records, normal=12, noise=0.0).data.where("variant > 0")
+    parts = made.select(F.split(F.col("messages")[1]["content"], "[|]").alias("p")).select(F.split(F.col("p")[0], " ").alias("n"), F.col("p")[1].alias("a"))
+    got = parts.agg(
+        F.countDistinct(F.col("n")[0]), F.countDistinct(F.col("n")[1]), F.countDistinct("n"),
+        F.countDistinct(F.regexp_extract("a", r"\d+ ([^,]+),", 1)), F.countDistinct(F.regexp_extract("a", r", (.*)$", 1)),
+    ).first()
+    assert got[0] == 120 and got[1] == 104 and got[2] > 5000 and got[3] == 15 and got[4] == 15

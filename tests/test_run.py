@@ -47,7 +47,7 @@ def test_clean_augment_filter_combine(files, capsys):
 
     main(["token-filter", "--input", f"{files}/more", "--output", f"{files}/none", "--max-tokens", "1", "--report-only"])
     got = reports(capsys)
-    assert len(got) == 19 and got[-1]["n"] == 0 and not (files / "none").exists()
+    assert len(got) == 20 and got[-1]["n"] == 0 and got[-2]["dropped"] == 18 and not (files / "none").exists()
     main(["token-filter", "--input", f"{files}/more", "--output", f"{files}/capped", "--max-tokens", "1000"])
     assert len(out_lines(files / "capped")) == 18
 
@@ -86,3 +86,74 @@ def test_focus_eval_backtest(files, spark, rows, capsys):
     (files / "pred.json").write_text(json.dumps({"case_id": 0, "raw_output": ANSWER % "A"}) + "\n")
     main(["eval", "--input", f"{files}/gold.jsonl", "--predictions", f"{files}/pred.json", "--output", f"{files}/eval"])
     assert reports(capsys)[0]["pct"] == 50.0
+
+
+def written(path):
+    return out_lines(path)
+
+
+def test_rejects_have_file_line_and_reason(files):
+    main(["clean", "--input", f"{files}/raw.jsonl", "--output", f"{files}/c2", "--system", f"{files}/system.txt",
+          "--strip-prefix-file", f"{files}/prefix.txt", "--rejects", f"{files}/bad"])
+    got = sorted((r["line_no"], r["drop_reason"]) for r in written(files / "bad"))
+    assert got == [(3, "malformed"), (5, "no_prefix"), (6, "bad_json")]
+    main(["combine", "--real", f"{files}/raw.jsonl", "--synth", f"{files}/c2", "--output", f"{files}/m2", "--rejects", f"{files}/bad2"])
+    assert [(r["source_name"], r["line_no"]) for r in written(files / "bad2")] == [("real", 3)]
+
+
+def test_prepare_alpaca_ocr_detections(files, spark, capsys):
+    (files / "chats.jsonl").write_text(chat_line("u", "{}") + chat_line("longer text here", "{}"))
+    main(["prepare", "--input", f"{files}/chats.jsonl", "--output", f"{files}/prep", "--max-tokens", "1000", "--limit", "1", "--biggest"])
+    assert "longer" in spark.read.parquet(f"{files}/prep").first().text
+    (files / "alpaca.jsonl").write_text("".join(json.dumps({"instruction": f"i{k}", **({"output": "o"} if k else {})}) + "\n" for k in range(20)))
+    main(["alpaca", "--input", f"{files}/alpaca.jsonl", "--output", f"{files}/alp", "--rejects", f"{files}/alpbad"])
+    assert spark.read.parquet(f"{files}/alp").count() == 19 and written(files / "alpbad") == [{"rec_id": 0, "field": "output"}]
+    assert {r["field"]: r["missing"] for r in reports(capsys)} == {"instruction": 0, "output": 1}
+    (files / "pages.json").write_text("".join(json.dumps({"doc_id": 1, "page_no": n, "text": f"p{n}"}) + "\n" for n in range(3)))
+    main(["ocr", "--input", f"{files}/pages.json", "--output", f"{files}/ocr", "--page-cap", "2"])
+    assert spark.read.parquet(f"{files}/ocr").first().text == "p0\np1\n"
+    (files / "dets.json").write_text(json.dumps({"det_id": 1, "image_id": 2, "score": 0.9, "box": "[1,2,11,12]"}) + "\n")
+    main(["detections", "--input", f"{files}/dets.json", "--output", f"{files}/det"])
+    assert spark.read.parquet(f"{files}/det").first().xmax == 11
+
+
+def test_routes_inventory_runs_bench_retest(files, spark, capsys):
+    (files / "routes.json").write_text(json.dumps({"backend": "b", "url": "http://b", "served_model": "big", "model": "m"}) + "\n")
+    (files / "paths.json").write_text(json.dumps({"path": "/v1/z", "backend": "b"}) + "\n")
+    request = {"req_id": 1, "path": "/v1/z", "content_type": "application/json", "body": '{"model": "m"}'}
+    (files / "in").mkdir()
+    (files / "in" / "a.json").write_text(json.dumps(request) + "\n" + json.dumps({**request, "req_id": 2, "body": '{"model": "x"}'}) + "\n")
+    config = ["--routes", f"{files}/routes.json", "--path-routes", f"{files}/paths.json"]
+    main(["route", "--input", f"{files}/in", "--output", f"{files}/routed", *config])
+    assert {(r["backend"], r["status"]) for r in reports(capsys)} == {("b", 200), (None, 404)}
+    assert written(files / "routed-unknown-models") == [{"requested_model": "x", "requests": 1}]
+    main(["route-stream", "--input", f"{files}/in", "--output", f"{files}/rs", "--checkpoint", f"{files}/rsc", "--once", *config])
+    assert spark.read.parquet(f"{files}/rs").count() == 2
+    (files / "hub" / "models--org--a").mkdir(parents=True)
+    (files / "hub" / "models--org--a" / "w").write_text("x" * 2048)
+    (files / "reg.json").write_text(json.dumps({"alias": "a", "hf_id": "org/a", "line_no": 1}) + "\n")
+    main(["inventory", "--registry", f"{files}/reg.json", "--root", f"{files}/hub", "--output", f"{files}/inv"])
+    assert [(r["alias"], r["size"]) for r in written(files / "inv")] == [("a", "2.0 KB")]
+    (files / "meta" / "run-1").mkdir(parents=True)
+    (files / "meta" / "run-1" / "metadata.json").write_text(json.dumps({"base_model": "x", "created_at": "2024-01-01T00:00:00Z"}))
+    (files / "run-1.log").write_text("{'loss': 0.5, 'epoch': 1.0}\nAdapter saved to x\n")
+    main(["runs", "--metadata", f"{files}/meta", "--logs", f"{files}/run-1.log", "--output", f"{files}/runs"])
+    assert [(r["dir"], r["loss"], r["completed"]) for r in written(files / "runs")] == [("run-1", 0.5, True)]
+    (files / "res.json").write_text(json.dumps({"max_concurrency": 4, "p50_ttft_ms": 2.675}))
+    main(["bench", "--results", f"{files}/res.json", "--output", f"{files}/bench"])
+    assert [(r["p50_ttft_ms"], r["request_throughput"]) for r in written(files / "bench")] == [("2.67", "-")]
+    (files / "cases.jsonl").write_text(json.dumps({"case_name": "c", "input_text": "t", "expected_failures": [["a", "X"]]}) + "\n")
+    (files / "outs.json").write_text(json.dumps({"case_name": "c", "raw_output": '{"extracted_data": {"a": "x"}}'}) + "\n")
+    main(["retest", "--cases", f"{files}/cases.jsonl", "--outputs", f"{files}/outs.json", "--output", f"{files}/retest"])
+    assert [r["outcome"] for r in written(files / "retest")] == ["PASS"]
+
+
+def test_streams_once(files, spark):
+    for name in ("logs", "cases"):
+        (files / name).mkdir()
+    (files / "logs" / "a.json").write_text(json.dumps({"run": "r", "line_no": 1, "value": "{'loss': 0.25, 'epoch': 1}"}) + "\n")
+    main(["follow-logs", "--input", f"{files}/logs", "--output", f"{files}/st", "--checkpoint", f"{files}/stc", "--once"])
+    assert spark.read.parquet(f"{files}/st").first().loss == 0.25
+    (files / "cases" / "a.json").write_text(json.dumps({"case_pos": 1, "name": "n", "input": "u", "asserts": "", "output": "{}"}) + "\n")
+    main(["score-stream", "--input", f"{files}/cases", "--output", f"{files}/sc", "--checkpoint", f"{files}/scc", "--once"])
+    assert spark.read.parquet(f"{files}/sc").first().passed

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from chatmill.functions import placeholders as ph
 from chatmill.functions.text import WHITESPACE
 from chatmill.operators.chat import ROLE_MARKERS
 from chatmill.operators.scoring import CORE_PATHS
@@ -205,20 +204,47 @@ def _pick(kind: str, slot: int, values: list[str]) -> str:
     return f"([{listed}])[{_draw(kind, slot)} % {len(values)} + 1]"
 
 
+def _composed(kind: str, slot: int, starts: str, ends: str) -> str:
+    """A beginning and an ending by one draw."""
+    n, m = len(starts.split()), len(ends.split())
+    first = f"(string_split('{starts}', ' '))[{_draw(kind, slot)} % {n * m} // {m} + 1]"
+    return f"{first} || (string_split('{ends}', ' '))[{_draw(kind, slot)} % {n * m} % {m} + 1]"
+
+
 def _text(x: str) -> str:
     return f"CAST({x} AS VARCHAR)"
 
 
+# Fixed values, written out here independently of the code under test.
+TOKENS = {
+    "person": "[PRIVATE_PERSON]", "date": "[PRIVATE_DATE]", "phone": "[PRIVATE_PHONE]",
+    "email": "[PRIVATE_EMAIL]", "address": "[PRIVATE_ADDRESS]", "account": "[ACCOUNT_NUMBER]",
+}
+FIRST = ("Al Ber Cor Dar El Fen Gar Hal Is Jor Kel Lor", "a an da en ia in is na on ric")
+LAST = ("Ash Brack Cal Dun Elder Farrow Grey Hart Ingle Kings Mill Oak Raven", "bourne by combe field ford ham more worth")
+STREETS = [
+    "Juniper Way", "Quarry Road", "Mill Lane", "Harbour Street", "Orchard Close", "Station Road",
+    "Foundry Court", "Meadow Drive", "Chapel Hill", "Lantern Row", "Ferry Walk", "Linden Avenue",
+    "Tannery Yard", "Willow Bank", "Cooper Terrace",
+]
+CITIES = [
+    "Ashport, OR 97301", "Bellmere, OH 43011", "Cedar Falls, IA 50613", "Dunhaven, ME 04019", "Eastwick, CT 06103",
+    "Fairmoor, KS 66007", "Glenrock, WY 82637", "Highgate, VT 05459", "Ironbridge, PA 15022", "Kingsmead, NY 12401",
+    "Larkfield, CA 95403", "Millbrook, AL 36054", "Northcott, TX 75001", "Oakhanger, GA 30002", "Pinehurst, NC 28374",
+]
+MAIL = ["example.com", "mail.com", "inbox.org", "fastmail.net"]
+
+
 REPLACED = {
-    "person": f"{_pick('person', 0, ph.FIRST_NAMES)} || ' ' || {_pick('person', 1, ph.LAST_NAMES)}",
+    "person": f"{_composed('person', 0, *FIRST)} || ' ' || {_composed('person', 1, *LAST)}",
     "date": f"lpad({_text(_between('date', 0, 1, 12))}, 2, '0') || '-' || "
             f"lpad({_text(_between('date', 1, 1, 28))}, 2, '0') || '-' || {_text(_between('date', 2, 2024, 2025))}",
     "phone": f"'(' || {_between('phone', 0, 200, 999)} || ') ' || {_between('phone', 1, 200, 999)} || '-' || "
              f"{_between('phone', 2, 1000, 9999)}",
-    "email": f"lower({_pick('email', 0, ph.FIRST_NAMES)} || '.' || {_pick('email', 1, ph.LAST_NAMES)}) || '@' || "
-             f"{_pick('email', 2, ph.MAIL_DOMAINS)}",
-    "address": f"{_between('address', 0, 100, 9999)} || ' ' || {_pick('address', 1, ph.STREETS)} || ', ' || "
-               f"{_pick('address', 2, ph.CITIES)}",
+    "email": f"lower({_composed('email', 0, *FIRST)} || '.' || {_composed('email', 1, *LAST)}) || '@' || "
+             f"{_pick('email', 2, MAIL)}",
+    "address": f"{_between('address', 0, 100, 9999)} || ' ' || {_pick('address', 1, STREETS)} || ', ' || "
+               f"{_pick('address', 2, CITIES)}",
     "account": f"left(lpad({_text(_between('account', 0, 0, 999999))}, 6, '0') || "
                f"lpad({_text(_between('account', 1, 0, 999999))}, 6, '0'), {_between('account', 2, 8, 12)})",
 }
@@ -226,7 +252,7 @@ REPLACED = {
 
 def _substituted(column: str) -> str:
     result = column
-    for kind, token in ph.PLACEHOLDERS.items():
+    for kind, token in TOKENS.items():
         result = f"replace({result}, '{token}', r_{kind})"
     return f"CASE WHEN variant = 0 THEN {column} ELSE {result} END"
 
@@ -235,7 +261,7 @@ oracle("augment_substitute", ("sft",), f"""
 SELECT rec_id, variant, {_substituted('user_text')} AS user_text, {_substituted('answer')} AS answer FROM drawn""",
     fanned=FANNED,
     keyed="SELECT *, " + ", ".join(
-        f"md5('42:' || rec_id || ':' || variant || ':{k}') AS d_{k}" for k in ph.PLACEHOLDERS) + " FROM fanned",
+        f"md5('42:' || rec_id || ':' || variant || ':{k}') AS d_{k}" for k in TOKENS) + " FROM fanned",
     drawn="SELECT *, " + ", ".join(f"{sql} AS r_{k}" for k, sql in REPLACED.items()) + " FROM keyed")
 
 oracle("augment_valid", ("sft_raw",), """
