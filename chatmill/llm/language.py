@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatmill.llm.store import ship
 from chatmill.llm.text import chunks, mix
 
 BUCKETS = 1 << 15
@@ -120,6 +121,7 @@ def train(learn: DataFrame, per_language: int = 1000, smoothing: float = 0.5) ->
 
 def identify(docs: DataFrame, learn: DataFrame, per_language: int = 1000) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row of ``docs``, from its text alone."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(learn, per_language))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

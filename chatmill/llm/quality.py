@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatmill.llm.store import ship
 from chatmill.llm.text import LOWER, Words, chunks, flat, mix
 
 STATISTICS = [
@@ -214,6 +215,7 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, max_row
 
     At most ``max_rows`` labelled rows are used, in the order of a hash of the id.
     """
+    ship(docs.sparkSession)
     drawn = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     drawn = drawn.select(F.col("doc_id").alias("_id"), "label")
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))  # max_rows ids

@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatmill.llm.store import written
+from chatmill.llm.store import ship, written
 from chatmill.llm.text import Anchors, Words, byte_rolling, chunks, flat, mix, word_rolling
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc, tag, doc_id, text``."""
+    """``doc, tag, doc_id, text``; also sends the package to the executors."""
+    ship(docs.sparkSession)
     digest = F.xxhash64("text")
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), digest).alias("doc"),

@@ -1,15 +1,41 @@
-"""Tables written once into the folder all executors share."""
+"""What the operators share: tables written once, the package for the executors, folds of ids."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatmill.session import shared_dir
 
 
+#: Applications that have been sent the package.
+_SENT: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application.
+
+    The functions that run in tasks import them; a cluster need not have the
+    package installed.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SENT:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    _SENT.add(context.applicationId)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.llm.graph import components
-from chatmill.llm.store import written
+from chatmill.llm.store import ship, written
 from chatmill.llm.text import mix
 
 CELL = 2.0  # width of a quantised projection, for vectors of length one and normal directions
@@ -249,6 +249,7 @@ def near_duplicates(
     vectors: DataFrame, least_cosine: float = 0.95, recall: float = 0.998, block: int = 2048
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors`` (vec_id, embedding)."""
+    ship(vectors.sparkSession)
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     different = written(classes(vectors), "vector-classes")
     plan = Plan.calibrated(different.count(), least_cosine, recall)
