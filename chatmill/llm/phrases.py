@@ -17,7 +17,7 @@ else, in this document or another, is a repeat; every word it covers is removed.
    what reaches ``width`` words is an occurrence.
 
 No group is gathered but a block, whose size is a parameter, with the passages
-that occur in it.
+that occur in it; these go into automata of bounded size, one after the other.
 
 Defined cases: a null text has no words; documents of fewer words than
 ``width`` keep all; rows with equal id and text get equal results, one each;
@@ -43,6 +43,7 @@ GRAM = 8
 PHRASE = 6
 PAIRS = 500_000
 BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def _window_digests(touched: DataFrame, mixed: DataFrame, width: int) -> DataFrame:
@@ -168,11 +169,38 @@ def _agree(rolling: Rolling, a: np.ndarray, b: np.ndarray, most: np.ndarray, bac
         high[todo[~same]] = middle[~same] - 1
 
 
-def locate(texts: list[bytes], passages: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each text (words joined by spaces): which words lie in an occurrence of ``width`` words of a passage."""
+def _shards(passages: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Passages in parts of about ``most`` bytes, one automaton each."""
+    part: list[bytes] = []
+    size = 0
+    for passage in passages:
+        if part and size + len(passage) > most:
+            yield part
+            part, size = [], 0
+        part.append(passage)
+        size += len(passage)
+    if part:
+        yield part
+
+
+def locate(texts: list[bytes], passages: list[bytes], width: int, shard: int = SHARD_BYTES) -> list[np.ndarray]:
+    """For each text (words joined by spaces): which words lie in an occurrence of ``width`` words of a passage.
+
+    The texts are streamed through one automaton after the other, each of about
+    ``shard`` bytes of passages.
+    """
+    here = _Slots(texts, 11)
+    covered = np.zeros(here.size, dtype=bool)
+    for part in _shards(passages, shard):
+        covered |= _covered(here, part, width)
+    return [covered[b : b + c] for b, c in zip(here.begin.tolist(), here.counts.tolist())]
+
+
+def _covered(here: _Slots, passages: list[bytes], width: int) -> np.ndarray:
+    """Slots of the texts that lie in an occurrence of ``width`` words of one of the passages."""
     phrase = min(PHRASE, (width + 1) // 2)
     machine, places, lengths = _automaton(passages, phrase, width - phrase + 1)
-    here, there = _Slots(texts, 11), _Slots(passages, 12)
+    there = _Slots(passages, 12)
     ends, which = [], []
     if len(places):
         for end, value in machine.iter(here.raw.decode("latin-1")):
@@ -206,8 +234,7 @@ def locate(texts: list[bytes], passages: list[bytes], width: int) -> tuple[list[
     if starts:
         np.add.at(covered, np.concatenate(starts), 1)
         np.add.at(covered, np.concatenate(starts) + np.concatenate(counts), -1)
-    covered = np.cumsum(covered)[: here.size] > 0
-    return [covered[b : b + c] for b, c in zip(here.begin.tolist(), here.counts.tolist())], here.counts
+    return np.cumsum(covered)[: here.size] > 0
 
 
 def _stream(touched: DataFrame, routed: DataFrame, width: int) -> DataFrame:
@@ -218,7 +245,7 @@ def _stream(touched: DataFrame, routed: DataFrame, width: int) -> DataFrame:
         texts = [b" ".join((t or "").encode().split()) for t in docs.column("text").to_pylist()]
         removed, kept = [], []
         if len(docs) and passages:
-            for text, gone in zip(texts, locate(texts, passages, width)[0]):
+            for text, gone in zip(texts, locate(texts, passages, width)):
                 n = int(gone.sum())
                 removed.append(n)
                 if n:

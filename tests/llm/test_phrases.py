@@ -60,9 +60,11 @@ def test_clean_keeps_rows_columns_and_untouched_texts(spark, rows):
 def test_locate_whole_and_partial():
     passage = " ".join(f"w{i}" for i in range(60)).encode()
     text = b"x " + b" ".join(f"w{i}".encode() for i in range(11, 47)) + b" y w1 w2"
-    gone, counts = phrases.locate([text, b"", passage], [passage], 35)
-    assert gone[0].tolist() == [False] + [True] * 36 + [False] * 3
-    assert gone[1].tolist() == [] and gone[2].all() and counts.tolist() == [40, 0, 60]
+    other = " ".join(f"v{i}" for i in range(40)).encode()
+    for shard in (1, 1 << 20):  # an automaton for each passage, one for both
+        gone = phrases.locate([text, b"", passage, other], [passage, other], 35, shard)
+        assert gone[0].tolist() == [False] + [True] * 36 + [False] * 3
+        assert [len(g) for g in gone] == [40, 0, 60, 40] and gone[2].all() and gone[3].all()
 
 
 def test_empty_table(spark, rows):
