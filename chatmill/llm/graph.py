@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from chatmill.llm.store import written
 
 
-#: Rows of a file of the written tables, about.
-ROWS_A_FILE = 500_000
-
-
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """``node, component``: the smallest node that can be reached, for every node of ``edges`` (a, b).
 
     Every node points at a smaller or equal one.  Each round hooks the ends of
@@ -21,15 +17,12 @@ def components(edges: DataFrame) -> DataFrame:
     take a logarithmic number of rounds.  Minima are combined before the
     shuffle and the joins are ordinary ones that adaptive execution can split,
     so a node with very many edges is no bottleneck.  Each round is written to
-    the shared folder.
+    the shared folder, as ``files`` files.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.where("a <> b").distinct(), "edges")
-    # The tables are read again and again: files of a fair size, however many partitions a shuffle has.
-    files = 1 + both.count() // ROWS_A_FILE
-    both = written(both.coalesce(files), "edges")
+    both = written(both.where("a <> b").distinct(), "edges", files)
     start = both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")).select(F.col("a").alias("x"), "p")
-    parent = written(start.coalesce(files), "parents")
+    parent = written(start, "parents", files)
     while True:
         up = parent.select(F.col("x").alias("y"), F.col("p").alias("g"))
         grand = parent.join(up, F.col("p") == F.col("y")).select("x", "p", "g")
@@ -41,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.explode(F.array("u", "q")).alias("x"), F.col("reach").alias("p"))
         )
         after = hooks.unionByName(grand.select("x", F.least("p", "g").alias("p"))).groupBy("x").agg(F.min("p").alias("p"))
-        before, parent = parent, written(after.coalesce(files), "parents")
+        before, parent = parent, written(after, "parents", files)
         was = before.select(F.col("x").alias("w"), F.col("p").alias("old"))
         if parent.join(was, (F.col("x") == F.col("w")) & (F.col("p") != F.col("old"))).isEmpty():
             return parent.select(F.col("x").alias("node"), F.col("p").alias("component"))

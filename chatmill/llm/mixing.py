@@ -93,7 +93,7 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     # A row per source.  Written, so that the planner knows its size and sends it to the documents
     # rather than all documents of a source to one place.
-    edge = written(edge, "mix-edges")
+    edge = written(edge, "mix-edges", 1)
     inside = F.col("source").eqNullSafe(F.col("_at")) & (F.floor(F.col("bucket") / step) == F.col("_part"))
     fine = (
         sized.join(edge, inside)
@@ -121,7 +121,7 @@ def mix(
     ``docs`` has doc_id, text, source; ``taken`` is ``copies * size``.
     """
     sized = written(sizes(docs), "mix-sizes")
-    limits = written(thresholds(sized, targets(sized, weights, share, repeats)), "mix-limits")
+    limits = written(thresholds(sized, targets(sized, weights, share, repeats)), "mix-limits", 1)
     limits = limits.withColumnRenamed("source", "_limit")
     copies = F.col("copies") + (F.col("bucket") < F.col("below")).cast("long")
     return (
@@ -138,7 +138,7 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     Whether a row is taken depends on its id and source alone, so the rows need no shuffle by id.
     """
     sized = written(sizes(docs), "mix-sizes")
-    limits = written(thresholds(sized, targets(sized, weights, share, repeats)), "mix-limits")
+    limits = written(thresholds(sized, targets(sized, weights, share, repeats)), "mix-limits", 1)
     limits = limits.withColumnsRenamed({c: f"_{c}" for c in limits.columns})
     joined = docs.join(limits, docs["source"].eqNullSafe(limits["_source"]))
     times = limits["_copies"] + (bucket(docs["doc_id"]) < limits["_below"]).cast("long")

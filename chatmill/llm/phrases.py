@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.llm import recur
-from chatmill.llm.store import written
+from chatmill.llm.store import files_for, written
 from chatmill.llm.text import Rolling, Words, chunks, flat, mix, word_rolling
 
 GRAM = 8
@@ -285,9 +285,10 @@ def _plain(keyed: DataFrame) -> DataFrame:
 
 def found(keyed: DataFrame, width: int, block_bytes: int) -> DataFrame:
     """``doc, tag, removed, sha, kept`` of documents that may hold repeats."""
-    recurring = recur.repeated(recur.spans(keyed, "word", width, min(GRAM, width)))
-    touched = recur.touched(keyed, recurring)
-    different = written(recur.distinct_spans(recurring), "distinct-spans")
+    files = files_for(keyed.count())
+    recurring = recur.repeated(recur.spans(keyed, "word", width, min(GRAM, width)), files)
+    touched = recur.touched(keyed, recurring, files)
+    different = written(recur.distinct_spans(recurring), "distinct-spans", files)
     spot = F.col("spot")
     plain = different.where("NOT mixed").select(
         "doc", recur.tag(spot).alias("tag"), recur.first(spot).alias("first"), recur.count(spot).alias("count"), "key"
@@ -299,7 +300,7 @@ def found(keyed: DataFrame, width: int, block_bytes: int) -> DataFrame:
         .where("n > 1")
         .select("at.doc", "at.tag", "at.first", F.lit(1).cast("long").alias("count"), "key")
     )
-    passages = written(_passages(touched, plain.unionByName(compared), width), "passages")
+    passages = written(_passages(touched, plain.unionByName(compared), width), "passages", files)
 
     size = touched.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))

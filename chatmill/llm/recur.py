@@ -101,7 +101,7 @@ def spans(keyed_docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame
     return keyed_docs.select("doc", "tag", "text").mapInArrow(run, "key long, whole long, doc long, spot long")
 
 
-def repeated(all_spans: DataFrame) -> DataFrame:
+def repeated(all_spans: DataFrame, files: int) -> DataFrame:
     """``key, whole, doc, spot, mixed``: the spans whose anchor recurs.  Written once."""
     keys = (
         all_spans.groupBy("key")
@@ -109,7 +109,7 @@ def repeated(all_spans: DataFrame) -> DataFrame:
         .where("n > 1")
         .select(F.col("key").alias("_key"), (F.col("low") != F.col("high")).alias("mixed"))
     )
-    return written(all_spans.join(keys, F.col("key") == F.col("_key")).drop("_key"), "spans")
+    return written(all_spans.join(keys, F.col("key") == F.col("_key")).drop("_key"), "spans", files)
 
 
 def distinct_spans(recurring: DataFrame) -> DataFrame:
@@ -121,11 +121,11 @@ def distinct_spans(recurring: DataFrame) -> DataFrame:
     )
 
 
-def touched(keyed_docs: DataFrame, recurring: DataFrame) -> DataFrame:
+def touched(keyed_docs: DataFrame, recurring: DataFrame, files: int) -> DataFrame:
     """The rows that hold a recurring anchor.  Written once."""
     rows = recurring.select(F.col("doc").alias("_doc"), tag(F.col("spot")).alias("_tag")).distinct()
     same = (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))
-    return written(keyed_docs.join(rows, same, "left_semi"), "touched")
+    return written(keyed_docs.join(rows, same, "left_semi"), "touched", files)
 
 
 def runs(first_units: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -36,13 +36,20 @@ def ship(spark: SparkSession) -> None:
     _SENT.add(context.applicationId)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def files_for(rows: int, rows_a_file: int = 5_000) -> int:
+    """How many files a table of that many rows gets."""
+    return 1 + rows // rows_a_file
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage at a table that survives lost executors.  Each call makes
     a folder of its own; an operator's folders may be deleted once its result
-    has been saved.
+    has been saved.  ``files`` bounds the number of files (and of the last
+    stage's tasks) by the amount of data rather than by the shuffle's partitions.
     """
+    df = df.coalesce(files) if files else df
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

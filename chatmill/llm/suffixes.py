@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.llm import recur
+from chatmill.llm.store import files_for
 from chatmill.llm.text import chunks, flat
 
 GRAM = 64
@@ -252,8 +253,9 @@ def dedup(docs: DataFrame, length: int = 200, gram: int | None = None, texts: bo
     """
     gram = gram or min(GRAM, max(1, length // 3))
     keyed = recur.keyed(docs)
-    recurring = recur.repeated(recur.spans(keyed, "byte", length, gram))
-    touched = recur.touched(keyed, recurring)
+    files = files_for(docs.count())
+    recurring = recur.repeated(recur.spans(keyed, "byte", length, gram), files)
+    touched = recur.touched(keyed, recurring, files)
     different = recur.distinct_spans(recurring.where("mixed"))
     alone = _sorted_windows(_contexts(touched, different, length), length)
     known = different.where("n > 1").select(F.col("key").alias("_key"), F.col("whole").alias("_whole"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.llm.graph import components
-from chatmill.llm.store import ship, written
+from chatmill.llm.store import files_for, ship, written
 from chatmill.llm.text import mix
 
 CELL = 2.0  # width of a quantised projection, for vectors of length one and normal directions
@@ -251,7 +251,8 @@ def near_duplicates(
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors`` (vec_id, embedding)."""
     ship(vectors.sparkSession)
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    different = written(classes(vectors), "vector-classes")
+    files = files_for(vectors.count(), 50_000)
+    different = written(classes(vectors), "vector-classes", files)
     plan = Plan.calibrated(different.count(), least_cosine, recall)
     links = written(_links(different, plan, least_cosine, block), "vector-links")
     counts = links.groupBy(F.col("vec").alias("_vec"), F.col("tag").alias("_tag")).agg(F.sum("links").alias("links"))
@@ -259,9 +260,10 @@ def near_duplicates(
         "vec", F.col("embedding").alias("_embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     member = F.col("vec_id").isNotNull() & F.col("embedding").eqNullSafe(F.col("_embedding"))
-    rows = written(vectors.join(by_class, member, "left").select("vec_id", "vec", "n_links"), "vector-rows")
+    rows = written(vectors.join(by_class, member, "left").select("vec_id", "vec", "n_links"), "vector-rows", files)
     edges = links.select(F.col("vec").alias("a"), F.col("root").alias("b"))
-    groups = components(edges.unionByName(rows.where("vec <> vec_id").select(F.col("vec").alias("a"), F.col("vec_id").alias("b"))))
+    edges = edges.unionByName(rows.where("vec <> vec_id").select(F.col("vec").alias("a"), F.col("vec_id").alias("b")))
+    groups = components(edges, files)
     found = rows.join(groups, F.col("vec_id") == F.col("node"), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
     )
