@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,13 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and cut its lineage there.
+    """Write ``df`` once as Parquet into the shared folder and read it from there.
 
-    Used for results that are small by construction but expensive to derive
-    (one row per class, per group, per input split) and read more than once.
+    Used for results that are read more than once: scored cases without their long
+    texts, one row per class, group or input split.  Later reads take only the
+    columns they need, and a lost executor costs no recomputation.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

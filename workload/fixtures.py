@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("documents", "labels", "conversations", "events", "embeddings", "benchmark")
 
+#: The driver's tables of long texts are one row group each, which is one task.  They are
+#: always dealt out by key first, whatever their size; the jobs themselves do not depend on it.
+DEALT_BY = {"documents": "doc_id", "conversations": "conv_id"}
+
 STATEMENTS: dict[str, str] = {}
 USES: dict[str, tuple[str, ...]] = {"chat": ("conversations",)}
 
@@ -219,6 +223,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for step in _needed(name, []):
         if step in BASE:
             df = spark.read.parquet(f"{sf_dir}/{step}.parquet")
+            df = df.repartition(DEALT_BY[step]) if step in DEALT_BY else df
         else:
             df = spark.sql(IN_SPARK.get(step, STATEMENTS[step]))
         df.createOrReplaceTempView(step)
