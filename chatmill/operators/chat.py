@@ -108,6 +108,15 @@ def biggest_first(chats: DataFrame, n: int, messages: str = "messages") -> DataF
     return sized.orderBy(F.desc("total_chars"), "rec_id").limit(n)
 
 
+def biggest_records(chats: DataFrame, n: int, messages: str = "messages") -> DataFrame:
+    """The ``n`` records with the most text, whole, with ``total_chars``; needs a unique ``rec_id``.
+
+    Only the winners' ids meet in one place; the records are fetched by them.
+    """
+    winners = biggest_first(chats, n, messages).withColumnRenamed("rec_id", "_id")
+    return chats.join(winners, chats["rec_id"] == winners["_id"]).drop("_id")
+
+
 def first_n(df: DataFrame, n: int, order: str = "rec_id") -> DataFrame:
     """First ``n`` rows in record order (a top-k per task, merged)."""
     return df.orderBy(order).limit(n)

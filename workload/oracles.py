@@ -52,6 +52,10 @@ HAVING coalesce(max(length(text)) FILTER (WHERE role = 'user'), 0) <= 4000""")
 oracle("biggest_first", ("conversations",), """
 SELECT conv_id AS rec_id, CAST(sum(length(text)) AS BIGINT) AS total_chars FROM conversations
 GROUP BY conv_id ORDER BY total_chars DESC, rec_id LIMIT 5""")
+oracle("biggest_records", ("conversations",), """
+SELECT conv_id AS rec_id, CAST(sum(length(text)) AS BIGINT) AS total_chars, CAST(count(*) AS INTEGER) AS n_messages,
+  string_agg(text, '|' ORDER BY turn) AS contents FROM conversations
+GROUP BY conv_id ORDER BY total_chars DESC, rec_id LIMIT 5""")
 
 oracle("first_n", ("conversations",), """
 SELECT conv_id AS rec_id, CAST(count(*) AS INTEGER) AS n_messages FROM conversations

@@ -99,6 +99,13 @@ def biggest_first(chats):
     return chat.biggest_first(chats, 5)
 
 
+@query("chat")
+def biggest_records(chats):
+    found = chat.biggest_records(chats, 5)
+    return found.select("rec_id", "total_chars", F.size("messages").alias("n_messages"),
+                        F.array_join(F.transform("messages", lambda m: m["content"]), "|").alias("contents"))
+
+
 @query("chat")
 def first_n(chats):
     return chat.first_n(chats, 10).select("rec_id", F.size("messages").alias("n_messages"))
