@@ -13,8 +13,10 @@ another, is a repeat; every byte it covers is removed.  The work runs in steps:
 4. Each text is cut by what was found in it.
 
 Shuffles carry the anchors' rows and the differing stretches, not a row per
-byte.  A task sorts whole anchors in blocks of about a megabyte; what an anchor
-brings to one task is one stretch per *different* neighbourhood.
+byte.  A task sorts whole anchors in blocks of about a megabyte.  An anchor whose
+different stretches exceed a block (*hot*: a phrase in very many surroundings) is
+not sorted in one task: its stretches are dealt out singly, and its windows are
+counted over all tasks by a 128-bit digest, a row per window.
 
 Defined cases: null counts as empty text; rows shorter than ``length`` keep all;
 rows with equal id and text get equal results, one each; empty tables give
@@ -33,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.llm import recur
-from chatmill.llm.store import files_for
-from chatmill.llm.text import chunks, flat
+from chatmill.llm.store import files_for, written
+from chatmill.llm.text import Rolling, byte_rolling, chunks, flat, mix
 
 GRAM = 64
 BLOCK = 1 << 20
+_VALUES = mix(np.arange(256, dtype=np.uint64), 11)
+_BASE = 0xD6E8FEB86659FD93 | 5
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -50,10 +54,16 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), dtype=np.int64)
     s = np.zeros(n + 3, dtype=np.int64)
     s[:n] = symbols
+    if int(s.max()) > n + 256:
+        s = np.unique(s, return_inverse=True)[1]
     base = int(s.max()) + 1
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     cover = np.concatenate([ones, twos])
-    triples = (s[cover] * base + s[cover + 1]) * base + s[cover + 2]
+    ranks = len(cover) + 1
+    pair = s[:-1] * base + s[1:]
+    if base * base * max(base, ranks) >= 1 << 63:  # three names do not fit into one long: rank the first two
+        pair = np.unique(pair, return_inverse=True)[1]
+    triples = pair[cover] * base + s[cover + 2]
     _, names = np.unique(triples, return_inverse=True)
     names = names.astype(np.int64) + 1
     if names.max() < len(cover):
@@ -66,15 +76,14 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     sampled = sampled[sampled < n]
 
     rest = np.arange(0, n, 3)
-    ranks = len(cover) + 1
     first = s[rest] * ranks + rank[rest + 1]
     by_first = np.argsort(first, kind="stable")
     rest, first = rest[by_first], first[by_first]
-    second = (s[rest] * base + s[rest + 1]) * ranks + rank[rest + 2]
+    second = pair[rest] * ranks + rank[rest + 2]
     is_one = sampled % 3 == 1
     one, two = sampled[is_one], sampled[~is_one]
     before = np.searchsorted(s[one] * ranks + rank[one + 1], first)
-    before = before + np.searchsorted((s[two] * base + s[two + 1]) * ranks + rank[two + 2], second)
+    before = before + np.searchsorted(pair[two] * ranks + rank[two + 2], second)
     place = before + np.arange(len(rest))
     order = np.empty(n, dtype=np.int64)
     free = np.ones(n, dtype=bool)
@@ -120,9 +129,9 @@ def recurring_windows(stretches: list[bytes], counts: np.ndarray, length: int) -
 
 
 def _contexts(touched: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
-    """``key, doc, spot, n, bytes``: the text of the different stretches around mixed anchors."""
+    """``key, doc, spot, n, hot, bytes``: the text of the different stretches around mixed anchors."""
     wanted = mixed.groupBy(F.col("doc").alias("_doc"), recur.tag(F.col("spot")).alias("_tag")).agg(
-        F.collect_list(F.struct("spot", "key", "n")).alias("wanted")
+        F.collect_list(F.struct("spot", "key", "n", "hot")).alias("wanted")
     )
     same = (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))
     rows = touched.dropDuplicates(["doc", "tag"]).join(wanted, same).select("doc", "text", "wanted")
@@ -138,18 +147,38 @@ def _contexts(touched: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
             stop = start + ((spot >> 18) & 0x3FFF) + length - 1
             raw = data.tobytes()
             parts = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist())]
-            fields = [wanted.values.field(x).slice(ends[0], ends[-1] - ends[0]) for x in ("key", "n")]
+            fields = [wanted.values.field(x).slice(ends[0], ends[-1] - ends[0]) for x in ("key", "n", "hot")]
             doc = chunk.column("doc").take(pa.array(row))
             yield pa.record_batch(
-                [fields[0], doc, pa.array(spot), fields[1], pa.array(parts, pa.binary())],
-                ["key", "doc", "spot", "n", "bytes"],
+                [fields[0], doc, pa.array(spot), fields[1], fields[2], pa.array(parts, pa.binary())],
+                ["key", "doc", "spot", "n", "hot", "bytes"],
             )
 
-    return rows.mapInArrow(run, "key long, doc long, spot long, n long, bytes binary")
+    return rows.mapInArrow(run, "key long, doc long, spot long, n long, hot boolean, bytes binary")
+
+
+def _digests(stretches: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Every window of the stretches: its place, weight and 128-bit digest."""
+    sizes = pc.binary_length(stretches.column("bytes")).to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(stretches.column("bytes").to_pylist()), dtype=np.uint8)
+    spot = stretches.column("spot").to_numpy()
+    counts = (spot >> 18) & 0x3FFF
+    owner = np.repeat(np.arange(len(spot)), counts)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = (np.cumsum(sizes) - sizes)[owner] + inside
+    key = mix(stretches.column("key").to_numpy().view(np.uint64), 9)[owner]
+    one = byte_rolling(data).of(at, at + length) ^ key
+    two = Rolling(_VALUES[data], _BASE).of(at, at + length)
+    columns = [stretches.column("doc").to_numpy()[owner], (spot & 0xFFFF)[owner], inside + (spot >> 32)[owner], np.ones(len(owner)),
+               stretches.column("n").to_numpy()[owner], one.view(np.int64), two.view(np.int64)]
+    return pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], ["doc", "tag", "first", "count", "n", "one", "two"])
+
 
+def _windows(contexts: DataFrame, length: int) -> DataFrame:
+    """``doc, tag, first, count``: runs of recurring windows of the stretches seen once.
 
-def _sorted_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """``doc, tag, first, count``: runs of recurring windows of the stretches seen once."""
+    Windows of hot anchors come one by one, with ``n, one, two``: weight and digest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -170,10 +199,14 @@ def _sorted_windows(contexts: DataFrame, length: int) -> DataFrame:
             size = np.diff(np.append(begin, len(keep)))
             docs = table.column("doc").to_numpy()[own[begin]]
             columns = [docs, spot[own[begin]] & 0xFFFF, win[begin], size]
-            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc", "tag", "first", "count"])
+            columns = [pa.array(c, pa.int64()) for c in columns] + [pa.nulls(len(begin), pa.int64())] * 3
+            return pa.record_batch(columns, ["doc", "tag", "first", "count", "n", "one", "two"])
 
         size = 0
         for batch in batches:
+            for some in chunks([batch.filter(batch.column("hot"))], "bytes"):
+                yield _digests(some, length)
+            batch = batch.filter(pc.invert(batch.column("hot")))
             key = batch.column("key").to_numpy()
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1  # a block ends between two anchors
             last = held[-1].column("key")[-1].as_py() if held else None
@@ -193,8 +226,30 @@ def _sorted_windows(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve()
 
-    by_anchor = contexts.repartition("key").sortWithinPartitions("key")
-    return by_anchor.mapInArrow(run, "doc long, tag long, first long, count long")
+    alone = F.when(F.col("hot"), F.xxhash64("doc", "spot")).otherwise(0)
+    by_anchor = contexts.repartition("key", alone).sortWithinPartitions("key")
+    return by_anchor.mapInArrow(run, "doc long, tag long, first long, count long, n long, one long, two long")
+
+
+def _marked(different: DataFrame, length: int) -> DataFrame:
+    """``different`` with ``hot``: whether the stretches of its anchor exceed a block."""
+    stretch = recur.count(F.col("spot")) + (length - 1)
+    hot = different.groupBy(F.col("key").alias("_key")).agg(F.sum(stretch).alias("size")).where(F.col("size") > BLOCK)
+    # At most one anchor for each block of stretches; written, so that the planner knows their size.
+    hot = written(hot.select("_key", F.lit(True).alias("hot")), "hot", 1)
+    joined = different.join(hot, F.col("key") == F.col("_key"), "left").drop("_key")
+    return joined.withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def _recurring(windows: DataFrame) -> DataFrame:
+    """``doc, tag, first, count``: what was sorted, and the hot anchors' windows whose digest occurs again."""
+    hot = windows.where("one IS NOT NULL")
+    again = hot.groupBy(F.col("one").alias("_one"), F.col("two").alias("_two")).agg(F.sum("n").alias("times"))
+    # Written, so that a join with a very common window can be split.
+    again = written(again.where("times > 1").select("_one", "_two"), "again")
+    same = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
+    found = windows.where("one IS NULL").unionByName(hot.where("n = 1").join(again, same, "left_semi"))
+    return found.select("doc", "tag", "first", "count")
 
 
 def _cut(touched: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
@@ -256,8 +311,9 @@ def dedup(docs: DataFrame, length: int = 200, gram: int | None = None, texts: bo
     files = files_for(docs.count())
     recurring = recur.repeated(recur.spans(keyed, "byte", length, gram), files)
     touched = recur.touched(keyed, recurring, files)
-    different = recur.distinct_spans(recurring.where("mixed"))
-    alone = _sorted_windows(_contexts(touched, different, length), length)
+    different = written(recur.distinct_spans(recurring.where("mixed")), "different", files)
+    windows = _windows(_contexts(touched, _marked(different, length), length), length)
+    alone = _recurring(written(windows, "windows"))
     known = different.where("n > 1").select(F.col("key").alias("_key"), F.col("whole").alias("_whole"))
     equal = (F.col("key") == F.col("_key")) & (F.col("whole") == F.col("_whole"))
     spot = F.col("spot")

@@ -73,3 +73,29 @@ def test_many_equal_stretches():
 
 def test_empty_table(spark, rows):
     assert suffixes.dedup(rows([], "doc_id long, text string")).collect() == []
+
+
+def test_order_of_many_names():
+    s = np.random.default_rng(3).permutation(3_000_000) + 1
+    assert (suffixes.suffix_order(s) == np.argsort(s)).all()
+    rng = random.Random(6)
+    t = np.array([rng.choice((1, 7_000_000, 9_000_000, 1 << 40)) for _ in range(90)], dtype=np.int64)
+    assert suffixes.suffix_order(t).tolist() == sorted(range(90), key=lambda i: t[i:].tolist())
+
+
+def test_hot_anchor_is_not_sorted_in_one_task(spark, rows, monkeypatch):
+    solve, most = suffixes.recurring_windows, 4000
+
+    def bounded(stretches, counts, length):
+        assert sum(map(len, stretches)) <= 2 * most
+        return solve(stretches, counts, length)
+
+    monkeypatch.setattr(suffixes, "BLOCK", most)
+    monkeypatch.setattr(suffixes, "recurring_windows", bounded)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, ends = word(36), [word(12) for _ in range(40)]
+    data = [(k, word(60) + rng.choice(ends) + phrase + rng.choice(ends) + word(60)) for k in range(300)]
+    data += [(300 + k, data[k][1]) for k in range(3)]
+    got = suffixes.dedup(rows(data, "doc_id long, text string").repartition(4), length=40, gram=12).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(data, 40)
