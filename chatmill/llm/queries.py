@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmill.llm import decontaminate, language, mixing, phrases, quality, similar, suffixes, toxicity, vectors, wrapper
+from chatmill.llm import decontaminate, exact, language, mixing, phrases, quality, similar, suffixes, toxicity, vectors, wrapper
 from chatmill.llm.store import is_fold
 from chatmill.session import configure
 
@@ -95,3 +95,11 @@ def op5_near_dedup(spark, table):
 
 
 SQL["op5_near_dedup"] = vectors.sql()
+
+
+@query
+def op11_exact_dedup(spark, table):
+    return exact.dedup(table("documents"))
+
+
+SQL["op11_exact_dedup"] = exact.sql()
