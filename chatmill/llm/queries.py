@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmill.llm import decontaminate, exact, language, mixing, phrases, quality, similar, suffixes, toxicity, vectors, wrapper
+from chatmill.llm import decontaminate, exact, language, mixing, phrases, quality, similar, suffixes, toxicity, trie, vectors, wrapper
 from chatmill.llm.store import is_fold
 from chatmill.session import configure
 
@@ -103,3 +103,11 @@ def op11_exact_dedup(spark, table):
 
 
 SQL["op11_exact_dedup"] = exact.sql()
+
+
+@query
+def op13_conversation_trie(spark, table):
+    return trie.trie(trie.rebuilt(table("conversations")))
+
+
+SQL["op13_conversation_trie"] = trie.sql()
