@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatmill.llm import decontaminate, exact, language, mixing, phrases, quality, similar, suffixes, toxicity, trie, vectors, wrapper
+from chatmill.llm import decontaminate, exact, language, mixing, negatives, phrases, quality, similar, suffixes, toxicity, trie, vectors, wrapper
 from chatmill.llm.store import is_fold
 from chatmill.session import configure
 
@@ -111,3 +111,13 @@ def op13_conversation_trie(spark, table):
 
 
 SQL["op13_conversation_trie"] = trie.sql()
+
+
+@query
+def op12_hard_negatives(spark, table):
+    moved = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label"
+    rows = table("embeddings").selectExpr("vec_id", moved, "embedding")
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+SQL["op12_hard_negatives"] = negatives.sql()
