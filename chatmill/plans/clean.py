@@ -38,7 +38,7 @@ def from_chats(chats: DataFrame) -> DataFrame:
             "assistant_text"
         ),
         (F.col("assistant_msg").isNotNull() & F.col("assistant_msg.content").isNull()).alias("answer_was_null"),
-        *[c for c in ("src_file", "line_no") if c in chats.columns],
+        *[c for c in ("src_file", "src_block", "src_row") if c in chats.columns],
     )
 
 

@@ -51,7 +51,7 @@ def length_report(counted: DataFrame, max_tokens: int) -> DataFrame:
 
 def longest_dropped(counted: DataFrame, max_tokens: int, n: int = 20) -> DataFrame:
     """The longest records over the cap."""
-    place = [c for c in ("src_file", "line_no") if c in counted.columns]
+    place = [c for c in ("src_file", "src_block", "src_row") if c in counted.columns]
     over = counted.where(F.col("n_tokens") > max_tokens).select("rec_id", "n_tokens", *place)
     return over.orderBy(F.desc("n_tokens"), "rec_id").limit(n)
 

@@ -41,7 +41,7 @@ def run_clean(spark: SparkSession, a: argparse.Namespace) -> None:
     # One pass: both counts are taken while the data is written.  Rejects with their
     # line numbers are a second one, for those who ask for them.
     read, decided = Observation("read"), Observation("decided")
-    lines = records.read_jsonl(spark, a.input, number=bool(a.rejects), counted=read)
+    lines = records.read_jsonl(spark, a.input, counted=read)
     prefix = text_file(spark, a.strip_prefix_file) if a.strip_prefix_file else None
     classified = clean.classify(clean.from_chats(lines.records), prefix, a.max_user_chars).observe(
         decided, *clean.counters()
@@ -51,6 +51,7 @@ def run_clean(spark: SparkSession, a: argparse.Namespace) -> None:
     found["dropped_invalid"] += read.get["malformed"]
     if a.rejects:
         bad = clean.classify(clean.from_chats(lines.records), prefix, a.max_user_chars).where("drop_reason IS NOT NULL")
+        bad = lines.numbered(bad.select("src_file", "src_block", "src_row", "drop_reason"))
         malformed = lines.rejects.select("src_file", "line_no", F.lit("malformed").alias("drop_reason"))
         bad.select("src_file", "line_no", "drop_reason").unionByName(malformed).write.json(a.rejects)
     show("clean", found)
@@ -79,7 +80,8 @@ def run_token_filter(spark: SparkSession, a: argparse.Namespace) -> None:
     result = token_filter.token_filter(
         records.read_jsonl_strict(spark, a.input), a.max_tokens, COUNTERS[a.counter], a.report_only
     )
-    show("longest dropped", result.dropped_top)
+    top = records.line_numbers(records.placed_lines(spark, a.input), result.dropped_top)
+    show("longest dropped", top.select("rec_id", "n_tokens", "src_file", "line_no").orderBy(F.desc("n_tokens"), "rec_id"))
     show("dropped", result.dropped)
     show("kept", result.report)
     if result.data is not None:

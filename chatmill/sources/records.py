@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -12,108 +14,135 @@ from pyspark.sql import functions as F
 from chatmill.functions.answers import json_ok
 from chatmill.functions.text import strip
 from chatmill.operators.ranking import running_totals
-from chatmill.session import materialise
 
 CHAT_SCHEMA = "messages array<struct<role: string, content: string>>"
 ALPACA_SCHEMA = "instruction string, input string, output string"
+#: Where a record stands.
+PLACE = ("src_file", "src_block", "src_row", "rec_id")
+
+
+#: Inputs are cut by their size alone, whatever the cluster: at most ``SPLIT`` bytes, and smaller
+#: inputs in up to ``PARTS`` splits.  So the ids below are the same on any number of executors.
+SPLIT, PARTS, SMALLEST = 128 << 20, 1024, 4 << 20
+#: The lists of file names that are sent to every executor are no larger than this.
+SENT = 64 << 20
+#: Bits of a row's number within its task.
+_ROW = (1 << 33) - 1
+#: Line counts of a file are added up over this many bits of the split's position first (128 GB).
+_FAR = 37
 
 
 @dataclass
 class Lines:
+    """What a reader found: ``records``, ``rejects`` (file, line number, text), and the lines they come from."""
+
     records: DataFrame
     rejects: DataFrame
-
-
-def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(
-        F.col("value").alias("raw"),
-        F.col("_metadata.file_path").alias("src_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
+    lines: DataFrame
+
+    def numbered(self, rows: DataFrame) -> DataFrame:
+        """Add ``line_no`` to ``rows``, which have src_file, src_block and src_row of these lines."""
+        return line_numbers(self.lines, rows)
+
+
+def _reader(spark: SparkSession, split: int) -> SparkSession:
+    """A session of the same application that cuts files as said above, with all other settings of ``spark``."""
+    reader = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if not key.startswith("spark.sql.files.") and spark.conf.isModifiable(key):
+            reader.conf.set(key, value)
+    for name, value in (("maxPartitionBytes", split), ("minPartitionNum", PARTS), ("openCostInBytes", min(split, SMALLEST))):
+        reader.conf.set(f"spark.sql.files.{name}", str(value))
+    return reader
+
+
+def placed_lines(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """``(src_file, src_block, src_row, rec_id, raw)``: every line with its place, in one scan.
+
+    ``src_block`` is where the line's split begins in the file, ``src_row`` counts
+    the lines of its task.  A split of full size is a task of its own and holds
+    fewer lines than bytes; only the last, shorter split of a file may follow
+    others in its task.  So ``src_block + src_row`` tells the lines of a file apart
+    and grows along it, and with the file's number (by name) in the upper bits
+    it is ``rec_id``: unique, in the order of names and lines, and no line has to
+    be counted before it can be read.
+    """
+    reader = _reader(spark, split)
+    text = reader.read.text(path)
+    files = sorted(re.sub("^file:///", "file:/", name) for name in text.inputFiles())  # as the metadata spells them
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))
+    lines = text.select(
+        F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("src_block"),
+        row.alias("src_row"), F.col("value").alias("raw"),
+    )
+    # The caller's session goes on with the lines; the splits stay those of the reader.
+    name = f"lines_{uuid.uuid4().hex}"
+    lines.createGlobalTempView(name)
+    lines = spark.table(f"{spark.conf.get('spark.sql.globalTempDatabase', 'global_temp')}.{name}")
+    position = F.col("src_block") + F.col("src_row")
+    if len(files) < 2:
+        return lines.select("src_file", "src_block", "src_row", position.alias("rec_id"), "raw")
+    bits = 63 - len(files).bit_length()
+    numbers = spark.createDataFrame(list(zip(files, range(len(files)))), "_file string, _number long")
+    if sum(map(len, files)) + 16 * len(files) <= SENT:
+        numbers = F.broadcast(numbers)
+    return lines.join(numbers, F.col("src_file") == F.col("_file")).select(
+        "src_file", "src_block", "src_row", F.shiftleft("_number", bits).bitwiseOR(position).alias("rec_id"), "raw"
     )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(src_file, line_no, rec_id, raw)``: every line with its number in its file.
+def line_numbers(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add ``line_no`` (from 1 in each file) to ``rows`` with src_file, src_block and src_row of some of ``lines``.
 
-    ``rec_id`` counts lines over all files in name order.  Spark reads a file in
-    splits; within a split its row ids are consecutive, so a line number is the
-    id's distance from the split's first id plus the lines of earlier splits.
-    Only the table of splits is ordered, never the lines.  The price of numbers
-    that are the same on any cluster is a pass that counts the lines of each split.
+    A second scan counts the lines of each split, for the files that ``rows`` name
+    only.  The counts are added up within stretches of 128 GB, then over the
+    stretches of a file; texts take no part.
     """
-    # Both passes must cut the files into the same splits, also when the number of
-    # executors changes in between.
-    pin = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(pin, None) is None:
-        spark.conf.set(pin, str(spark.sparkContext.defaultParallelism))
-    lines = _raw_lines(spark, path)
-    splits = materialise(
-        lines.groupBy("src_file", "_block").agg(
-            F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines")
-        )
-    )
-    in_file = Window.partitionBy("src_file").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    # One row per input split: 800,000 rows for 100 TB in 128 MB splits.
-    over_all = Window.partitionBy(F.lit(0)).orderBy("src_file", "_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    placed = splits.select(
-        "src_file",
-        "_block",
-        "_first",
-        F.coalesce(F.sum("_lines").over(in_file), F.lit(0)).alias("_in_file"),
-        F.coalesce(F.sum("_lines").over(over_all), F.lit(0)).alias("_overall"),
-    )
-    place = F.col("_id") - F.col("_first")
-    return lines.join(placed, ["src_file", "_block"]).select(
-        "src_file",
-        (F.col("_in_file") + place + 1).alias("line_no"),
-        (F.col("_overall") + place).alias("rec_id"),
-        "raw",
-    )
+    far = F.shiftright("src_block", _FAR).alias("_far")
+    splits = lines.groupBy("src_file", "src_block").agg(F.min("src_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    splits = splits.join(rows.select("src_file").distinct(), "src_file", "left_semi").select("*", far)
+    near = Window.partitionBy("src_file", "_far").orderBy("src_block").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("src_file").orderBy("_far").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = splits.groupBy("src_file", "_far").agg(F.sum("_lines").alias("_all"))
+    stretches = stretches.select("src_file", "_far", F.coalesce(F.sum("_all").over(over), F.lit(0)).alias("_before"))
+    placed = splits.withColumn("_near", F.coalesce(F.sum("_lines").over(near), F.lit(0))).join(stretches, ["src_file", "_far"])
+    placed = placed.select("src_file", "src_block", (F.col("_before") + F.col("_near") - F.col("_first") + 1).alias("_shift"))
+    return rows.join(placed, ["src_file", "src_block"]).withColumn("line_no", F.col("src_row") + F.col("_shift")).drop("_shift")
 
 
 def read_jsonl(
     spark: SparkSession,
     path: str,
     schema: str = CHAT_SCHEMA,
-    number: bool = True,
     counted: Observation | None = None,
+    split: int = SPLIT,
 ) -> Lines:
     """Skip blank lines; malformed ones come back as rejects with file and line number.
 
-    Without ``number`` the files are read once: ``rec_id`` is then only unique
-    within this read and ``line_no`` is null.  ``counted`` receives the numbers
-    of ``records`` and ``malformed`` lines while the records are consumed.
+    The files are read once for the records.  ``rejects`` is a second reading, for
+    those who ask for it: only then are lines counted.  ``counted`` receives the
+    numbers of ``records`` and ``malformed`` lines while the records are consumed.
     """
-    if number:
-        lines = numbered_lines(spark, path)
-    else:
-        unnumbered = F.lit(None).cast("long").alias("line_no")
-        lines = _raw_lines(spark, path).select("src_file", unnumbered, F.col("_id").alias("rec_id"), "raw")
+    lines = placed_lines(spark, path, split)
     checked = lines.where(strip(F.col("raw")) != "").withColumn("_ok", json_ok(F.col("raw")))
     if counted is not None:
         checked = checked.observe(
             counted, F.count_if("_ok").alias("records"), F.count_if(~F.col("_ok")).alias("malformed")
         )
-    records = checked.where("_ok").withColumn("_rec", F.from_json("raw", schema)).select(
-        "src_file", "line_no", "rec_id", "_rec.*", "raw"
-    )
-    rejects = checked.where(~F.col("_ok")).select("src_file", "line_no", "raw")
-    return Lines(records, rejects)
-
-
-def read_jsonl_strict(spark: SparkSession, path: str, schema: str = CHAT_SCHEMA) -> DataFrame:
-    """As ``read_jsonl``, but any malformed line fails the job when it is reached."""
-    lines = numbered_lines(spark, path).where(strip(F.col("raw")) != "")
-    message = F.concat(F.lit("malformed JSON at "), "src_file", F.lit(":"), F.col("line_no").cast("string"))
+    records = checked.where("_ok").withColumn("_rec", F.from_json("raw", schema)).select(*PLACE, "_rec.*", "raw")
+    bad = checked.where(~F.col("_ok")).select(*PLACE, "raw")
+    return Lines(records, line_numbers(lines, bad).select("src_file", "line_no", "raw"), lines)
+
+
+def read_jsonl_strict(spark: SparkSession, path: str, schema: str = CHAT_SCHEMA, split: int = SPLIT) -> DataFrame:
+    """As ``read_jsonl``, but any malformed line fails the job when it is reached, in the same single reading."""
+    lines = placed_lines(spark, path, split).where(strip(F.col("raw")) != "")
+    message = F.concat(
+        F.lit("malformed JSON in "), "src_file", F.lit(" after byte "), F.col("src_block").cast("string"),
+        F.lit(": "), F.left("raw", F.lit(80)),
+    )
     good = F.when(json_ok(F.col("raw")), F.col("raw")).otherwise(F.raise_error(message))
-    return lines.withColumn("raw", good).withColumn("_rec", F.from_json("raw", schema)).select(
-        "src_file", "line_no", "rec_id", "_rec.*", "raw"
-    )
+    return lines.withColumn("raw", good).withColumn("_rec", F.from_json("raw", schema)).select(*PLACE, "_rec.*", "raw")
 
 
 def indexed(records: DataFrame) -> DataFrame:

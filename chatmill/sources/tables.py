@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatmill.operators.chat import first_n
 from chatmill.operators.markers import clean_markers
-from chatmill.sources.records import numbered_lines, read_jsonl_strict
+from chatmill.sources.records import placed_lines, read_jsonl_strict
 
 CASE_SCHEMA = "case_pos long, name string, input string, asserts string, output string"
 RETEST_SCHEMA = "case_name string, input_text string"
@@ -68,11 +68,14 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines ``(run, line_no, value)``; the run is the file's name without ending."""
-    lines = numbered_lines(spark, path)
+    """Log lines ``(run, line_no, value)``, read once; the run is the file's name without ending.
+
+    ``line_no`` grows along a file; in files of more than one split it skips numbers.
+    """
     name = F.element_at(F.split("src_file", "/"), -1)
-    return lines.select(
-        F.regexp_replace(name, r"\.[^.]*$", "").alias("run"), "line_no", F.col("raw").alias("value")
+    place = F.col("src_block") + F.col("src_row") + 1
+    return placed_lines(spark, path).select(
+        F.regexp_replace(name, r"\.[^.]*$", "").alias("run"), place.alias("line_no"), F.col("raw").alias("value")
     )
 
 

@@ -1,8 +1,9 @@
+import gzip
 import json
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import Observation
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from chatmill.plans import runs
@@ -22,41 +23,74 @@ def jsonl(tmp_path):
     return str(tmp_path)
 
 
-def test_lenient_read_numbers_lines_and_keeps_rejects(spark, jsonl):
+def scans(df):
+    """Leaves of the physical plan that read text files."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan text"), "Window" in plan
+
+
+def test_lenient_read_places_lines_and_keeps_rejects(spark, jsonl):
     lines = records.read_jsonl(spark, jsonl)
     got = lines.records.orderBy("rec_id").collect()
     assert [r.messages[0].content for r in got] == ["é0\n", "é2\n", "é3\n"]
-    assert [(r.src_file[-7:], r.line_no, r.rec_id) for r in got] == [
-        ("a.jsonl", 1, 0), ("a.jsonl", 6, 5), ("b.jsonl", 1, 6),
-    ]
+    numbered = lines.numbered(lines.records.select("src_file", "src_block", "src_row", "rec_id")).orderBy("rec_id").collect()
+    assert [(r.src_file[-7:], r.line_no) for r in numbered] == [("a.jsonl", 1), ("a.jsonl", 6), ("b.jsonl", 1)]
     assert sorted((r.line_no, r.raw[:4]) for r in lines.rejects.collect()) == [(3, "{bad"), (4, '{"me')]
 
 
+def test_records_take_one_scan_and_change_no_setting(spark, jsonl):
+    before = spark.conf.getAll
+    lines = records.read_jsonl(spark, jsonl)
+    assert scans(lines.records) == (1, False)
+    assert scans(records.read_jsonl_strict(spark, f"{jsonl}/b.jsonl")) == (1, False)
+    assert lines.records.count() == 3 and spark.conf.getAll == before
+    assert lines.records.sparkSession is spark or lines.records.sparkSession.sparkContext is spark.sparkContext
+
+
 def test_one_pass_read_counts_on_the_way(spark, jsonl):
     counted = Observation("lines")
-    lines = records.read_jsonl(spark, jsonl, number=False, counted=counted)
+    lines = records.read_jsonl(spark, jsonl, counted=counted)
     got = lines.records.collect()
     assert len({r.rec_id for r in got}) == len(got) == 3
     assert counted.get == {"records": 3, "malformed": 2}
     assert [r["index"] for r in records.indexed(lines.records.drop("raw")).orderBy("index").collect()] == [0, 1, 2]
 
 
-def test_line_numbers_over_many_splits(spark, tmp_path):
-    n = 30_000
-    (tmp_path / "big.jsonl").write_text("".join(f'{{"messages": [], "n": {i}}}\n' for i in range(n)))
+def test_places_over_many_splits_and_files(spark, tmp_path):
+    """Full and short splits of long files, packed short files, a compressed one and a name with a space."""
+    sizes = {"a big.jsonl": 30_000, "b.jsonl": 5, "c.jsonl": 700, "d.jsonl": 1, "e.jsonl": 12_000}
+    sizes |= {f"s{i:03d}.jsonl": i % 4 for i in range(60)}
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("".join(f'{{"messages": [], "n": {i}}}\n' if i % 50 else "\n" for i in range(n)))
+    with gzip.open(tmp_path / "z.jsonl.gz", "wt") as out:
+        out.write("".join(f'{{"messages": [], "n": {i}}}\n' for i in range(40_000)))
+    lines = records.placed_lines(spark, str(tmp_path), split=40_000)
+    assert lines.rdd.getNumPartitions() > 20
+    got = records.line_numbers(lines, lines).withColumn("n", F.get_json_object("raw", "$.n").cast("long"))
+    assert got.count() == sum(sizes.values()) + 40_000 == lines.select("rec_id").distinct().count()
+    assert got.where("n IS NOT NULL AND n + 1 <> line_no").count() == 0
+    order = got.select("src_file", "line_no", F.row_number().over(Window.orderBy("rec_id")).alias("at"))
+    by_name = got.select("src_file", "line_no", F.row_number().over(Window.orderBy("src_file", "line_no")).alias("want"))
+    assert order.join(by_name, ["src_file", "line_no"]).where("at <> want").count() == 0
+    some = got.where("n % 1000 = 7").select("src_file", "src_block", "src_row", "n", "rec_id")
+    assert records.line_numbers(lines, some).where("n + 1 <> line_no").count() == 0
+    index = records.indexed(lines.drop("raw"))
+    assert index.agg(F.min("index"), F.max("index"), F.countDistinct("index")).first()[:] == (0, lines.count() - 1, lines.count())
+
+
+def test_ids_do_not_depend_on_cores_or_split_settings(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("".join(f'{{"messages": [], "n": {i}}}\n' for i in range(5000)))
+    (tmp_path / "y.jsonl").write_text('{"messages": []}\n')
+    read = lambda: sorted(map(tuple, records.placed_lines(spark, str(tmp_path), 30_000).select("rec_id", "raw").collect()))
+    first = read()
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    spark.conf.set("spark.sql.files.minPartitionNum", "77")
     try:
-        lines = records.numbered_lines(spark, str(tmp_path)).withColumn(
-            "n", F.get_json_object("raw", "$.n").cast("long")
-        )
-        wrong = lines.where((F.col("n") + 1 != F.col("line_no")) | (F.col("n") != F.col("rec_id")))
-        assert lines.rdd.getNumPartitions() > 4
-        assert lines.count() == n and wrong.count() == 0
+        assert read() == first
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
 def test_strict_read_aborts(spark, jsonl, tmp_path):

@@ -30,8 +30,16 @@ def strip(x: str) -> str:
 oracle("src_jsonl_lenient", ("conversations",), """
 SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS total_chars
 FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id""")
+# Line numbers: a file holds the conversations of one remainder in order; two blank lines follow every fifth id.
+PLACED = """SELECT conv_id, conv_id % 64 AS file_no, CAST(sum(1 + CASE WHEN conv_id % 5 = 0 THEN 2 ELSE 0 END)
+  OVER (PARTITION BY conv_id % 64 ORDER BY conv_id) - CASE WHEN conv_id % 5 = 0 THEN 2 ELSE 0 END AS BIGINT) AS line_no
+  FROM (SELECT DISTINCT conv_id FROM conversations)"""
 oracle("src_jsonl_rejects", ("conversations",), """
-SELECT DISTINCT conv_id, true AS numbered FROM conversations WHERE conv_id % 7 = 0""")
+SELECT conv_id, file_no, line_no FROM placed WHERE conv_id % 7 = 0""", placed=PLACED)
+oracle("src_strict", ("conversations",), """
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS total_chars, conv_id % 64 AS file_no,
+  row_number() OVER (ORDER BY CAST(conv_id % 64 AS VARCHAR), conv_id) - 1 AS index
+FROM conversations GROUP BY conv_id""")
 
 # -- records ---------------------------------------------------------------------------
 

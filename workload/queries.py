@@ -51,32 +51,54 @@ def _scratch(df: DataFrame) -> str:
     return f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
 
 
-def _as_lines(chats: DataFrame) -> str:
-    """Write the chats as JSONL with a cut line for every seventh and blank lines for every fifth."""
+def _as_lines(chats: DataFrame, cut: bool = True) -> str:
+    """Write the chats as JSONL, 64 files of ``rec_id`` modulo 64 in order; two blank lines follow every fifth.
+
+    With ``cut`` every seventh line lacks its last character.
+    """
     line = F.to_json(F.struct(F.col("rec_id").alias("conv_id"), "messages"))
-    cut = F.when(F.col("rec_id") % 7 == 0, F.left(line, F.length(line) - 1)).otherwise(line)
-    with_blank = F.when(F.col("rec_id") % 5 == 0, F.concat(cut, F.lit("\n  \n"))).otherwise(cut)
+    bad = F.lit(cut) & (F.col("rec_id") % 7 == 0)
+    line = F.when(bad, F.left(line, F.length(line) - 1)).otherwise(line)
+    with_blank = F.when(F.col("rec_id") % 5 == 0, F.concat(line, F.lit("\n  \n"))).otherwise(line)
     path = _scratch(chats)
-    chats.select(with_blank.alias("value")).write.text(path)
+    dealt = chats.select("rec_id", (F.col("rec_id") % 64).alias("part"), with_blank.alias("value"))
+    dealt.repartition(64, "part").sortWithinPartitions("part", "rec_id").select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
-@query("chat")
-def src_jsonl_lenient(chats):
-    lines = records.read_jsonl(chats.sparkSession, _as_lines(chats))
-    return lines.records.select(
+def _said(records_: DataFrame) -> DataFrame:
+    return records_.select(
         F.get_json_object("raw", "$.conv_id").cast("long").alias("conv_id"),
         F.size("messages").alias("n_messages"),
         chat.total_chars(F.col("messages")).alias("total_chars"),
     )
 
 
+@query("chat")
+def src_jsonl_lenient(chats):
+    return _said(records.read_jsonl(chats.sparkSession, _as_lines(chats)).records)
+
+
 @query("chat")
 def src_jsonl_rejects(chats):
-    """The malformed lines by the conversation they begin with."""
+    """The malformed lines by the conversation they begin with, with their exact line numbers."""
     rejects = records.read_jsonl(chats.sparkSession, _as_lines(chats)).rejects
-    conv = F.regexp_extract("raw", r'^\{"conv_id":(\d+),', 1).cast("long")
-    return rejects.select(conv.alias("conv_id"), (F.col("line_no") > 0).alias("numbered"))
+    return rejects.select(
+        F.regexp_extract("raw", r'^\{"conv_id":(\d+),', 1).cast("long").alias("conv_id"),
+        F.regexp_extract("src_file", r"/part=(\d+)/", 1).cast("long").alias("file_no"), "line_no",
+    )
+
+
+@query("chat")
+def src_strict(chats):
+    """Every record of well-formed files, with its index over all of them in the order of file names and lines."""
+    read = records.read_jsonl_strict(chats.sparkSession, _as_lines(chats, cut=False))
+    place = F.regexp_extract("src_file", r"/part=(\d+)/", 1).cast("long").alias("file_no")
+    said = _said(read).join(
+        records.indexed(read.select("rec_id", F.get_json_object("raw", "$.conv_id").cast("long").alias("conv_id"), place)),
+        "conv_id",
+    )
+    return said.select("conv_id", "n_messages", "total_chars", "file_no", "index")
 
 
 # -- records ---------------------------------------------------------------------------
