@@ -22,8 +22,8 @@ def _number(line: Column, pattern: str) -> Column:
     return F.regexp_extract(line, pattern, 1).try_cast("double")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Numbers and flags of each log line; the line itself is kept only for errors."""
+def parse_lines(lines: DataFrame, *more: Column) -> DataFrame:
+    """Numbers and flags of each log line, and whatever columns are asked for besides."""
     value = F.col("value")
     is_step = value.contains(STEP)
     return lines.select(
@@ -35,6 +35,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.when(is_step, _number(value, RATE)).alias("learning_rate"),
         value.contains(DONE).alias("is_done"),
         F.when(value.contains("final_loss"), _number(value, FINAL)).alias("final_loss"),
+        *more,
     )
 
 

@@ -444,6 +444,9 @@ FROM (SELECT gold_class AS cls, 'failure' AS kind FROM cats WHERE category = 'fa
 
 MARKS = f"SELECT DISTINCT {strip('marker')} AS marker FROM markers WHERE {strip('marker')} <> ''"
 oracle("marker_semi", ("documents", "markers"), """
+SELECT doc_id AS rec_id FROM documents d WHERE EXISTS (SELECT 1 FROM marks m WHERE contains(d.text, m.marker))""",
+    marks=MARKS)
+oracle("marker_sharded", ("documents", "markers"), """
 SELECT doc_id AS rec_id FROM documents d WHERE EXISTS (SELECT 1 FROM marks m WHERE contains(d.text, m.marker))""",
     marks=MARKS)
 oracle("synth_work", ("sft", "markers"), """
@@ -605,12 +608,17 @@ FROM (SELECT *, CAST(epoch(TIMESTAMP '2024-01-02 03:04:05') - epoch(CAST(TRY_CAS
 
 oracle("stream_runlog_status", ("run_log",), """
 SELECT run, loss, epoch, learning_rate, completed, final_loss FROM status""", **LOG)
+oracle("stream_run_errors", ("run_log",), "SELECT * FROM status", **LOG)
 oracle("stream_route", R, """
 SELECT req_id, requested_model, status, error, backend, forwarded_model FROM answered""", **ROUTED)
 oracle("stream_score", ("backtest",), """
 SELECT case_pos, gold_class, passed, CASE WHEN starts_with(output, 'ERROR:') THEN 'inference_error'
   WHEN NOT pred_ok THEN 'unparseable' WHEN passed THEN 'passed' ELSE 'failed' END AS outcome FROM scored""", **BACK)
 
+oracle("stream_score_resume", ("backtest",), """
+SELECT case_pos, gold_class, passed, CASE WHEN starts_with(output, 'ERROR:') THEN 'inference_error'
+  WHEN NOT pred_ok THEN 'unparseable' WHEN passed THEN 'passed' ELSE 'failed' END AS outcome FROM scored""", **BACK)
+
 QUANTILES = ",\n  ".join(
     f"quantile_cont({src}, {q / 100}) FILTER (WHERE failed = 0) AS p{q}_{out}"
     for src, out in (("ttft_ms", "ttft_ms"), ("e2e_ms", "e2el_ms")) for q in (50, 90, 95, 99))

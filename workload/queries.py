@@ -512,6 +512,13 @@ def marker_semi(docs, marks):
     return markers.containing(narrow, F.col("text"), markers.clean_markers(marks)).select("rec_id")
 
 
+@query("documents", "markers")
+def marker_sharded(docs, marks):
+    """As ``marker_semi``, with the list filed in shards as one of any length is."""
+    narrow = docs.select(F.col("doc_id").alias("rec_id"), "text")
+    return markers.containing(narrow, F.col("text"), markers.clean_markers(marks), listed_bytes=0).select("rec_id")
+
+
 @query("sft", "markers")
 def synth_work(seeds, marks):
     return synth.work_list(seeds, markers.clean_markers(marks))
@@ -713,6 +720,17 @@ def stream_runlog_status(lines):
     return published.where(F.col("batch") == last).drop("batch")
 
 
+@query("run_log")
+def stream_run_errors(lines):
+    """Status with recent errors, followed over two starts of one query."""
+    spark = lines.sparkSession
+    folder, out, check = _scratch(lines), _scratch(lines), _scratch(lines)
+    for part in (0, 1):
+        lines.where(F.col("line_no") % 2 == part).write.mode("append").json(folder)
+        jobs.publish_changes(jobs.follow_errors(spark, folder), out, check, once=True).awaitTermination()
+    return jobs.current_status(spark, out)
+
+
 @query("requests", "routes", "path_routes")
 def stream_route(reqs, routes, paths):
     spark = reqs.sparkSession
@@ -731,3 +749,15 @@ def stream_score(cases):
     scored = jobs.score_stream(spark, _segments(cases))
     jobs.persist(scored, out, check, once=True).awaitTermination()
     return spark.read.parquet(out).select("case_pos", "gold_class", "passed", "outcome")
+
+
+@query("backtest")
+def stream_score_resume(cases):
+    """Every case scored once, though a third of them arrives twice and the job starts anew without its checkpoint."""
+    spark = cases.sparkSession
+    folder, out = _scratch(cases), _scratch(cases)
+    cases.where("case_pos % 3 <> 0").write.json(folder)
+    jobs.score_once(jobs.case_stream(spark, folder), out, _scratch(cases), once=True).awaitTermination()
+    cases.where("case_pos % 3 <> 1").write.mode("append").json(folder)
+    jobs.score_once(jobs.case_stream(spark, folder), out, _scratch(cases), once=True).awaitTermination()
+    return spark.read.parquet(out).select("case_pos", "gold_class", "passed", "outcome")
