@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatmill.functions.text import or_empty
 from chatmill.functions.tokens import LOSSLESS_TOKEN
+from chatmill.operators import ranking
 
 # Text before and after a message, by role; "*" serves every other role.
 ROLE_MARKERS: dict[str, tuple[str, str]] = {
@@ -98,28 +99,31 @@ def total_chars(messages: Column) -> Column:
     return F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n)
 
 
-def biggest_first(chats: DataFrame, n: int, messages: str = "messages") -> DataFrame:
-    """The ``n`` records with the most text, biggest first, ties by ``rec_id``.
+def biggest_first(chats: DataFrame, n: int, messages: str = "messages", few: int = ranking.FEW) -> DataFrame:
+    """``rec_id, total_chars`` of the ``n`` records with the most text, biggest first, ties by ``rec_id``.
 
-    Sizes are ranked on a two-column projection, so whole texts are fetched only
-    for the winners.
+    Only sizes are ranked, and for a large ``n`` only counts of sizes.
     """
     sized = chats.select("rec_id", total_chars(F.col(messages)).alias("total_chars"))
-    return sized.orderBy(F.desc("total_chars"), "rec_id").limit(n)
+    found = ranking.first_by(sized, n, [-F.col("total_chars"), F.col("rec_id")], few)
+    return found.orderBy(F.desc("total_chars"), "rec_id")
 
 
-def biggest_records(chats: DataFrame, n: int, messages: str = "messages") -> DataFrame:
+def biggest_records(chats: DataFrame, n: int, messages: str = "messages", few: int = ranking.FEW) -> DataFrame:
     """The ``n`` records with the most text, whole, with ``total_chars``; needs a unique ``rec_id``.
 
-    Only the winners' ids meet in one place; the records are fetched by them.
+    Few winners are fetched by their ids; many are the records that pass the cut, which move nowhere.
     """
-    winners = biggest_first(chats, n, messages).withColumnRenamed("rec_id", "_id")
+    if n > few:
+        sized = chats.withColumn("total_chars", total_chars(F.col(messages)))
+        return ranking.first_by(sized, n, [-F.col("total_chars"), F.col("rec_id")], few)
+    winners = biggest_first(chats, n, messages, few).withColumnRenamed("rec_id", "_id")
     return chats.join(winners, chats["rec_id"] == winners["_id"]).drop("_id")
 
 
-def first_n(df: DataFrame, n: int, order: str = "rec_id") -> DataFrame:
-    """First ``n`` rows in record order (a top-k per task, merged)."""
-    return df.orderBy(order).limit(n)
+def first_n(df: DataFrame, n: int, order: str = "rec_id", few: int = ranking.FEW) -> DataFrame:
+    """First ``n`` rows in the order of a unique whole-number column."""
+    return ranking.first_by(df, n, [F.col(order)], few)
 
 
 def render(messages: Column, markers: Mapping[str, tuple[str, str]] = ROLE_MARKERS) -> Column:

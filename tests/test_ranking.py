@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chatmill.operators import ranking
+from chatmill.operators import chat, ranking
 from chatmill.plans.combine import shuffle_key, split_exact
 
 
@@ -72,3 +72,32 @@ def test_histogram_order_statistics(rows):
     assert ranking.nth_of_histogram(small, "v", "c", {"p50": F.lit(0.5)}).first().p50 == 3
     none = ranking.nth_of_histogram(small.where("v > 9"), "v", "c", {"p50": F.lit(0.5)}).first()
     assert (none.n, none.p50, none.max) == (0, None, None)
+
+
+def partitions_hold(df):
+    return [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+
+
+@pytest.mark.parametrize("n", [1, 37, 2500, 4999, 5000, 9000])
+def test_selection_of_any_size_by_counts(spark, n):
+    """Ties, negative and very distant keys; the cut equals a full sort."""
+    rng = random.Random(4)
+    data = [(i, rng.choice([0, 1, -5, 2**62, -(2**62), rng.randrange(10**6), rng.randrange(40)])) for i in range(5000)]
+    df = spark.createDataFrame(data, "id long, size long").repartition(64)
+    got = ranking.first_by(df, n, [-F.col("size"), F.col("id")], few=0)
+    assert sorted(r.id for r in got.collect()) == sorted(i for i, _ in sorted(data, key=lambda x: (-x[1], x[0]))[:n])
+    assert "TakeOrdered" not in got._jdf.queryExecution().toString()
+
+
+def test_half_of_the_largest_records_in_place(spark):
+    """Half of the table is chosen, and no task holds more than a 64th of it."""
+    text = F.repeat(F.lit("x"), (F.col("id") % 97).cast("int"))
+    chats = spark.range(0, 12_800, 1, 128).select(
+        F.col("id").alias("rec_id"), F.array(F.struct(F.lit("user").alias("role"), text.alias("content"))).alias("messages")
+    )
+    got = chat.biggest_records(chats, 6400, few=100)
+    want = sorted(range(12_800), key=lambda i: (-(i % 97), i))[:6400]
+    assert sorted(r.rec_id for r in got.select("rec_id").collect()) == sorted(want)
+    assert max(partitions_hold(got)) <= 12_800 // 64
+    assert [r.rec_id for r in chat.biggest_first(chats, 6400, few=100).collect()] == want
+    assert sorted(r.rec_id for r in chat.first_n(chats, 6000, few=10).collect()) == list(range(6000))

@@ -65,6 +65,9 @@ SELECT conv_id AS rec_id, CAST(sum(length(text)) AS BIGINT) AS total_chars, CAST
   string_agg(text, '|' ORDER BY turn) AS contents FROM conversations
 GROUP BY conv_id ORDER BY total_chars DESC, rec_id LIMIT 5""")
 
+oracle("biggest_half", ("conversations",), """
+SELECT conv_id AS rec_id, CAST(sum(length(text)) AS BIGINT) AS total_chars FROM conversations
+GROUP BY conv_id ORDER BY total_chars DESC, rec_id LIMIT (SELECT count(DISTINCT conv_id) // 2 FROM conversations)""")
 oracle("first_n", ("conversations",), """
 SELECT conv_id AS rec_id, CAST(count(*) AS INTEGER) AS n_messages FROM conversations
 GROUP BY conv_id ORDER BY rec_id LIMIT 10""")

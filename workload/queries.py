@@ -128,6 +128,12 @@ def biggest_records(chats):
                         F.array_join(F.transform("messages", lambda m: m["content"]), "|").alias("contents"))
 
 
+@query("chat")
+def biggest_half(chats):
+    """The larger half of the records, cut by counts of sizes."""
+    return chat.biggest_records(chats, chats.count() // 2, few=0).select("rec_id", "total_chars")
+
+
 @query("chat")
 def first_n(chats):
     return chat.first_n(chats, 10).select("rec_id", F.size("messages").alias("n_messages"))
