@@ -7,13 +7,22 @@ buckets, whatever the data looks like.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatmill.session import materialise
 
+# Ship the two bit functions with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Hex digits of the bucket of a digest: 65,536 buckets of equal expected size.
 BUCKET_DIGITS = 4
 #: A window over unique positions holds at most 2**POSITION_BITS rows.
@@ -233,3 +242,73 @@ def first_by(df: DataFrame, n: int, order: Sequence[Column], few: int = FEW) ->
         below = below | (same & (key < value))
         same = same & (key == value)
     return df.where(below | same)
+
+
+@F.arrow_udf(T.LongType())
+def _bits(values: pa.Array) -> pa.Array:
+    """Doubles as whole numbers in the same order (NaN last)."""
+    x = values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+    x = np.where(np.isnan(x), np.nan, x).view(np.int64)
+    return pa.array(x ^ ((x >> 63) & np.int64((1 << 63) - 1)))
+
+
+@F.arrow_udf(T.DoubleType())
+def _double(bits: pa.Array) -> pa.Array:
+    x = bits.to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.array((x ^ ((x >> 63) & np.int64((1 << 63) - 1))).view(np.float64))
+
+
+def exact_percentiles(
+    df: DataFrame, groups: Sequence[str], values: Mapping[str, Column], fractions: Sequence[float]
+) -> DataFrame:
+    """``groups`` and, for each named value, the array of its exact percentiles (interpolated, nulls left out).
+
+    The order statistics are found digit by digit: four rounds, each counting the
+    next 16 bits of the values that share the digits found so far.  Counts
+    are made in the map tasks, so a group may hold any share of the rows
+    and any number of different values.
+    """
+    each = F.array(*[F.struct(F.lit(name).alias("_name"), v.cast("double").alias("_value")) for name, v in values.items()])
+    long = df.select(*groups, F.inline(each)).where("_value IS NOT NULL")
+    of = [*groups, "_name"]
+    keys = materialise(long.select(*of, _bits(F.col("_value")).bitwiseXOR(F.lit(-(1 << 63))).alias("_bits")))
+
+    def joined(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+        right = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+        return left.join(right, same, how).drop(*[f"_r_{c}" for c in on])
+
+    place = (F.col("_n") - 1) * F.col("_fraction")
+    asked = F.array(*[F.struct(F.lit(i).alias("_no"), F.lit(float(f)).alias("_fraction")) for i, f in enumerate(fractions)])
+    counted = keys.groupBy(*of).agg(F.count(F.lit(1)).alias("_n")).select(*of, "_n", F.inline(asked))
+    ends = F.array(F.floor(place), F.ceil(place))
+    at = F.posexplode(ends).alias("_end", "_rank")
+    targets = materialise(counted.select(*of, "_no", place.alias("_place"), at).withColumn("_prefix", F.lit(0).cast("long")))
+    for shift in (48, 32, 16, 0):
+        found = keys
+        if shift < 48:
+            prefixes = targets.select(*of, "_prefix").distinct()
+            found = keys.withColumn("_prefix", F.shiftrightunsigned("_bits", shift + _DIGIT))
+            found = joined(found, prefixes, [*of, "_prefix"])
+        else:
+            found = keys.withColumn("_prefix", F.lit(0).cast("long"))
+        digit = F.shiftrightunsigned("_bits", shift).bitwiseAND(F.lit((1 << _DIGIT) - 1))
+        hist = found.groupBy(*of, "_prefix", digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_rows"))
+        through = Window.partitionBy(*of, "_prefix").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
+        ladder = hist.withColumn("_through", F.sum("_rows").over(through))
+        step = joined(targets, ladder, [*of, "_prefix"])
+        step = step.where((F.col("_rank") < F.col("_through")) & (F.col("_rank") >= F.col("_through") - F.col("_rows")))
+        targets = materialise(step.select(
+            *of, "_no", "_place", "_end", (F.col("_rank") - F.col("_through") + F.col("_rows")).alias("_rank"),
+            F.shiftleft("_prefix", _DIGIT).bitwiseOR(F.col("_digit")).alias("_prefix"),
+        ))
+    exact = targets.withColumn("_exact", _double(F.col("_prefix").bitwiseXOR(F.lit(-(1 << 63)))))
+    pair = exact.groupBy(*of, "_no", "_place").agg(
+        F.max(F.when(F.col("_end") == 0, F.col("_exact"))).alias("_low"),
+        F.max(F.when(F.col("_end") == 1, F.col("_exact"))).alias("_high"),
+    )
+    part = F.col("_place") - F.floor("_place")
+    between = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise((1 - part) * F.col("_low") + part * F.col("_high"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("_no", between.alias("_v")))), lambda x: x["_v"])
+    arrays = pair.groupBy(*of).agg(told.alias("_all"))  # one value a fraction
+    return arrays.groupBy(*groups).agg(*[F.max(F.when(F.col("_name") == n, F.col("_all"))).alias(n) for n in values])

@@ -110,18 +110,6 @@ def variants(
     return checked.where(keep).drop("_retest", "_valid", "answer_ok")
 
 
-def by_class(
-    augmented: DataFrame, classes: Sequence[str] = PRIORITY_CLASSES
-) -> DataFrame:
-    """Originals, variants and total per class."""
-    counts = augmented.groupBy("cls").agg(
-        F.count_if(F.col("variant") == 0).alias("originals"),
-        F.count_if(F.col("variant") > 0).alias("variants"),
-        F.count(F.lit(1)).alias("total"),
-    )
-    return counts.withColumn("priority", F.col("cls").isin(*classes))
-
-
 def augment(
     records: DataFrame,
     normal: int = 4,
@@ -136,12 +124,45 @@ def augment(
     ``raw``, where the input has them.
     """
     whole = [c for c in WHOLE if c in records.columns]
-    classed = with_class(records.select("rec_id", "system", "user_text", "answer", *whole))
+    return from_classed(
+        with_class(records.select("rec_id", "system", "user_text", "answer", *whole)), normal, priority, noise, seed, classes
+    )
+
+
+def from_classed(
+    classed: DataFrame,
+    normal: int = 4,
+    priority: int = 12,
+    noise: float = 0.003,
+    seed: int = 42,
+    classes: Sequence[str] = PRIORITY_CLASSES,
+) -> Augmented:
+    """The job over records that ``with_class`` has read."""
+    whole = [c for c in WHOLE if c in classed.columns]
     count = variant_count(F.col("cls"), normal, priority, classes)
     made = variants(classed, count, seed, noise)
-    # Counting needs no texts beyond the answer's own validity; Spark prunes the rest.
     original = F.col("variant") == 0
     new = canonical(F.col("system"), F.col("user_text"), F.col("answer"))
     raw = [F.when(original, F.col("raw")).alias("raw")] if "raw" in whole else []
     data = made.select("rec_id", "variant", "cls", original_or(made, original, new).alias("messages"), *raw)
-    return Augmented(data, by_class(made, classes).orderBy(F.desc("total"), "cls"))
+    return Augmented(data, class_counts(classed, count, seed, classes).orderBy(F.desc("total"), "cls"))
+
+
+def class_counts(classed: DataFrame, n_variants: Column, seed: int, classes: Sequence[str]) -> DataFrame:
+    """Originals, variants and total per class, from the records alone.
+
+    A valid answer keeps all its variants, an invalid one without placeholders
+    none; only invalid answers with placeholders are filled in and tested.
+    """
+    unsure = ~F.col("answer_ok") & ph.has_placeholder(F.col("answer"))
+    sure = classed.where(~F.coalesce(unsure, F.lit(False))).select(
+        "cls", F.lit(1).alias("_original"), F.when(F.col("answer_ok"), n_variants).otherwise(0).alias("_variants")
+    )
+    tested = variants(classed.where(unsure).select("rec_id", "user_text", "answer", "cls", "answer_ok"), n_variants, seed, 0.0)
+    first = F.col("variant") == 0
+    tested = tested.select("cls", first.cast("int").alias("_original"), (~first).cast("int").alias("_variants"))
+    counts = sure.unionByName(tested).groupBy("cls").agg(
+        F.sum("_original").cast("long").alias("originals"), F.sum("_variants").cast("long").alias("variants"),
+        F.sum(F.col("_original") + F.col("_variants")).cast("long").alias("total"),
+    )
+    return counts.withColumn("priority", F.col("cls").isin(*classes))

@@ -187,17 +187,13 @@ def focus(
         "rec_id", "kind", "cls", "variant",
         canonical(system.strip(), F.col("user_text"), F.col("answer")).alias("messages"),
     )
-    return Focused(data, summary(data))
+    return Focused(data, summary(seeds, count))
 
 
-def summary(data: DataFrame) -> DataFrame:
-    """Per class: records, distinct failure seeds and distinct anchor seeds.
-
-    A seed is counted by its original (variant 0), so no distinct is needed.
-    """
-    original = F.col("variant") == 0
-    return data.groupBy("cls").agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_if(original & (F.col("kind") == "failure")).alias("failure_seeds"),
-        F.count_if(original & (F.col("kind") == "anchor")).alias("anchor_seeds"),
+def summary(seeds: DataFrame, n_variants: Column) -> DataFrame:
+    """Per class: records, failure seeds and anchor seeds; all variants of a seed are kept, so none is made here."""
+    return seeds.groupBy("cls").agg(
+        F.sum(n_variants + 1).cast("long").alias("records"),
+        F.count_if(F.col("kind") == "failure").alias("failure_seeds"),
+        F.count_if(F.col("kind") == "anchor").alias("anchor_seeds"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.functions.numbers import fixed
-from chatmill.operators.ranking import top_per_group
+from chatmill.operators.ranking import exact_percentiles, top_per_group
 
 # What a log line must hold to count.
 STEP = "'loss':"
@@ -141,17 +141,17 @@ def benchmark(requests: DataFrame) -> DataFrame:
             - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6
     tpot = F.try_divide(F.col("e2e_ms") - F.col("ttft_ms"), F.col("output_tokens") - 1)
     ok = F.col("failed") == 0
-    wanted = F.array(*[F.lit(q / 100) for q in PERCENTILES])
+    measured = {f"_{n}": F.when(ok, F.col(c)) for n, c in (("ttft", "ttft_ms"), ("e2e", "e2e_ms"))}
+    exact = exact_percentiles(requests, ["concurrency"], measured, [q / 100 for q in PERCENTILES])
     totals = requests.groupBy(F.col("concurrency").alias("max_concurrency")).agg(
         F.count_if(ok).alias("completed"),
         F.sum(F.when(ok, F.col("output_tokens"))).alias("_tokens"),
         F.sum("failed").cast("long").alias("failed"),
         F.avg(F.when(ok, tpot)).alias("mean_tpot_ms"),
         span.alias("_span"),
-        *[F.percentile(F.when(ok, F.col(c)), wanted).alias(f"_{n}") for n, c in (("ttft", "ttft_ms"), ("e2e", "e2e_ms"))],
     )
     return (
-        totals.select("*", *[F.col("_ttft")[i].alias(f"p{q}_ttft_ms") for i, q in enumerate(PERCENTILES)],
+        totals.join(exact, F.col("max_concurrency").eqNullSafe(F.col("concurrency")), "left").drop("concurrency").select("*", *[F.col("_ttft")[i].alias(f"p{q}_ttft_ms") for i, q in enumerate(PERCENTILES)],
                       *[F.col("_e2e")[i].alias(f"p{q}_e2el_ms") for i, q in enumerate(PERCENTILES)])
         .withColumn("request_throughput", F.try_divide("completed", "_span"))
         .withColumn("output_throughput", F.try_divide("_tokens", "_span"))

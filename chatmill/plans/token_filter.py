@@ -63,7 +63,11 @@ def token_filter(
     report_only: bool = False,
 ) -> TokenFiltered:
     """The whole job; with ``report_only`` no data comes back."""
-    counted = with_tokens(chats, counter)
+    return filtered(with_tokens(chats, counter), max_tokens, report_only)
+
+
+def filtered(counted: DataFrame, max_tokens: int, report_only: bool = False) -> TokenFiltered:
+    """The job over records that carry ``n_tokens``; all of its four results read them."""
     data = None if report_only else within(counted, max_tokens).drop("n_tokens")
     total = counted.agg(F.count_if(F.col("n_tokens") > max_tokens).alias("dropped"))
     return TokenFiltered(

@@ -20,7 +20,7 @@ from chatmill.operators.markers import clean_markers
 from chatmill.plans import (
     alpaca, augment, clean, combine, detect, evaluate, focus, inventory, ocr, routing, runs, synth, token_filter,
 )
-from chatmill.session import configure
+from chatmill.session import configure, materialise
 from chatmill.sources import records, tables
 from chatmill.streaming import jobs
 
@@ -58,8 +58,9 @@ def run_clean(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_augment(spark: SparkSession, a: argparse.Namespace) -> None:
-    seeds = chat.triples(records.read_jsonl_strict(spark, a.input))
-    made = augment.augment(seeds, a.pass_variants, a.fail_variants, a.ocr_noise_rate, a.seed)
+    # Read and parsed once; data and report go on from the table of classed records.
+    seeds = materialise(augment.with_class(chat.triples(records.read_jsonl_strict(spark, a.input))))
+    made = augment.from_classed(seeds, a.pass_variants, a.fail_variants, a.ocr_noise_rate, a.seed)
     records.write_records(made.data, a.output)
     show("class", made.by_class)
 
@@ -77,11 +78,14 @@ def run_combine(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_token_filter(spark: SparkSession, a: argparse.Namespace) -> None:
-    result = token_filter.token_filter(
-        records.read_jsonl_strict(spark, a.input), a.max_tokens, COUNTERS[a.counter], a.report_only
-    )
-    top = records.line_numbers(records.placed_lines(spark, a.input), result.dropped_top)
-    show("longest dropped", top.select("rec_id", "n_tokens", "src_file", "line_no").orderBy(F.desc("n_tokens"), "rec_id"))
+    counted = token_filter.with_tokens(records.read_jsonl_strict(spark, a.input), COUNTERS[a.counter])
+    # Read and counted once; a report needs no texts.
+    counted = materialise(counted.select(*records.PLACE, "n_tokens", *([] if a.report_only else ["raw"])))
+    result = token_filter.filtered(counted, a.max_tokens, a.report_only)
+    top = materialise(result.dropped_top)
+    if not top.isEmpty():  # line numbers of the records that are named
+        top = records.line_numbers(records.placed_lines(spark, a.input), top)
+        show("longest dropped", top.select("rec_id", "n_tokens", "src_file", "line_no").orderBy(F.desc("n_tokens"), "rec_id"))
     show("dropped", result.dropped)
     show("kept", result.report)
     if result.data is not None:
@@ -173,9 +177,10 @@ def run_route(spark: SparkSession, a: argparse.Namespace) -> None:
     paths = spark.read.schema("path string, backend string").json(a.path_routes)
     report = routing.routing_report(requests, routes, paths)
     report.routed.write.parquet(a.output)
-    report.unknown_models.write.json(f"{a.output}-unknown-models")
+    routed = spark.read.parquet(a.output)  # the reports read what was written, the requests are routed once
+    routing.unknown_models(routed).write.json(f"{a.output}-unknown-models")
     show("problem", report.audit)
-    show("status", report.by_status)
+    show("status", routing.status_counts(routed))
 
 
 def run_inventory(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -186,13 +191,19 @@ def run_inventory(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_runs(spark: SparkSession, a: argparse.Namespace) -> None:
-    meta = tables.read_metadata(spark, a.metadata)
+    read = tables.read_metadata(spark, a.metadata)
+    meta = read.data
+    if a.rejects:
+        read.rejects.write.json(a.rejects)
     catalog = runs.run_catalog(meta.select("dir"), meta)
     runs.run_report(catalog, tables.read_log(spark, a.logs)).write.json(a.output)
 
 
 def run_bench(spark: SparkSession, a: argparse.Namespace) -> None:
-    runs.compare_results(tables.read_results(spark, a.results)).write.json(a.output)
+    read = tables.read_results(spark, a.results)
+    runs.compare_results(read.data).write.json(a.output)
+    if a.rejects:
+        read.rejects.write.json(a.rejects)
 
 
 def run_retest(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -204,8 +215,8 @@ def run_retest(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_follow(spark: SparkSession, a: argparse.Namespace) -> None:
-    status = jobs.follow_logs(spark, a.input)
-    jobs.publish_status(status, a.output, a.checkpoint, a.once).awaitTermination()
+    status = jobs.follow_errors(spark, a.input, forget=not a.once)
+    jobs.publish_changes(status, a.output, a.checkpoint, a.once).awaitTermination()
 
 
 def run_route_stream(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -216,7 +227,7 @@ def run_route_stream(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_score_stream(spark: SparkSession, a: argparse.Namespace) -> None:
-    jobs.persist(jobs.score_stream(spark, a.input), a.output, a.checkpoint, a.once).awaitTermination()
+    jobs.score_once(jobs.case_stream(spark, a.input), a.output, a.checkpoint, a.once).awaitTermination()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -302,8 +313,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--format", default="json")
 
     command("inventory", run_inventory, "registry", "root", "output")
-    command("runs", run_runs, "metadata", "logs", "output")
-    command("bench", run_bench, "results", "output")
+    command("runs", run_runs, "metadata", "logs", "output").add_argument("--rejects")
+    command("bench", run_bench, "results", "output").add_argument("--rejects")
 
     c = command("retest", run_retest, "cases", "outputs", "output")
     c.add_argument("--format", default="json")

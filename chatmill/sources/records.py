@@ -56,6 +56,11 @@ def _reader(spark: SparkSession, split: int) -> SparkSession:
     return reader
 
 
+def input_names(files: DataFrame) -> list[str]:
+    """Names of the files of a reader as its metadata column spells them; empty files too."""
+    return [re.sub("^file:///", "file:/", name) for name in files.inputFiles()]
+
+
 def placed_lines(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """``(src_file, src_block, src_row, rec_id, raw)``: every line with its place, in one scan.
 
@@ -69,7 +74,7 @@ def placed_lines(spark: SparkSession, path: str, split: int = SPLIT) -> DataFram
     """
     reader = _reader(spark, split)
     text = reader.read.text(path)
-    files = sorted(re.sub("^file:///", "file:/", name) for name in text.inputFiles())  # as the metadata spells them
+    files = sorted(input_names(text))
     row = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))
     lines = text.select(
         F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("src_block"),

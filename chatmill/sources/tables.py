@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatmill.functions.answers import json_ok
+from chatmill.functions.text import strip
 from chatmill.operators.chat import first_n
 from chatmill.operators.markers import clean_markers
-from chatmill.sources.records import placed_lines, read_jsonl_strict
+from chatmill.sources.records import input_names, placed_lines, read_jsonl_strict
 
 CASE_SCHEMA = "case_pos long, name string, input string, asserts string, output string"
 RETEST_SCHEMA = "case_name string, input_text string"
@@ -54,19 +58,42 @@ def read_retest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark result files, one object each."""
-    return spark.read.schema(RESULT_SCHEMA).option("multiLine", True).json(path)
+@dataclass
+class Objects:
+    """What a reader of whole-file objects found; ``rejects``: file and text of those that hold none."""
+
+    data: DataFrame
+    rejects: DataFrame
 
 
-def read_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """Metadata objects below ``root/<dir>/`` with the directory name."""
-    files = spark.read.option("multiLine", True).json(f"{root}/*/metadata.json")
-    return files.withColumn(
-        "dir", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """``(src_file, raw, ok)``: each file with whether it is one JSON object; Spark reads no row of an empty file."""
+    text = spark.read.text(path, wholetext=True)
+    listed = spark.createDataFrame([(name,) for name in input_names(text)], "src_file string")
+    files = text.select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("raw"))
+    files = files.withColumn("_json", json_ok(F.col("raw")) & strip(F.col("raw")).startswith("{"))
+    return listed.join(files, F.col("src_file") == F.col("_file"), "left").select(
+        "src_file", F.coalesce("raw", F.lit("")).alias("raw"), F.coalesce("_json", F.lit(False)).alias("ok")
     )
 
 
+def read_results(spark: SparkSession, path: str) -> Objects:
+    """Benchmark result files, one object each, with ``src_file``; a file that is none is a reject."""
+    files = _whole(spark, path)
+    parsed = files.where("ok").select("src_file", F.from_json("raw", RESULT_SCHEMA).alias("r")).select("src_file", "r.*")
+    return Objects(parsed, files.where("NOT ok").select("src_file", "raw"))
+
+
+def read_metadata(spark: SparkSession, root: str) -> Objects:
+    """Metadata objects below ``root/<dir>/`` with the directory name; a file that holds no object is a reject."""
+    path = f"{root}/*/metadata.json"
+    named = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("dir")
+    files = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+    good = files.where("_bad IS NULL") if "_bad" in files.columns else files
+    data = good.select("*", named).drop("_bad")
+    return Objects(data, _whole(spark, path).where("NOT ok").select("src_file", "raw"))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Log lines ``(run, line_no, value)``, read once; the run is the file's name without ending.
 

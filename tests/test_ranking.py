@@ -101,3 +101,19 @@ def test_half_of_the_largest_records_in_place(spark):
     assert max(partitions_hold(got)) <= 12_800 // 64
     assert [r.rec_id for r in chat.biggest_first(chats, 6400, few=100).collect()] == want
     assert sorted(r.rec_id for r in chat.first_n(chats, 6000, few=10).collect()) == list(range(6000))
+
+
+def test_exact_percentiles_equal_the_built_in(spark):
+    rng = random.Random(8)
+    values = [0.0, -0.0, 1e300, -1e300, 5e-324, -3.5, 2.0, float("inf"), None]
+    data = [(rng.choice(["a", "b", None]), rng.choice([*values, rng.gauss(0, 1), float(rng.randrange(50))]), rng.random()) for _ in range(3000)]
+    data += [("hot", 7.0, float(i % 5)) for i in range(4000)] + [("one", 1.25, None), ("none", None, None)]
+    df = spark.createDataFrame(data, "g string, v double, w double").repartition(9)
+    fractions = [0.0, 0.5, 0.9, 0.95, 0.99, 1.0]
+    got = {r.g: (r.v, r.w) for r in ranking.exact_percentiles(df, ["g"], {"v": F.col("v"), "w": F.col("w")}, fractions).collect()}
+    both = df.groupBy("g").agg(*[F.percentile(c, F.array(*map(F.lit, fractions))).alias(c) for c in ("v", "w")])
+    want = {r.g: (r.v, r.w) for r in both.collect() if r.v or r.w}
+    assert got.keys() == want.keys()
+    for group, pair in want.items():
+        for a, b in zip(got[group], pair):
+            assert a == pytest.approx(b, rel=1e-12, nan_ok=True) if b else not a

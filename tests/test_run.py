@@ -3,6 +3,7 @@ import json
 import pytest
 
 from chatmill.run import main
+from chatmill.sources import records
 
 ANSWER = '{"extracted_data": {"document_classification": "%s"}}'
 
@@ -157,3 +158,23 @@ def test_streams_once(files, spark):
     (files / "cases" / "a.json").write_text(json.dumps({"case_pos": 1, "name": "n", "input": "u", "asserts": "", "output": "{}"}) + "\n")
     main(["score-stream", "--input", f"{files}/cases", "--output", f"{files}/sc", "--checkpoint", f"{files}/scc", "--once"])
     assert spark.read.parquet(f"{files}/sc").first().passed
+
+
+def test_jobs_read_their_input_once(files, spark, monkeypatch, capsys):
+    """Reports and data come from what was read once: the input is scanned by one read, and is gone for the rest."""
+    reads = []
+    placed = records.placed_lines
+
+    def counting(session, path, *more):
+        reads.append(path)
+        return placed(session, path, *more)
+
+    monkeypatch.setattr(records, "placed_lines", counting)
+    (files / "in.jsonl").write_text(
+        chat_line("[PRIVATE_PERSON] a", ANSWER % "Pre-Service Appeal") + chat_line("b", '{"a": "[PRIVATE_PERSON]"') + chat_line("c", ANSWER % "X")
+    )
+    main(["augment", "--input", f"{files}/in.jsonl", "--output", f"{files}/a1"])
+    got = {r["cls"]: (r["originals"], r["variants"]) for r in reports(capsys)}
+    assert got == {"Pre-Service Appeal": (1, 12), "(unknown)": (1, 0), "X": (1, 4)} and len(out_lines(files / "a1")) == 19
+    main(["token-filter", "--input", f"{files}/in.jsonl", "--output", f"{files}/t1", "--max-tokens", "1000"])
+    assert len(reads) == 2 and len(out_lines(files / "t1")) == 3

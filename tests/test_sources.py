@@ -148,7 +148,7 @@ def test_markers_retest_results_metadata_logs_and_listing(spark, tmp_path):
     res.mkdir()
     (res / "1.json").write_text('{\n "max_concurrency": 1, "request_throughput": 1.005, "p50_ttft_ms": 12.5, "failed": 2}')
     (res / "2.json").write_text('{"max_concurrency": 2}')
-    shown = runs.compare_results(tables.read_results(spark, str(res))).orderBy("max_concurrency").collect()
+    shown = runs.compare_results(tables.read_results(spark, str(res)).data).orderBy("max_concurrency").collect()
     assert [(r.p50_ttft_ms, r.p99_ttft_ms, r.failed) for r in shown] == [("12.50", "-", 2), ("-", "-", 0)]
 
     for name, text in {"run-b": '{"adapter_name": "b", "created_at": "2024-01-01T00:00:00Z", "rank": 8}', "run-a": None}.items():
@@ -156,7 +156,7 @@ def test_markers_retest_results_metadata_logs_and_listing(spark, tmp_path):
         d.mkdir(parents=True)
         if text:
             (d / "metadata.json").write_text(text)
-    meta = tables.read_metadata(spark, str(tmp_path / "adapters"))
+    meta = tables.read_metadata(spark, str(tmp_path / "adapters")).data
     dirs = spark.createDataFrame([("run-a",), ("run-b",)], "dir string")
     catalog = {r.dir: (r.created_at, r["rank"]) for r in runs.run_catalog(dirs, meta).collect()}
     assert catalog == {"run-a": ("unknown", None), "run-b": ("2024-01-01T00:00:00Z", 8)}
@@ -184,3 +184,19 @@ def test_a_malformed_retest_line_fails_the_job(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"case_name": "a", "input_text": "t", "expected_failures": {}}\nnot json\n')
     with pytest.raises(Exception, match="malformed JSON"):
         tables.read_retest(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_bad_result_and_metadata_files_are_rejects(spark, tmp_path):
+    res = tmp_path / "res"
+    res.mkdir()
+    for name, text in {"1": '{"max_concurrency": 1, "failed": "x"}', "2": '{"max_concurrency": 2', "3": "[1]", "4": "", "5": ' \n{"failed": 3}\n'}.items():
+        (res / f"{name}.json").write_text(text)
+    found = tables.read_results(spark, str(res))
+    assert sorted((r.src_file[-6:], r.max_concurrency, r.failed) for r in found.data.collect()) == [("1.json", 1, None), ("5.json", None, 3)]
+    assert sorted((r.src_file[-6:], r.raw) for r in found.rejects.collect()) == [("2.json", '{"max_concurrency": 2'), ("3.json", "[1]"), ("4.json", "")]
+    for name, text in {"a": '{"created_at": "2024-01-01T00:00:00Z"}', "b": '{"created_at": '}.items():
+        (tmp_path / "meta" / name).mkdir(parents=True)
+        (tmp_path / "meta" / name / "metadata.json").write_text(text)
+    found = tables.read_metadata(spark, str(tmp_path / "meta"))
+    assert [(r.dir, r.created_at) for r in found.data.collect()] == [("a", "2024-01-01T00:00:00Z")]
+    assert [r.src_file.split("/")[-2] for r in found.rejects.collect()] == ["b"]

@@ -41,6 +41,16 @@ SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages, CAST(sum(length(text))
   row_number() OVER (ORDER BY CAST(conv_id % 64 AS VARCHAR), conv_id) - 1 AS index
 FROM conversations GROUP BY conv_id""")
 
+RESULT_FILES = """SELECT part, CASE WHEN part % 8 = 3 THEN substr(body, 1, length(body) - 1) WHEN part = 5 THEN '[1, 2]' ELSE body END AS body, n, failed FROM (
+  SELECT user_id % 64 AS part, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failed,
+    '{' || chr(10) || ' "max_concurrency": ' || (user_id % 64) || ',' || chr(10) || ' "request_throughput": ' || count(*) || ',' || chr(10)
+      || ' "failed": ' || count(*) FILTER (WHERE event_type = 'error') || chr(10) || '}' AS body FROM events GROUP BY user_id % 64)"""
+oracle("src_results", ("events",), """
+SELECT part AS max_concurrency, CAST(n AS DOUBLE) AS request_throughput, failed FROM result_files WHERE part % 8 <> 3 AND part <> 5""",
+    result_files=RESULT_FILES)
+oracle("src_results_rejects", ("events",), """
+SELECT part, CAST(length(body) + 1 AS INTEGER) AS chars FROM result_files WHERE part % 8 = 3 OR part = 5""", result_files=RESULT_FILES)
+
 # -- records ---------------------------------------------------------------------------
 
 ROLES = """SELECT rec_id, messages,

@@ -101,6 +101,31 @@ def src_strict(chats):
     return said.select("conv_id", "n_messages", "total_chars", "file_no", "index")
 
 
+def _result_files(events: DataFrame) -> str:
+    """64 result files of one object over several lines; every eighth lacks its end, one in 64 is a list."""
+    per = events.groupBy((F.col("user_id") % 64).alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failed")
+    )
+    text = F.format_string('{\n "max_concurrency": %d,\n "request_throughput": %d,\n "failed": %d\n}', "part", "n", "failed")
+    bad = F.when(F.col("part") % 8 == 3, F.left(text, F.length(text) - 1)).when(F.col("part") == 5, F.lit("[1, 2]"))
+    path = _scratch(events)
+    rows = per.select("part", F.coalesce(bad, text).alias("value"))
+    rows.repartition(64, "part").write.partitionBy("part").text(path)
+    return path
+
+
+@query("events")
+def src_results(events):
+    return tables.read_results(events.sparkSession, _result_files(events)).data.select("max_concurrency", "request_throughput", "failed")
+
+
+@query("events")
+def src_results_rejects(events):
+    """One row for every file that holds no object."""
+    rejects = tables.read_results(events.sparkSession, _result_files(events)).rejects
+    return rejects.select(F.regexp_extract("src_file", r"/part=(\d+)/", 1).cast("long").alias("part"), F.length("raw").alias("chars"))
+
+
 # -- records ---------------------------------------------------------------------------
 
 
