@@ -2,21 +2,26 @@
 
 Written natively this is a draw per character (or per short run of characters)
 inside an array function, which Spark interprets.  Jumping from change to change
-is much cheaper, so this is an Arrow function: the gaps between changes are drawn
-for a whole batch with numpy, and Python touches only the characters that change.
+is much cheaper, so this is an Arrow function: the distance to the next change is
+geometric, and Python touches only the characters that change.  Draw ``k`` of a
+text is the MD5 digest of its key and ``k``: any engine can repeat it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import sys
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from chatmill.functions.draws import digest
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Look-alikes; every other character has none.
@@ -25,74 +30,37 @@ LOOKALIKES = {
     "G": "6", "m": "rn",
 }
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _uniform(keys: np.ndarray, counters: np.ndarray) -> np.ndarray:
-    """Doubles in [0, 1) that depend only on key and counter (a 64-bit mixing hash)."""
-    with np.errstate(over="ignore"):
-        z = keys + (counters.astype(np.uint64) + np.uint64(1)) * _STEP
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    return (z >> np.uint64(11)).astype(np.float64) * 2.0**-53
-
-
-def hit_places(keys: np.ndarray, sizes: np.ndarray, rate: float):
-    """(row, place, choice) of all hits: each place of each row with probability ``rate``.
-
-    The distance to the next hit is geometric.  Rows draw in rounds until their
-    last hit lies past their end; a row's draws depend on its own key only.
-    """
-    miss = np.log1p(-rate) if rate < 1 else -np.inf
-    rows = np.flatnonzero(sizes > 0)
-    last = np.full(rows.size, -1, dtype=np.int64)
-    done = np.zeros(rows.size, dtype=np.int64)
-    found = []
-    while rows.size:
-        counts = np.ceil((sizes[rows] - last) * rate * 1.2).astype(np.int64) + 4
-        owner = np.repeat(np.arange(rows.size), counts)
-        starts = np.cumsum(counts) - counts
-        counter = np.arange(owner.size) - starts[owner] + done[owner]
-        gap = np.log1p(-_uniform(keys[rows][owner], 2 * counter)) / miss
-        longest = float(sizes.max())
-        jump = np.minimum(np.floor(gap), longest).astype(np.int64) + 1
-        total = np.cumsum(jump)
-        place = last[owner] + total - (total[starts] - jump[starts])[owner]
-        inside = place < sizes[rows][owner]
-        choice = _uniform(keys[rows][owner], 2 * counter + 1)
-        found.append((rows[owner][inside], place[inside], choice[inside]))
-        ends = starts + counts - 1
-        more = place[ends] < sizes[rows]
-        rows, last, done = rows[more], place[ends][more], (done + counts)[more]
-    if not found:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, np.zeros(0)
-    return tuple(np.concatenate(part) for part in zip(*found))
-
-
-def noisy_texts(texts: list[str | None], keys: np.ndarray, rate: float) -> list[str | None]:
+#: Thirteen hex digits of a digest are a number below this.
+_WHOLE = float(1 << 52)
+
+
+def hits(key: str, size: int, rate: float) -> Iterator[tuple[int, float]]:
+    """(place, choice) of all hits: each of ``size`` places with probability ``rate``; choices lie in [0, 1)."""
+    miss = math.log(1 - rate) if rate < 1 else -math.inf
+    place, draw = -1, 0
+    while True:
+        drawn = hashlib.md5(f"{key}:{draw}".encode()).hexdigest()
+        place += int(math.log(1 - int(drawn[:13], 16) / _WHOLE) / miss) + 1
+        if place >= size:
+            return
+        yield place, int(drawn[13:26], 16) / _WHOLE
+        draw += 1
+
+
+def noisy_text(text: str, key: str, rate: float) -> str:
     """Drop, swap for a look-alike or double each letter or digit that is hit."""
-    sizes = np.array([len(t) if t else 0 for t in texts], dtype=np.int64)
-    hits: dict[int, list[tuple[int, float]]] = {}
-    for row, place, choice in zip(*(a.tolist() for a in hit_places(keys, sizes, rate))):
-        hits.setdefault(row, []).append((place, choice))
-    out = list(texts)
-    for row, changes in hits.items():
-        text, parts, end = texts[row], [], 0
-        for place, choice in changes:
-            char = text[place]
-            if not char.isalnum():
-                continue
-            parts.append(text[end:place])
-            end = place + 1
-            if choice >= 2 / 3:
-                parts.append(char + char)
-            elif choice >= 1 / 3:
-                parts.append(LOOKALIKES.get(char, char))
-        if end:
-            out[row] = "".join(parts) + text[end:]
-    return out
+    parts, end = [], 0
+    for place, choice in hits(key, len(text), rate):
+        char = text[place]
+        if not char.isalnum():
+            continue
+        parts.append(text[end:place])
+        end = place + 1
+        if choice >= 2 / 3:
+            parts.append(char + char)
+        elif choice >= 1 / 3:
+            parts.append(LOOKALIKES.get(char, char))
+    return "".join(parts) + text[end:]
 
 
 def add_noise(text: Column, rate: float, *key: Column) -> Column:
@@ -102,8 +70,8 @@ def add_noise(text: Column, rate: float, *key: Column) -> Column:
 
     @F.arrow_udf(StringType())
     def noisy(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        drawn = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        return pa.array(noisy_texts(texts.to_pylist(), drawn, rate), pa.string())
+        both = zip(texts.to_pylist(), keys.to_pylist())
+        return pa.array([noisy_text(t, k, rate) if t else t for t, k in both], pa.string())
 
     # See chatmill.functions.answers on the declaration.
-    return noisy.asNondeterministic()(text, F.xxhash64(*key))
+    return noisy.asNondeterministic()(text, digest(*key))

@@ -84,8 +84,8 @@ def test_noise_rates_and_untouched_characters(rows):
 
 def test_hits_are_independent_at_the_rate():
     n, rate = 4000, 0.03
-    keys = np.arange(500, dtype=np.uint64) * np.uint64(7919)
-    row, place, choice = noise.hit_places(keys, np.full(500, n), rate)
+    found = [(r, *hit) for r in range(500) for hit in noise.hits(f"key {r}", n, rate)]
+    row, place, choice = (np.array(x) for x in zip(*found))
     assert len({(r, p) for r, p in zip(row.tolist(), place.tolist())}) == row.size
     total = n * 500
     sd = (total * rate * (1 - rate)) ** 0.5
@@ -100,12 +100,12 @@ def test_hits_are_independent_at_the_rate():
     assert pairs < 2000 * rate * 2 + 20
 
 
-def test_noise_edge_rates():
-    keys = np.array([1, 2, 3], dtype=np.uint64)
-    row, place, _ = noise.hit_places(keys, np.array([5, 0, 3]), 1.0)
-    assert sorted(zip(row.tolist(), place.tolist())) == [(0, i) for i in range(5)] + [(2, i) for i in range(3)]
-    assert noise.noisy_texts([None, "", "   "], keys, 1.0) == [None, "", "   "]
-    text = noise.noisy_texts(["mmmmmmmmmmmmmmm"], keys[:1], 1.0)[0]
+def test_noise_edge_rates(rows):
+    assert [p for p, _ in noise.hits("k", 5, 1.0)] == [0, 1, 2, 3, 4] and list(noise.hits("k", 0, 1.0)) == []
+    df = rows([(1, None), (2, ""), (3, "   ")], "id long, t string")
+    got = df.select("id", noise.add_noise(F.col("t"), 1.0, F.col("id")).alias("n")).orderBy("id").collect()
+    assert [r.n for r in got] == [None, "", "   "]
+    text = noise.noisy_text("mmmmmmmmmmmmmmm", "k", 1.0)
     assert set(re.findall("rn|mm", text)) <= {"rn", "mm"} and "rn" in text
 
 

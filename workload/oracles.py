@@ -41,6 +41,14 @@ SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages, CAST(sum(length(text))
   row_number() OVER (ORDER BY CAST(conv_id % 64 AS VARCHAR), conv_id) - 1 AS index
 FROM conversations GROUP BY conv_id""")
 
+oracle("src_sink", ("conversations",), """
+SELECT conv_id AS rec_id, string_agg(concat_ws('=', role, text), '|' ORDER BY turn) AS said FROM conversations GROUP BY conv_id""")
+oracle("src_dataset", ("alpaca",), "SELECT rec_id, instruction, input, output FROM alpaca")
+oracle("src_markers", ("benchmark", "events"), """
+SELECT DISTINCT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS marker FROM benchmark WHERE trim(text) <> ''
+UNION SELECT event_type FROM events""")
+oracle("src_retest", ("retest",), """
+SELECT case_name, raw_output AS input_text, exp_document_classification AS class, exp_case_type_pre_service AS pre_service FROM retest""")
 RESULT_FILES = """SELECT part, CASE WHEN part % 8 = 3 THEN substr(body, 1, length(body) - 1) WHEN part = 5 THEN '[1, 2]' ELSE body END AS body, n, failed FROM (
   SELECT user_id % 64 AS part, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failed,
     '{' || chr(10) || ' "max_concurrency": ' || (user_id % 64) || ',' || chr(10) || ' "request_throughput": ' || count(*) || ',' || chr(10)
@@ -289,6 +297,41 @@ SELECT rec_id, variant, {_substituted('user_text')} AS user_text, {_substituted(
         f"md5('42:' || rec_id || ':' || variant || ':{k}') AS d_{k}" for k in TOKENS) + " FROM fanned",
     drawn="SELECT *, " + ", ".join(f"{sql} AS r_{k}" for k, sql in REPLACED.items()) + " FROM keyed")
 
+# Look-alikes.
+ALIKE = {"0": "O", "O": "0", "1": "l", "l": "1", "I": "1", "5": "S", "S": "5", "8": "B", "B": "8", "G": "6", "m": "rn"}
+
+
+def noisy(source: str) -> dict[str, str]:
+    """``noisy`` (rec_id, variant, user_text) from ``source``: draws by digest, places by running sums, texts from their pieces."""
+    alike = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIKE.items())
+    return {
+        "words": f"""SELECT rec_id, variant, n, k, md5(md5('42:' || rec_id || ':' || variant) || ':' || k) AS d FROM (
+    SELECT rec_id, variant, length(user_text) AS n, unnest(range(0, CAST(length(user_text) * 0.006 + 40 AS BIGINT))) AS k
+    FROM {source} WHERE variant > 0)""",
+        "places": """SELECT rec_id, variant, n, k, CAST('0x' || substr(d, 14, 13) AS BIGINT) / 4503599627370496::DOUBLE AS c,
+    CAST(sum(floor(ln(1 - CAST('0x' || substr(d, 1, 13) AS BIGINT) / 4503599627370496::DOUBLE) / ln(1 - 0.003::DOUBLE)) + 1)
+      OVER (PARTITION BY rec_id, variant ORDER BY k) - 1 AS BIGINT) AS place FROM words""",
+        "hit": """SELECT *, lag(place, 1, -1) OVER (PARTITION BY rec_id, variant ORDER BY k) AS before FROM places WHERE place < n""",
+        "pieces": f"""SELECT rec_id, variant, max(place) AS last, string_agg(substr(user_text, before + 2, place - before - 1) ||
+    CASE WHEN NOT regexp_matches(ch, '[\\p{{L}}\\p{{N}}]') THEN ch WHEN c >= 2::DOUBLE / 3 THEN ch || ch
+      WHEN c >= 1::DOUBLE / 3 THEN CASE ch {alike} ELSE ch END ELSE '' END, '' ORDER BY k) AS head
+    FROM (SELECT h.*, s.user_text, substr(s.user_text, place + 1, 1) AS ch FROM hit h JOIN {source} s USING (rec_id, variant))
+    GROUP BY rec_id, variant""",
+        "noisy": f"""SELECT s.rec_id, s.variant, coalesce(p.head || substr(s.user_text, last + 2), s.user_text) AS user_text
+    FROM {source} s LEFT JOIN pieces p USING (rec_id, variant)""",
+    }
+
+
+oracle("augment_noise", ("sft",), "SELECT rec_id, variant, user_text FROM noisy", fanned=FANNED, **noisy("fanned"))
+DRAWN = {
+    "keyed": "SELECT *, " + ", ".join(f"md5('42:' || rec_id || ':' || variant || ':{k}') AS d_{k}" for k in TOKENS) + " FROM fanned",
+    "drawn": "SELECT *, " + ", ".join(f"{sql} AS r_{k}" for k, sql in REPLACED.items()) + " FROM keyed",
+    "filled": f"SELECT * EXCLUDE (user_text, answer), {_substituted('user_text')} AS user_text, {_substituted('answer')} AS answer FROM drawn",
+}
+oracle("augment_dataset", ("sft",), """
+SELECT rec_id, variant, f.cls, 'You classify cases.' AS system, n.user_text, f.answer
+FROM filled f JOIN noisy n USING (rec_id, variant)""", fanned=FANNED, **DRAWN, **noisy("filled"))
+
 oracle("augment_valid", ("sft_raw",), """
 SELECT rec_id, cls, CAST(v AS INTEGER) AS variant FROM (
   SELECT *, unnest(range(0, CASE WHEN NOT ok THEN 1 WHEN cls IN ('Pre-Service Appeal', 'Provider Dispute') THEN 13 ELSE 5 END)) AS v
@@ -447,6 +490,18 @@ ELSE '{_OPEN}"document_classification": "Pre-Service Appeal", "service_type": "P
   || '"case_type_post_service": "", "case_type_grievance": "", "type_of_issue": ""}}}}}}' END AS corrected
 FROM (SELECT c.case_pos, c.gold_class, coalesce(c.raw_json, a.raw_json) AS base FROM cats c
   LEFT JOIN anchors a ON a.gold_class = c.gold_class AND a.row_no = 1 WHERE c.category = 'failure') c""", **FOCUS)
+FIXED = ORACLES["focus_corrected"].rpartition("AS corrected")[0].rpartition("SELECT c.case_pos, c.gold_class, ")[2]
+oracle("focus_dataset", ("backtest",), """
+SELECT rec_id, kind, f.cls, variant, 'You classify cases.' AS system, n.user_text, f.answer
+FROM filled f JOIN noisy n USING (rec_id, variant)""", **FOCUS,
+    fixed=f"""SELECT c.case_pos, 'failure' AS kind, c.gold_class AS cls, {FIXED} AS answer
+    FROM (SELECT c.case_pos, c.gold_class, coalesce(c.raw_json, a.raw_json) AS base FROM cats c
+      LEFT JOIN anchors a ON a.gold_class = c.gold_class AND a.row_no = 1 WHERE c.category = 'failure') c
+    UNION ALL SELECT case_pos, 'anchor', gold_class, raw_json FROM anchors""",
+    fanned="""SELECT rec_id, kind, cls, user_text, answer, CAST(v AS INTEGER) AS variant FROM (
+    SELECT f.case_pos AS rec_id, f.kind, f.cls, coalesce(b.input, '') AS user_text, f.answer,
+      unnest(range(0, CASE kind WHEN 'failure' THEN 41 ELSE 16 END)) AS v FROM fixed f JOIN backtest b ON b.case_pos = f.case_pos)""",
+    **DRAWN, **noisy("filled"))
 oracle("focus_summary", ("backtest",), """
 SELECT cls, CAST(sum(CASE kind WHEN 'failure' THEN 41 ELSE 16 END) AS BIGINT) AS records,
   count(*) FILTER (WHERE kind = 'failure') AS failure_seeds, count(*) FILTER (WHERE kind = 'anchor') AS anchor_seeds
@@ -612,6 +667,7 @@ LOG = {
     FROM last l LEFT JOIN steps s ON l.run = s.run AND l.at = s.line_no LEFT JOIN errs e ON l.run = e.run""",
 }
 oracle("runlog_status", ("run_log",), "SELECT * FROM status", **LOG)
+oracle("src_log", ("run_log",), "SELECT * FROM status", **LOG)
 oracle("run_report", ("run_meta", "run_log"), """
 SELECT c.dir, c.created_at, c.base_model, loss, epoch, learning_rate, completed, final_loss, recent_errors,
   CASE WHEN c.created_at <> 'unknown' THEN CAST(sec // 3600 AS VARCHAR) || 'h ' || CAST(sec % 3600 // 60 AS VARCHAR) || 'm '

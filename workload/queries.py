@@ -101,6 +101,67 @@ def src_strict(chats):
     return said.select("conv_id", "n_messages", "total_chars", "file_no", "index")
 
 
+@query("chat")
+def src_sink(chats):
+    """Chats written as JSONL and read back, text for text."""
+    path = _scratch(chats)
+    records.write_jsonl(chats, path, "rec_id", "messages")
+    back = records.read_jsonl_strict(chats.sparkSession, path)
+    told = F.array_join(F.transform("messages", lambda m: F.concat_ws("=", m["role"], m["content"])), "|")
+    return back.select(F.get_json_object("raw", "$.rec_id").cast("long").alias("rec_id"), told.alias("said"))
+
+
+@query("alpaca")
+def src_dataset(rows):
+    """A dataset read by its key in a registry; absent fields are null."""
+    root = _scratch(rows)
+    line = F.to_json(F.struct("rec_id", "instruction", "input", "output"))  # leaves null fields out
+    rows.select(line.alias("value")).write.text(f"{root}/data.jsonl")
+    registry = {"tuning": {"path": "data.jsonl", "format": "alpaca", "split": [0.9, 0.05, 0.05]}}
+    read = records.read_dataset(rows.sparkSession, registry, "tuning", root)
+    return read.select(F.get_json_object("raw", "$.rec_id").cast("long").alias("rec_id"), "instruction", "input", "output")
+
+
+@query("benchmark", "events")
+def src_markers(items, events):
+    """A marker file with indented, blank and repeated lines."""
+    path = _scratch(items)
+    lines = items.select(F.concat(F.lit("  "), F.regexp_replace("text", r"\s+", " "), F.lit("\t")).alias("value"))
+    repeated = events.select(F.concat(F.col("event_type"), F.lit("\n \n")).alias("value"))
+    lines.unionByName(repeated).write.text(path)
+    return tables.read_markers(items.sparkSession, path)
+
+
+@query("retest")
+def src_retest(rows):
+    """Retest lines with expected values as an object or, for odd cases, as pairs."""
+    path = _scratch(rows)
+    pairs = F.array(*[F.array(F.lit(n), F.col(f"exp_{n}")) for n in ("document_classification", "case_type_pre_service")])
+    named = F.struct(*[F.col(f"exp_{n}").alias(n) for n in ("document_classification", "case_type_pre_service")])
+    common = [F.col("case_name"), F.col("raw_output").alias("input_text")]
+    line = F.when(
+        F.col("case_id") % 2 == 1, F.to_json(F.struct(*common, pairs.alias("expected_failures")))
+    ).otherwise(F.to_json(F.struct(*common, named.alias("expected_failures"))))
+    rows.select(line.alias("value")).write.text(path)
+    return tables.read_retest(rows.sparkSession, path).select(
+        "case_name", "input_text", F.col("expected")["document_classification"].alias("class"),
+        F.col("expected")["case_type_pre_service"].alias("pre_service"),
+    )
+
+
+@query("run_log")
+def src_log(lines):
+    """Status from log files, one file a run, whose lines come in their order."""
+    path = _scratch(lines)
+    dealt = lines.repartition(8, "run").sortWithinPartitions("run", "line_no")
+    dealt.select("run", "value").write.partitionBy("run").text(path)
+    # The reader names a run after its file; here the folder says it.
+    read = records.placed_lines(lines.sparkSession, path).select(
+        F.regexp_extract("src_file", "/run=([^/]+)/", 1).alias("run"), F.col("rec_id").alias("line_no"), F.col("raw").alias("value")
+    )
+    return runs.log_status(read)
+
+
 def _result_files(events: DataFrame) -> str:
     """64 result files of one object over several lines; every eighth lacks its end, one in 64 is a list."""
     per = events.groupBy((F.col("user_id") % 64).alias("part")).agg(
@@ -307,6 +368,10 @@ def augment_substitute(rows):
     )
 
 
+def _three() -> list:
+    return [F.col("messages")[i]["content"].alias(n) for i, n in enumerate(("system", "user_text", "answer"))]
+
+
 @query("sft")
 def augment_noise(rows):
     classed = augment.with_class(rows.select("rec_id", "user_text", "answer"))
@@ -332,7 +397,7 @@ def augment_by_class(rows):
 @query("sft")
 def augment_dataset(rows):
     """The full job, substitution and noise included."""
-    return augment.augment(rows).data
+    return augment.augment(rows).data.select("rec_id", "variant", "cls", *_three())
 
 
 # -- mix -------------------------------------------------------------------------------
@@ -526,7 +591,7 @@ def focus_corrected(cases):
 @query("backtest")
 def focus_dataset(cases):
     """The full job, substitution and noise included."""
-    return focus.focus(cases, SYSTEM).data
+    return focus.focus(cases, SYSTEM).data.select("rec_id", "kind", "cls", "variant", *_three())
 
 
 @query("backtest")
