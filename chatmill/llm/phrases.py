@@ -333,8 +333,8 @@ def clean(docs: DataFrame, width: int = 35, block_bytes: int = BLOCK_BYTES) -> D
     """
     cut = found(recur.keyed(docs), width, block_bytes).where("removed > 0")
     cut = cut.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.decode("kept", "UTF-8").alias("_kept"))
-    digest = F.xxhash64(docs["text"])
-    same = (F.coalesce(docs["doc_id"].cast("long"), digest) == cut["_doc"]) & (digest.bitwiseAND(0xFFFF) == cut["_tag"])
+    doc, mark = recur.row_key(docs["doc_id"], docs["text"])
+    same = (doc == cut["_doc"]) & (mark == cut["_tag"])
     joined = docs.join(cut, same, "left")
     return joined.select(
         *[F.coalesce(cut["_kept"], docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns]

@@ -10,9 +10,8 @@ The anchors that recur come in two kinds: *plain*, when all their spans are
 equal (then all windows of these spans recur), and *mixed*, when they stand in
 different spans, whose windows must be compared one by one.
 
-Rows are known by ``doc`` (the id, or a digest of the text where it is null) and
-``tag`` (16 bits of a digest of the text), so that rows sharing an id keep
-apart unless their texts agree.
+Rows are known by ``doc`` and ``tag``, 80 bits of two digests of id and text, so
+that rows sharing an id keep apart unless their texts agree.
 """
 
 from __future__ import annotations
@@ -28,14 +27,16 @@ from chatmill.llm.store import ship, written
 from chatmill.llm.text import Anchors, Words, byte_rolling, chunks, flat, mix, word_rolling
 
 
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """``doc`` (64 bits) and ``tag`` (16 bits): independent digests of id and text."""
+    return F.xxhash64(doc_id, text), F.hash(doc_id, text).bitwiseAND(0xFFFF).cast("long")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc, tag, doc_id, text``; also sends the package to the executors."""
     ship(docs.sparkSession)
-    digest = F.xxhash64("text")
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), digest).alias("doc"),
-        digest.bitwiseAND(0xFFFF).alias("tag"), "doc_id", "text",
-    )
+    doc, mark = row_key(F.col("doc_id"), F.col("text"))
+    return docs.select(doc.alias("doc"), mark.alias("tag"), "doc_id", "text")
 
 
 # A span's place in one long: first window (32 bits), windows (14), seen again in its row (1), tag (16).

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from chatmill.llm import phrases
 
@@ -70,3 +71,20 @@ def test_locate_whole_and_partial():
 def test_empty_table(spark, rows):
     docs = rows([], "doc_id long, text string")
     assert phrases.dedup(docs).collect() == [] and phrases.clean(docs).collect() == []
+
+
+def same_low_bits(spark):
+    """Two texts that share 60 words, of equal length, whose 64-bit digests agree in 16 bits."""
+    common = " ".join(f"w{k}" for k in range(60))
+    texts = spark.range(3000).selectExpr("id", f"concat('{common}', concat_ws(' ', '', md5(id || 'a'), md5(id || 'b'), md5(id || 'c'), md5(id || 'd'), md5(id || 'e'))) AS t")
+    pairs = texts.groupBy(F.xxhash64("t").bitwiseAND(0xFFFF).alias("low")).agg(F.collect_list("t").alias("ts")).where("size(ts) > 1")
+    return pairs.first()["ts"][:2]
+
+
+def test_texts_that_share_an_id_keep_apart(spark, rows):
+    one, two = same_low_bits(spark)
+    docs = rows([(1, one), (1, two), (2, "other words " * 3)], "doc_id long, text string")
+    got = phrases.dedup(docs, width=35).where("doc_id = 1").collect()
+    assert [(r.n_words, r.n_removed) for r in got] == [(65, 60), (65, 60)]
+    kept = {" ".join(t.split()[60:]) for t in (one, two)}
+    assert {r.text for r in phrases.clean(docs, width=35).where("doc_id = 1").collect()} == kept

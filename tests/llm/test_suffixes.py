@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from chatmill.llm import suffixes
+from tests.llm.test_phrases import same_low_bits
 
 
 def brute(rows, length):
@@ -99,3 +100,11 @@ def test_hot_anchor_is_not_sorted_in_one_task(spark, rows, monkeypatch):
     data += [(300 + k, data[k][1]) for k in range(3)]
     got = suffixes.dedup(rows(data, "doc_id long, text string").repartition(4), length=40, gram=12).collect()
     assert sorted([tuple(r) for r in got], key=str) == brute(data, 40)
+
+
+def test_texts_that_share_an_id_keep_apart(spark, rows):
+    one, two = same_low_bits(spark)
+    got = suffixes.dedup(rows([(1, one), (1, two), (2, "x" * 50)], "doc_id long, text string"), length=100).where("doc_id = 1")
+    want = brute([(1, one), (1, two)], 100)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=str) == want
+    assert all(r[2] < r[1] for r in want)
