@@ -17,21 +17,20 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatmill.llm.store import ship
+from chatmill.llm.store import ship, written
 from chatmill.llm.text import chunks, mix
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+LEVEL = 10  # bits of a histogram
 _BLANK = np.zeros(0x110000, dtype=bool)
 _BLANK[[c for c in range(0x3100) if chr(c).isspace() or chr(c).isdigit()]] = True
 
@@ -63,7 +62,7 @@ class Model:
     log_probability: np.ndarray  # orders x buckets x languages
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        sure = [t is not None and _LETTER.search(t) is not None for t in texts]
+        sure = [t is not None and any(map(str.isalpha, t)) for t in texts]
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.names or not any(sure):
             return names, scores
@@ -103,11 +102,35 @@ def counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
+def below(hashed: DataFrame, least: int) -> DataFrame:
+    """``lang, upto``: the leading bits of the hash up to which each language has ``least`` rows, or all of them.
+
+    Two histograms of 1,024 cells a language, the second of one cell of the first:
+    no task ranks the rows of a language, however many they are.
+    """
+    def cell(rows: DataFrame, bits: int, want: Column) -> DataFrame:
+        sums = rows.groupBy("lang", F.shiftright("hash", 64 - bits).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max(want).alias("want"))
+        upto = F.sum("n").over(Window.partitionBy("lang").orderBy("part"))
+        reached = sums.withColumn("upto", upto)
+        last = F.coalesce(F.min(F.when(F.col("upto") >= F.col("want"), F.col("part"))), F.max("part"))
+        before = F.coalesce(F.max(F.when(F.col("upto") < F.col("want"), F.col("upto"))), F.lit(0))
+        return reached.groupBy("lang").agg(last.alias("part"), before.alias("before"))
+
+    # Rows of a few languages, written so that the planner sends them to the rows.
+    coarse = written(cell(hashed, LEVEL, F.lit(least)).withColumnRenamed("lang", "_coarse"), "language-cells", 1)
+    inside = hashed.join(coarse, (F.col("lang") == F.col("_coarse")) & (F.shiftright("hash", 64 - LEVEL) == F.col("part")))
+    fine = cell(inside.select("lang", "hash", "before"), 2 * LEVEL, F.lit(least) - F.col("before"))
+    return written(fine.select("lang", F.col("part").alias("upto")), "language-cuts", 1)
+
+
 def train(learn: DataFrame, per_language: int = 1000, smoothing: float = 0.5) -> Model:
     """Learn from the rows of ``learn`` (doc_id, text, lang) with a language."""
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     named = learn.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    some = named.select("doc_id", "lang").withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= per_language)
+    hashed = named.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    cut = below(hashed, per_language).withColumnRenamed("lang", "_cut")
+    few = hashed.join(cut, (F.col("lang") == F.col("_cut")) & (F.shiftright("hash", 64 - 2 * LEVEL) <= F.col("upto")))
+    ranked = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    some = few.withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= per_language)
     some = some.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     rows = named.join(some, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
     table = counts(rows).toArrow()

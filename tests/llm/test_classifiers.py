@@ -39,6 +39,31 @@ def test_toxicity_held_out(spark):
     assert right[0] > 0.98 and right[1] > 0.8
 
 
+def test_language_letters_ties_and_plain_scores(spark, rows):
+    """Texts without a letter are ``und``; batch scores equal a loop over n-grams; equal languages give the first name."""
+    learn = rows([(i, t, lang) for i, (t, lang) in enumerate([("abc abd", "x"), ("abc abd", "y"), ("zzz zyz", "z")] * 5)], SCHEMA)
+    docs = rows([(1, "½ ²", "x"), (2, "abc", "x"), (3, "١٢", "x"), (4, "zz z!", "x"), (5, "é", "x"), (6, "Ⅷ ①", "x"), (7, "abd " * 3, "x")], SCHEMA)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, learn).collect()}
+    assert got[1] == got[3] == ("und", 0.0) and got[6] == ("und", 0.0) and got[2][0] == "x" and got[4][0] == "z"
+    model = language.train(learn)
+    for i, text in ((2, "abc"), (4, "zz z!"), (5, "é"), (7, "abd " * 3)):
+        ids, _ = language.ngrams([text])
+        total = [sum(float(model.log_probability[n][k][c]) for n, own in enumerate(ids) for k in own.tolist()) for c in range(3)]
+        best = int(np.argmax(total))
+        posterior = 1 / sum(np.exp(t - total[best]) for t in total)
+        assert got[i][0] == model.names[best] and got[i][1] == pytest.approx(posterior, rel=1e-4)
+
+
+def test_language_sample_is_cut_by_histogram(spark):
+    hashed = spark.range(40_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id < 9 THEN 'rare' ELSE 'b' END AS lang", "xxhash64(id) AS hash")
+    cut = language.below(hashed, 500)
+    kept = hashed.join(cut, "lang").where("shiftright(hash, 44) <= upto")
+    counts = {r.lang: r["count"] for r in kept.groupBy("lang").count().collect()}
+    assert counts["rare"] == 6 and 500 <= counts["hot"] <= 502 and 500 <= counts["b"] <= 502
+    least = hashed.where("lang = 'hot'").orderBy("hash").limit(500)
+    assert least.join(kept, "doc_id", "left_anti").count() == 0
+
+
 def training(n=200):
     good, bad = "the cat sat on a mat and", "you utter villain and"
     return [(1000 + k, (good if k % 4 else bad) + f" w{k} word", "en", int(k % 4 == 0)) for k in range(n)]
