@@ -17,39 +17,38 @@ from chatmill.plans.augment import variants
 from chatmill.session import materialise
 
 FAILURE_CLASS = "Pre-Service Appeal"
-_FIELDS = "extracted_data.case_specific_fields."
 # Per class the fields set or cleared in a corrected answer, in order.
 CLASS_DEFAULTS: dict[str, list[tuple[str, str]]] = {
     "Pre-Service Appeal": [
         ("extracted_data.service_type", "Pre-Service"),
-        (_FIELDS + "case_type_post_service", ""),
-        (_FIELDS + "case_type_grievance", ""),
-        (_FIELDS + "type_of_issue", ""),
+        ("extracted_data.case_specific_fields.case_type_post_service", ""),
+        ("extracted_data.case_specific_fields.case_type_grievance", ""),
+        ("extracted_data.case_specific_fields.type_of_issue", ""),
     ],
     "Post-Service Appeal": [
         ("extracted_data.service_type", "Post-Service"),
-        (_FIELDS + "case_type_pre_service", ""),
-        (_FIELDS + "case_type_grievance", ""),
-        (_FIELDS + "type_of_issue", ""),
+        ("extracted_data.case_specific_fields.case_type_pre_service", ""),
+        ("extracted_data.case_specific_fields.case_type_grievance", ""),
+        ("extracted_data.case_specific_fields.type_of_issue", ""),
     ],
     "Grievance": [
         ("extracted_data.service_type", ""),
-        (_FIELDS + "case_type_pre_service", ""),
-        (_FIELDS + "case_type_post_service", ""),
+        ("extracted_data.case_specific_fields.case_type_pre_service", ""),
+        ("extracted_data.case_specific_fields.case_type_post_service", ""),
     ],
     "Provider Dispute": [
         ("extracted_data.service_type", ""),
-        (_FIELDS + "case_type_pre_service", ""),
-        (_FIELDS + "case_type_post_service", ""),
-        (_FIELDS + "case_type_grievance", ""),
-        (_FIELDS + "type_of_issue", ""),
+        ("extracted_data.case_specific_fields.case_type_pre_service", ""),
+        ("extracted_data.case_specific_fields.case_type_post_service", ""),
+        ("extracted_data.case_specific_fields.case_type_grievance", ""),
+        ("extracted_data.case_specific_fields.type_of_issue", ""),
     ],
     "Inquiry": [
         ("extracted_data.service_type", ""),
-        (_FIELDS + "case_type_pre_service", ""),
-        (_FIELDS + "case_type_post_service", ""),
-        (_FIELDS + "case_type_grievance", ""),
-        (_FIELDS + "type_of_issue", ""),
+        ("extracted_data.case_specific_fields.case_type_pre_service", ""),
+        ("extracted_data.case_specific_fields.case_type_post_service", ""),
+        ("extracted_data.case_specific_fields.case_type_grievance", ""),
+        ("extracted_data.case_specific_fields.type_of_issue", ""),
     ],
 }
 NO_ANSWER = '{"extracted_data": {}}'

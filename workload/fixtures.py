@@ -118,7 +118,7 @@ _define("markers", ('documents', 'benchmark'), """
 _define("alpaca", ('documents',), """
     SELECT doc_id AS rec_id, substr(text, 1, 60) AS instruction,
       CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE substr(text, 61, 100) END AS input,
-      CASE WHEN doc_id % 97 = 0 THEN NULL ELSE substr(text, 161) END AS output
+      CASE WHEN doc_id % 97 = 0 THEN NULL WHEN doc_id % 3 = 2 THEN substr(text, 161) ELSE substr(text, 61) END AS output
     FROM documents
 """)
 
@@ -174,7 +174,7 @@ _define("detections", ('embeddings',), """
     SELECT vec_id AS det_id, label AS image_id, CAST(e[0] % 100 AS DOUBLE) / 100 AS score,
       CASE WHEN vec_id % 2 = 0 THEN '[' || CAST(e[1] AS STRING) || ',' || CAST(e[2] AS STRING) || ',' || CAST(e[1] + e[3] + 1 AS STRING) || ',' || CAST(e[2] + e[4] + 1 AS STRING) || ']'
         ELSE '[[' || CAST(e[5] AS STRING) || ',5],[60,' || CAST(e[6] AS STRING) || '],[' || CAST(e[7] AS STRING) || ',30],[3,' || CAST(e[8] AS STRING) || ']]' END AS box
-    FROM (SELECT vec_id, label, transform(slice(embedding, 1, 9), x -> CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT)) AS e FROM embeddings)
+    FROM (SELECT vec_id, label, transform(sequence(0, 8), k -> aggregate(transform(filter(embedding, (x, i) -> i % 9 = k), x -> CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT)), CAST(0 AS BIGINT), (a, x) -> a + x)) AS e FROM embeddings)
 """)
 
 _define("bench_requests", ('events',), """
@@ -205,8 +205,10 @@ assert IN_SPARK["variants"] != STATEMENTS["variants"]
 for _i in range(9):  # the other engine counts list positions from one
     STATEMENTS["detections"] = STATEMENTS["detections"].replace(f"e[{8 - _i}]", f"e[{9 - _i}]")
 STATEMENTS["detections"] = STATEMENTS["detections"].replace(
-    "transform(slice(embedding, 1, 9), x -> CAST", "list_transform(embedding[1:9], lambda x: CAST"
+    "transform(sequence(0, 8), k -> aggregate(transform(filter(embedding, (x, i) -> i % 9 = k), x -> CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT)), CAST(0 AS BIGINT), (a, x) -> a + x))",
+    "list_transform(range(0, 9), lambda k: CAST(list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 9 = k), lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT))) AS BIGINT))",
 )
+assert "list_filter" in STATEMENTS["detections"]
 
 
 def _needed(name: str, order: list[str]) -> list[str]:

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from chatmill.functions.text import WHITESPACE
-from chatmill.operators.chat import ROLE_MARKERS
-from chatmill.operators.scoring import CORE_PATHS
 from workload.fixtures import prefix
 
 ORACLES: dict[str, str] = {}
+
+# Fixed values, written out here independently of the code under test.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+ROLE_MARKERS = {
+    "system": ("<|system|>\n", "<|end|>\n"),
+    "user": ("<|user|>\n", "<|end|>\n"),
+    "assistant": ("<|assistant|>\n", "<|end|>\n"),
+    "*": ("<|other|>\n", "<|end|>\n"),
+}
+CORE_PATHS = [
+    "$.extracted_data.document_classification",
+    "$.extracted_data.service_type",
+    "$.extracted_data.case_specific_fields.case_type_pre_service",
+    "$.extracted_data.case_specific_fields.case_type_post_service",
+    "$.extracted_data.case_specific_fields.case_type_grievance",
+    "$.extracted_data.case_specific_fields.type_of_issue",
+    "$.extracted_data.manual_review",
+]
 WS = f"'{WHITESPACE}'"
 FENCE = "chr(96)||chr(96)||chr(96)"
 
