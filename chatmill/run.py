@@ -21,7 +21,7 @@ from chatmill.plans import (
     alpaca, augment, clean, combine, detect, evaluate, focus, inventory, ocr, routing, runs, synth, token_filter,
 )
 from chatmill.session import configure, materialise
-from chatmill.sources import records, tables
+from chatmill.sources import listing, records, tables
 from chatmill.streaming import jobs
 
 COUNTERS = {"words": tokens.count_words, "quarter": tokens.count_quarter}
@@ -185,7 +185,7 @@ def run_route(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def run_inventory(spark: SparkSession, a: argparse.Namespace) -> None:
     registry = spark.read.schema("alias string, hf_id string, serve_backend string, line_no long").json(a.registry)
-    files = tables.scan_files(spark, a.root)
+    files = listing.scan_files(spark, a.root)
     inventory.reconcile(registry, files).write.json(a.output)
     inventory.totals(files).write.json(f"{a.output}-totals")
 

@@ -1,4 +1,4 @@
-"""Case tables, marker lists, retest cases, metadata, result files, logs, listings."""
+"""Case tables, marker lists, retest cases, metadata, result files, logs."""
 
 from __future__ import annotations
 
@@ -104,10 +104,3 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return placed_lines(spark, path).select(
         F.regexp_replace(name, r"\.[^.]*$", "").alias("run"), place.alias("line_no"), F.col("raw").alias("value")
     )
-
-
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, dir, length)`` of all files below ``root``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
-    return files.select("path", F.element_at(F.split(below, "/"), 1).alias("dir"), "length")

@@ -6,8 +6,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
-from chatmill.plans import runs
-from chatmill.sources import records, tables
+from chatmill.plans import inventory, runs
+from chatmill.sources import listing, records, tables
 
 
 def chat_line(i, **extra):
@@ -176,8 +176,44 @@ def test_markers_retest_results_metadata_logs_and_listing(spark, tmp_path):
     hub = tmp_path / "hub" / "models--org--my--model" / "blobs"
     hub.mkdir(parents=True)
     (hub / "x").write_bytes(b"12345")
-    files = tables.scan_files(spark, str(tmp_path / "hub"))
-    assert [(r.dir, r.length) for r in files.collect()] == [("models--org--my--model", 5)]
+    files = listing.scan_files(spark, str(tmp_path / "hub"))
+    assert sorted((r.dir, r.length) for r in files.collect()) == [("models--org--my--model", 0), ("models--org--my--model", 5)]
+
+
+def test_listing_of_trees_links_and_missing_roots(spark, tmp_path):
+    hub = tmp_path / "hub"
+    want = {}
+    for m in range(3):
+        for depth in range(4):
+            folder = hub.joinpath(f"models--o--m{m}", *[f"d{k}" for k in range(depth)])
+            folder.mkdir(parents=True, exist_ok=True)
+            for k in range(5):
+                (folder / f".f {k}%é").write_bytes(b"x" * (k + depth))
+                want[str(folder / f".f {k}%é")] = (f"models--o--m{m}", k + depth)
+    (hub / "models--o--empty").mkdir()
+    (hub / "models--o--m0" / "again").symlink_to(hub / "models--o--m0" / "d0")
+    (hub / "models--o--m0" / "loop").symlink_to(hub)
+    (hub / "models--o--m0" / "broken").symlink_to(hub / "nothing")
+    (hub / "models--o--m1" / "link").symlink_to(hub / "models--o--m2" / ".f 4%é")
+    want[str(hub / "models--o--m1" / "link")] = ("models--o--m1", 4)
+    (hub / "models--file").write_text("abc")
+    want[str(hub / "models--file")] = (None, 3)
+    want |= {str(hub / d): (d, 0) for d in ("models--o--empty", "models--o--m0", "models--o--m1", "models--o--m2")}
+    for root in (str(hub), f"{hub}/", f"file://{hub}"):
+        got = {r.path.removeprefix("file://"): (r.dir, r.length) for r in listing.scan_files(spark, root).collect()}
+        assert got == want
+    sizes = {r.hf_id: r.size_bytes for r in inventory.sizes(listing.scan_files(spark, str(hub))).collect()}
+    assert sizes == {"o/empty": 0, "o/m0": 70, "o/m1": 74, "o/m2": 70}
+    assert listing.scan_files(spark, str(tmp_path / "no")).collect() == []
+
+
+def test_a_wide_directory_is_listed_in_batches(spark, tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "f").write_bytes(b"x" * k)
+    monkeypatch.setattr(listing, "BATCH", 7)
+    got = listing.scan_files(spark, str(tmp_path))
+    assert got.where("path LIKE '%/f'").selectExpr("count(*)", "sum(length)").first() == (300, 300 * 299 // 2)
 
 
 def test_a_malformed_retest_line_fails_the_job(spark, tmp_path):

@@ -76,6 +76,10 @@ SELECT part AS max_concurrency, CAST(n AS DOUBLE) AS request_throughput, failed
     result_files=RESULT_FILES)
 oracle("src_results_rejects", ("events",), """
 SELECT part, CAST(length(body) + 1 AS INTEGER) AS chars FROM result_files WHERE part % 8 = 3 OR part = 5""", result_files=RESULT_FILES)
+oracle("src_file_listing", ("events",), """
+SELECT 'org/u' || (user_id % 16) AS hf_id, count(DISTINCT user_id % 64) AS n_files,
+       CAST(sum(strlen(coalesce(event_type, '')) + 1) AS BIGINT) AS size_bytes
+FROM events GROUP BY ALL""")
 
 # -- records ---------------------------------------------------------------------------
 

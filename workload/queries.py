@@ -17,7 +17,7 @@ from chatmill.plans import (
     synth, token_filter,
 )
 from chatmill.session import configure, materialise, shared_dir
-from chatmill.sources import records, tables
+from chatmill.sources import listing, records, tables
 from chatmill.streaming import jobs
 from workload.fixtures import table
 
@@ -187,6 +187,25 @@ def src_results_rejects(events):
     return rejects.select(F.regexp_extract("src_file", r"/part=(\d+)/", 1).cast("long").alias("part"), F.length("raw").alias("chars"))
 
 
+def _model_folders(events: DataFrame) -> str:
+    """16 model folders of up to four files each, a line with its type for every event."""
+    part = F.col("user_id") % 64
+    rows = events.select(
+        F.concat(F.lit("models--org--u"), part % 16).alias("dir"), part.alias("part"), F.coalesce("event_type", F.lit("")).alias("value")
+    )
+    path = _scratch(events)
+    rows.repartition(64, "part").write.partitionBy("dir", "part").text(path)
+    return path
+
+
+@query("events")
+def src_file_listing(events):
+    """Files and bytes of every model folder, as found on disk."""
+    found = listing.scan_files(events.sparkSession, _model_folders(events)).where(F.col("path").endswith(".txt"))
+    model = inventory.hf_id(F.substring_index("dir", "=", -1)).alias("hf_id")
+    return found.groupBy(model).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("size_bytes"))
+
+
 # -- records ---------------------------------------------------------------------------
 
 
