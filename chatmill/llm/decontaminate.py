@@ -3,13 +3,16 @@
 Texts and benchmark items are reduced to words (ASCII capitals made small;
 letters, digits and every non-ASCII character belong to words).  A window is
 ``width`` consecutive words of an item, or a shorter item whole.  The windows
-form a hash set that is broadcast; documents are scanned once: a word that is
-the longest of some window is looked up in a hash set of such words, and only
-around those places the window's words are compared with the document's.
+form a hash set that is broadcast; documents are scanned once: each window has a
+key, its word that is rarest among the windows (the longest of those), which is
+looked up in a hash set of such words, and only around those places the window's
+words are compared with the document's.
 
-The benchmark is taken in blocks of about ``block`` distinct longest words (as
-many blocks as it needs), so what a task holds is bounded for any benchmark;
-each block is one scan of the documents.
+The benchmark is taken in blocks of about ``block`` keys and ``most`` windows (as
+many blocks as it needs), so what a task holds is bounded for any benchmark; the
+windows of a key that has very many are dealt out to all blocks.  Each block is
+one scan of the documents.  A block above ``most_bytes`` (very long words, or
+windows that very many items share) is not broadcast but joined by its keys.
 
 Defined cases: null or wordless texts and items have no windows and no hits;
 repeated items count under each of their ids; rows with equal id and text get
@@ -19,6 +22,7 @@ tables give empty results or no hits; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,19 +45,29 @@ def words(text: Column) -> Column:
 
 
 def windows(items: DataFrame, width: int = 10) -> DataFrame:
-    """``win, key, place, items``: distinct windows, their longest word, its place (from 1), ids of the items."""
+    """``win, items``: distinct windows and the ids of their items."""
     worded = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))
     win = worded.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i, width))).alias("win"))
-    longest = F.array_max(F.transform("win", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return (
-        win.groupBy("win").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-        .withColumn("key", longest)
-        .withColumn("place", F.array_position("win", F.col("key")).cast("int"))
-    )
+    return win.groupBy("win").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+
+
+def keyed(wins: DataFrame) -> DataFrame:
+    """``wins`` with ``key``, ``place`` and ``n``: a window's rarest word, its place (from 1), how many windows have that key.
 
+    Rare is what few windows hold, in classes of powers of two; of one class the longest word is taken.
+    """
+    worded = wins.select("win", F.explode(F.array_distinct("win")).alias("word"))
+    # Written, so that a join with a very common word can be split.
+    counts = written(worded.groupBy(F.col("word").alias("_word")).agg(F.floor(F.log2(F.count("*"))).alias("often")), "window-words")
+    rank = F.struct("often", (-F.length("word")).alias("short"), "word")
+    chosen = worded.join(counts, F.col("word") == F.col("_word")).groupBy("win").agg(F.min(rank)["word"].alias("key"))
+    chosen = written(wins.join(chosen, "win").withColumn("place", F.array_position("win", F.col("key")).cast("int")), "windows")
+    load = written(chosen.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")), "window-keys")
+    return chosen.join(load, F.col("key") == F.col("_key")).drop("_key")
 
-def _found(docs: DataFrame, wins: DataFrame, keys: list[str], width: int) -> DataFrame:
+
+def _found(docs: DataFrame, keys: list[str], width: int) -> DataFrame:
     """``doc_id, digest, n_words, places``: where words of ``keys`` stand, with the words around."""
     worded = docs.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("words"))
     listed = ", ".join(f"'{k}'" for k in keys) or "''"  # words hold no quotes and no backslashes
@@ -67,19 +81,34 @@ def _found(docs: DataFrame, wins: DataFrame, keys: list[str], width: int) -> Dat
     )
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = 10, block: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def blocked(wins: DataFrame, block: int, most: int) -> tuple[DataFrame, int]:
+    """``wins`` with ``number``, the block of each, and how many blocks there are."""
+    wins = keyed(wins)
+    size = wins.agg(F.count("*").alias("windows"), F.sum(F.lit(1) / F.col("n")).alias("keys")).first()
+    blocks = max(1, math.ceil(size["windows"] / most), math.ceil(round(size["keys"] or 0) / block))
+    dealt = F.when(F.col("n") * 16 > most, F.xxhash64("win")).otherwise(F.xxhash64("key"))
+    return written(wins.withColumn("number", F.pmod(dealt, F.lit(blocks))), "window-blocks"), blocks
+
+
+def hits(
+    docs: DataFrame, items: DataFrame, width: int = 10, block: int = 20_000, most: int = 100_000, most_bytes: int = 64 << 20
+) -> tuple[DataFrame, DataFrame]:
     """Rows of documents (``doc_id, digest, n_words``) and occurrences of windows
     (``doc_id, digest, start, length, items``)."""
-    wins = written(windows(items, width), "windows")
-    blocks = max(1, -(-wins.select("key").distinct().count() // block))
+    wins, blocks = blocked(windows(items, width), block, most)
+    length = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 8)
+    sizes = wins.groupBy("number").agg(F.sum(length("win") + length("items") + F.octet_length("key")).alias("bytes"))
+    sizes = {r["number"]: r["bytes"] for r in sizes.collect()}  # one row a block
     rows, found = None, []
     for number in range(blocks):
-        mine = wins.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == number)
+        mine = wins.where(F.col("number") == number).drop("number", "n")
         keys = sorted(r["key"] for r in mine.select("key").distinct().collect())  # about ``block`` words
-        scanned = written(_found(docs, mine, keys, width), "key-places")
+        scanned = written(_found(docs, keys, width), "key-places")
         rows = scanned.select("doc_id", "digest", "n_words") if rows is None else rows
         place = scanned.select("doc_id", "digest", F.explode("places").alias("p")).select("doc_id", "digest", "p.*")
-        mine = F.broadcast(mine.withColumnRenamed("key", "_key"))  # a block's windows
+        mine = mine.withColumnRenamed("key", "_key")
+        if sizes.get(number, 0) <= most_bytes:
+            mine = F.broadcast(mine)
         start = F.col("at") - F.col("place") + 1
         offset = start - F.greatest(F.col("at") - (width - 1), F.lit(1)) + 1
         same = F.when(start >= 1, F.slice("near", F.greatest(offset, F.lit(1)), F.size("win")) == F.col("win"))

@@ -52,8 +52,8 @@ def test_report_equals_brute_force(spark, rows):
     given = rows(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id", "'' AS words", "2 AS n_words").repartition(4)
     bench = rows(items, "item_id long, text string").selectExpr("*", "0 AS doc_id")
     want = brute(docs, items, 4)
-    for block in (20_000, 2):  # one block of keys, several blocks
-        rows_, found = dc.hits(given, bench, 4, block)
+    for limits in ((20_000,), (2, 100), (20_000, 6), (20_000, 100, 0)):  # one block, few keys, few windows, no broadcast
+        rows_, found = dc.hits(given, bench, 4, *limits)
         assert rows_.count() == len(docs)
         hit = {(r["doc_id"], r["start"], r["length"]) for r in found.collect()}
         assert len({d for d, *_ in hit if d is not None}) == len({w[0] for w in want if w[5] and w[0] is not None})
@@ -61,6 +61,17 @@ def test_report_equals_brute_force(spark, rows):
     assert sorted(got, key=str) == want
 
 
+def test_a_common_long_word_is_no_key(spark, rows):
+    """400 items share their longest word: their windows get other keys, and blocks stay within their bound."""
+    items = rows([(k, f"a{k} commonlongword b{k}") for k in range(400)], "item_id long, text string")
+    wins = dc.keyed(dc.windows(items, 3))
+    assert wins.agg({"n": "max"}).first()[0] == 1 and wins.where("key = 'commonlongword'").count() == 0
+    same = rows([(k, "x y x x y y x y y y x x".replace("x", "p" * (1 + k % 9)).replace("y", "q")) for k in range(300)], "item_id long, text string")
+    dealt, blocks = dc.blocked(dc.windows(same, 5), 20_000, 8)
+    loads = [r["count"] for r in dealt.groupBy("number").count().collect()]
+    assert blocks > 4 and sum(loads) == dc.windows(same, 5).count() and max(loads) <= 3 * 8
+
+
 def test_clean_drops_hit_rows_only(spark, rows):
     docs, items = made_up()
     given = rows(docs, "doc_id long, text string").selectExpr("*", "doc_id AS _id", "'x' AS _digest")
