@@ -5,12 +5,15 @@ its first 3 to 8 bytes (so that unseen endings of a known stem are
 recognised).  Filters of several widths slide over the words of the whole
 text, each keeps its maximum, and a logistic layer turns these into a score.
 Embeddings start from the smoothed log odds of their feature and are trained
-with the filters by Adam in numpy.  The threshold is calibrated per language,
-the language being guessed from the words themselves; scores are shifted so
-that every threshold lies at ``threshold``.
+with the filters by Adam in numpy.
 
-Training uses a bounded sample of labelled rows (``max_rows`` of either class,
-texts up to ``max_bytes``); scoring reads every row and every word.
+Fitting uses a bounded sample of labelled rows (``max_rows`` of either class,
+texts up to ``max_bytes``), four fifths of it; scoring reads every row and every
+word.  The threshold of a language (guessed from the words themselves) is the one
+with the best F1 over *all* labelled rows that were not fitted, long ones
+included, at the real share of both classes: histograms of their logits are
+counted in Spark.  Scores are shifted so that every threshold lies at
+``threshold``.
 
 Defined cases: a null, empty or blank text scores as a text without words;
 null labels are not learned from; rows that share a ``doc_id`` are scored one
@@ -26,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatmill.llm.store import ship
+from chatmill.llm.store import ship, written
 from chatmill.llm.text import LOWER, Words, chunks, flat, mix
 
 BUCKETS = 1 << 15  # ids fit 16 bits
@@ -214,23 +218,25 @@ def _fit(ids: np.ndarray, first: np.ndarray, toxic: np.ndarray, epochs: int, see
     return model
 
 
-def _threshold(logits: np.ndarray, toxic: np.ndarray) -> float:
-    """Middle of the gap at which the F1 of ``logits > t`` is greatest."""
-    order = np.argsort(-logits)
-    hits = np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(1, toxic.sum()))
+STEP = 32  # bins of a histogram to one unit of the logit
+
+
+def _threshold(high: np.ndarray, low: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """Middle of the gap at which the F1 of ``logits > t`` is greatest, from bins in falling order:
+    their greatest and least logit, toxic and clean weight."""
+    hits = np.cumsum(toxic)
+    f1 = 2 * hits / (np.cumsum(toxic + clean) + toxic.sum())
     k = int(f1.argmax())
-    below = logits[order[k + 1]] if k + 1 < len(order) else logits[order[k]] - 1
-    return float((logits[order[k]] + below) / 2)
+    below = high[k + 1] if k + 1 < len(high) else low[k] - 1
+    return float((low[k] + below) / 2)
 
 
 def train(
-    texts: pa.Array, toxic: np.ndarray, langs: list[str | None], *, threshold: float = 0.7,
-    epochs: int = 6, min_positive: int = 20, seed: int = 1,
-) -> Model | float:
-    """Fit on four fifths of the rows, calibrate on the rest; a constant if there is one class only."""
+    texts: pa.Array, toxic: np.ndarray, langs: list[str | None], *, epochs: int = 6, seed: int = 1
+) -> tuple[Model | float, np.ndarray]:
+    """Fit on four fifths of the rows, and which these are; a constant if there is one class only."""
     if len(toxic) == 0 or toxic.min() == toxic.max():
-        return float(toxic.mean()) if len(toxic) else 0.0
+        return (float(toxic.mean()) if len(toxic) else 0.0), np.arange(len(toxic))
     parts, counts = [], []
     for chunk in chunks(iter([pa.record_batch([texts], ["text"])])):
         ids, first = features(chunk.column(0))
@@ -252,17 +258,51 @@ def train(
     for k in range(len(names)):
         seen = np.bincount(ids[code[rows] == k, LANG_FEATURE], minlength=BUCKETS + 1) + 0.5
         model.languages[:, k] = np.log(seen / seen.sum())
-    check = np.flatnonzero(held) if toxic[held].any() else np.arange(len(toxic))
-    part = _slice(ids, first, check)
-    logits, guess = model.logits(*part), model.language(*part)
-    overall = _threshold(logits, toxic[check])
+    return model, fit
+
+
+def histogram(logits: DataFrame, labels: DataFrame) -> DataFrame:
+    """``guess, label, bin, fitted, n, high, low``: labelled rows of ``logits`` (doc_id, logit, guess, fitted) by language and bin."""
+    # A repeated label counts once; short rows, combined map-side.
+    known = labels.where("label IS NOT NULL").select(F.col("doc_id").alias("_id"), "label").distinct()
+    rows = logits.join(known, F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("guess", "label", F.floor(F.col("logit") * STEP).alias("bin"), "fitted").agg(
+        F.count("*").alias("n"), F.max("logit").alias("high"), F.min("logit").alias("low")
+    )
+
+
+def shifts(bins: pa.Table, languages: int, threshold: float, min_positive: int = 20) -> np.ndarray:
+    """What is added to the logits of each language so that its best threshold lies at ``threshold``.
+
+    Rows that were not fitted count; those of a class are weighted to the class's
+    share among all rows.  Languages with fewer than ``min_positive`` toxic rows
+    (or a class of which everything was fitted) use the threshold of all rows.
+    """
     target = np.log(threshold / (1 - threshold))
-    model.shifts = np.full(len(names), target - overall)
-    for k in range(len(names)):
-        own = guess == k
-        if toxic[check][own].sum() >= min_positive:
-            model.shifts[k] = target - _threshold(logits[own], toxic[check][own])
-    return model
+    guess, label, number, fitted, n, high, low = (bins.column(c).to_numpy() for c in bins.column_names)
+    fitted = fitted.astype(bool)
+    seen = [n[label == c].sum() for c in (0, 1)]
+    left = [n[(label == c) & ~fitted].sum() for c in (0, 1)]
+    if not min(left):  # nothing left of a class: what was fitted has to do
+        fitted, left = np.zeros(len(n), dtype=bool), seen
+    if not min(left):
+        return np.zeros(languages)
+    weight = np.where(label == 1, seen[1] / left[1], seen[0] / left[0]) * n
+
+    def best(rows: np.ndarray) -> float:
+        place, own = np.unique(-number[rows], return_inverse=True)  # falling order
+        top, bottom = np.full(len(place), -np.inf), np.full(len(place), np.inf)
+        np.maximum.at(top, own, high[rows])
+        np.minimum.at(bottom, own, low[rows])
+        classes = [np.bincount(own, weight[rows] * (label[rows] == c), minlength=len(place)) for c in (0, 1)]
+        return _threshold(top, bottom, classes[1], classes[0])
+
+    result = np.full(languages, target - best(np.flatnonzero(~fitted)))
+    for k in range(languages):
+        rows = np.flatnonzero(~fitted & (guess == k))
+        if n[rows][label[rows] == 1].sum() >= min_positive:
+            result[k] = target - best(rows)
+    return result
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
@@ -271,25 +311,46 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) ->
     for value in (1, 0):
         some = labels.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         drawn = some if drawn is None else drawn.unionByName(some)
-    drawn = drawn.select(F.col("doc_id").alias("_id"), "label")
+    drawn = drawn.select(F.col("doc_id").alias("_id"), "label").distinct()
+    text = F.min(F.struct("text", "lang")).alias("row")  # of rows that share an id, one
     return (
         docs.select("doc_id", "text", "lang")
         .where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
         .join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))  # at most 2 * max_rows ids
-        .select("doc_id", "text", "lang", "label")
+        .groupBy("doc_id", "label").agg(text).select("doc_id", "row.text", "row.lang", "label")
     )
 
 
-def fitted(docs: DataFrame, labels: DataFrame, threshold: float, max_rows: int, max_bytes: int, epochs: int):
-    """The model learned from the labelled rows among ``docs``, broadcast."""
+def calibrated(
+    docs: DataFrame, labels: DataFrame, threshold: float, max_rows: int, max_bytes: int, epochs: int
+) -> tuple[Model | float, DataFrame | None]:
+    """The model learned from the labelled rows among ``docs``, and ``doc_id, logit, guess, fitted`` of all rows."""
     ship(docs.sparkSession)
-    rows = sample(docs, labels.where("doc_id IS NOT NULL"), max_rows, max_bytes).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    model = train(
+    labels = labels.where("doc_id IS NOT NULL")
+    rows = sample(docs, labels, max_rows, max_bytes).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    model, fit = train(
         rows.column("text").combine_chunks(), rows.column("label").to_numpy().astype(np.int64),
-        rows.column("lang").to_pylist(), threshold=threshold, epochs=epochs,
+        rows.column("lang").to_pylist(), epochs=epochs,
     )
-    return docs.sparkSession.sparkContext.broadcast(model)
+    if isinstance(model, float):
+        return model, None
+    shared = docs.sparkSession.sparkContext.broadcast((model, rows.column("doc_id").take(pa.array(fit)).combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, fit = shared.value
+        for chunk in chunks(batches):
+            ids, first = features(chunk.column("text"))
+            logits = pa.array(model.logits(ids, first).astype(np.float64))
+            guess = pa.array(model.language(ids, first).astype(np.int64))
+            fitted = pc.is_in(chunk.column("doc_id"), fit)
+            yield pa.record_batch([chunk.column("doc_id"), logits, guess, fitted], ["doc_id", "logit", "guess", "fitted"])
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    logits = written(narrow.mapInArrow(run, "doc_id long, logit double, guess long, fitted boolean"), "logits")
+    bins = histogram(logits, labels).toArrow()  # languages x bins of the logit x 4
+    model.shifts = shifts(bins, model.languages.shape[1], threshold)
+    return model, logits
 
 
 def scores(model: Model | float, texts: pa.Array) -> np.ndarray:
@@ -304,14 +365,13 @@ def score(
 
     ``labels`` (doc_id, label 0/1) names the rows to learn from.
     """
-    shared = fitted(docs, labels, threshold, max_rows, max_bytes, epochs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
-            found = pa.array(scores(shared.value, chunk.column("text")))
-            yield pa.record_batch([chunk.column("doc_id"), found], ["doc_id", "score"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    model, logits = calibrated(docs, labels, threshold, max_rows, max_bytes, epochs)
+    if logits is None:
+        scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(model).alias("score"))
+    else:
+        shift = F.element_at(F.array(*map(F.lit, model.shifts.tolist())), (F.col("guess") + 1).cast("int"))
+        raw = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("logit") + shift))
+        scored = logits.select("doc_id", (1 / (1 + F.exp(-raw))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -319,8 +379,12 @@ def clean(
     docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, max_rows: int = 2000,
     max_bytes: int = 65_536, epochs: int = 6,
 ) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``; columns unchanged."""
-    shared = fitted(docs, labels, threshold, max_rows, max_bytes, epochs)
+    """``docs`` without the rows whose score reaches ``threshold``; columns unchanged.
+
+    Scores twice, once for the thresholds: texts need not be shuffled to meet their scores.
+    """
+    model, _ = calibrated(docs, labels, threshold, max_rows, max_bytes, epochs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):

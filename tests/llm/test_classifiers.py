@@ -85,6 +85,57 @@ def test_toxicity_odd_rows(spark, rows):
     assert {r["score"] for r in toxicity.score(docs, labels.where("false")).collect()} == {0.0}
 
 
+def test_toxicity_thresholds_from_all_labelled_rows(spark, rows):
+    """The histogram's threshold equals a plain search over all rows not fitted, weighted to the real share, by language."""
+    rng = np.random.default_rng(4)
+    data = []
+    for k in range(3000):
+        label, guess = int(rng.random() < 0.1), int(rng.integers(0, 3))
+        data.append((k, float(rng.normal(3 * label + guess, 1.0)), guess, bool(rng.random() < (0.5 if label else 0.05))))
+        data[-1] += (label,)
+    logits = rows([d[:4] for d in data], "doc_id long, logit double, guess long, fitted boolean")
+    labels = rows([(d[0], d[4]) for d in data] * 2 + [(None, 1), (5, None), (99_999, 1)], "doc_id long, label int")
+    bins = toxicity.histogram(logits, labels).toArrow()
+    assert sum(bins.column("n").to_pylist()) == len(data)
+    got = 0.5 - toxicity.shifts(bins, 3, 1 / (1 + np.exp(-0.5)))
+    total, left = [[sum(d[4] == c and not (d[3] and part) for d in data) for c in (0, 1)] for part in (False, True)]
+    for k in range(3):
+        own = [(d[1], d[4], total[d[4]] / left[d[4]]) for d in data if d[2] == k and not d[3]]
+
+        def f1(t):
+            hit = sum(w for x, y, w in own if y and x > t)
+            return 2 * hit / (sum(w for x, y, w in own if x > t) + sum(w for x, y, w in own if y))
+
+        assert f1(got[k]) >= max(f1(x - 1e-9) for x, _, _ in own) - 0.01
+    few = toxicity.shifts(bins, 3, 0.5, min_positive=10**6)
+    assert len(set(few.tolist())) == 1
+    assert toxicity.shifts(bins.slice(0, 0), 2, 0.5).tolist() == [0.0, 0.0]
+
+
+def test_toxicity_scores_equal_a_plain_loop(spark, rows):
+    """Batch logits equal a loop over words, widths and filters; repeated ids and labels do not multiply the sample."""
+    known = training()
+    docs = rows(ODD + [k[:3] for k in known] * 3, SCHEMA)
+    labels = rows([(k[0], k[3]) for k in known] * 2, "doc_id long, label int")
+    assert toxicity.sample(docs, labels, 2000, 65_536).count() == len(known)
+    model, logits = toxicity.calibrated(docs, labels, 0.7, 2000, 65_536, 3)
+    texts = {k: t for k, t, _ in ODD if k in (1, 2, 4)} | {k[0]: k[1] for k in known[:8]}
+    found = {r["doc_id"]: r["logit"] for r in logits.collect()}
+    for k, text in texts.items():
+        ids, _ = toxicity.features(pa.array([text], pa.string()))
+        vectors = [sum(model.embedding[j] for j in word) for word in ids.tolist()]
+        vectors += [np.zeros(toxicity.DIM, dtype=np.float32)] * max(toxicity.WIDTHS)
+        total, layer = model.bias, 0
+        for i, width in enumerate(toxicity.WIDTHS):
+            best = np.full(toxicity.FILTERS, -np.inf)
+            for at in range(max(1, len(ids))):
+                best = np.maximum(best, sum(vectors[at + j] @ model.filters[layer + j] for j in range(width)))
+            own = model.output[i * toxicity.FILTERS : (i + 1) * toxicity.FILTERS]
+            total += float(np.maximum(best + model.filter_bias[i], 0) @ own)
+            layer += width
+        assert found[k] == pytest.approx(total, abs=1e-3)
+
+
 def test_quality_odd_rows(spark, rows):
     known = [(2000 + k, "good plain text of words" if k % 3 else "BAD!! BAD!! BAD!!", "en", int(k % 3 > 0)) for k in range(150)]
     docs = rows(ODD + [k[:3] for k in known], SCHEMA).selectExpr("*", "1 AS score", "2 AS upper", "3 AS n_words")
