@@ -2,7 +2,7 @@
 
 Vectors are scaled to length one and projected on many random directions.  A
 table consists of a few coarsely quantised projections, which name a cell, and
-one projection by which the cell is sorted.  A pair collides in a table when
+one projection by which Spark sorts the cell.  A pair collides in a table when
 both lie in one cell and each lies in the window centred on the other.  Pairs
 that collide in at least ``need`` of the tables are verified by their cosine in
 double precision.
@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,22 +77,36 @@ class Plan:
             tables += 1
         return Plan(cells, window, tables, need)
 
-    def project(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell numbers and window positions of unit vectors, for every table."""
-        rng = np.random.default_rng([SEED, unit.shape[1]])
-        directions = rng.normal(size=(unit.shape[1], self.tables * (self.cells + 1)))
-        shifts = rng.uniform(0, CELL, self.tables * self.cells)
-        shadow = unit @ directions
-        steps = np.floor((shadow[:, : self.tables * self.cells] + shifts) / CELL).astype(np.int64)
-        steps = steps.reshape(len(unit), self.tables, self.cells).view(np.uint64)
-        key = np.full((len(unit), self.tables), unit.shape[1], dtype=np.uint64)
+    def directions(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Directions (those of the cells, table by table, then one a table for the window) and shifts of the cells."""
+        rng = np.random.default_rng([SEED, size])
+        return rng.normal(size=(size, self.tables * (self.cells + 1))), rng.uniform(0, CELL, self.tables * self.cells)
+
+    def project(self, unit: np.ndarray, tables: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cell numbers and window positions of unit vectors, for the first ``tables`` (all) tables."""
+        tables = self.tables if tables is None else tables
+        directions, shifts = _directions(self, unit.shape[1])
+        used, windows = tables * self.cells, self.tables * self.cells
+        steps = np.floor((unit @ directions[:, :used] + shifts[:used]) / CELL).astype(np.int64)
+        steps = steps.reshape(len(unit), tables, self.cells).view(np.uint64)
+        key = np.full((len(unit), tables), unit.shape[1], dtype=np.uint64)
         for k in range(self.cells):
             key = mix(key ^ steps[:, :, k], 60)
-        return key.view(np.int64), shadow[:, self.tables * self.cells :]
+        return key.view(np.int64), unit @ directions[:, windows : windows + tables]
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
+@lru_cache(maxsize=8)
+def _directions(plan: Plan, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return plan.directions(size)
+
+
+def _single(vectors: DataFrame) -> bool:
+    """Whether components are 32-bit floats, and travel as such."""
+    return vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+
+
+def _units(raw: list[bytes], single: bool) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), dtype=np.float32 if single else np.float64).astype(np.float64).reshape(len(raw), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -117,23 +132,25 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarr
 
 
 def _cells(different: DataFrame, plan: Plan, with_vectors: bool) -> DataFrame:
-    """``table, cell`` of every vector in every table, with ``vec, tag, copies, vector`` if wanted."""
+    """``table, cell`` of every vector in every table, with ``at, vec, tag, copies, vector`` if wanted."""
+    single = _single(different)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, len(whole), 500):
                 for part, x in _by_length(whole.slice(start, 500)):
-                    key, _ = plan.project(x / np.linalg.norm(x, axis=1, keepdims=True))
-                    raw = pa.array([row.tobytes() for row in x], pa.binary())
+                    key, at = plan.project(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    exact = x.astype(np.float32) if single else x
+                    raw = pa.array([row.tobytes() for row in exact], pa.binary())
                     for t in range(plan.tables):
                         columns = [pa.array(np.full(len(x), t)), pa.array(key[:, t])]
                         names = ["table", "cell"]
                         if with_vectors:
-                            columns += [*(part.column(c) for c in ("vec", "tag", "copies")), raw]
-                            names += ["vec", "tag", "copies", "vector"]
+                            columns += [pa.array(at[:, t]), *(part.column(c) for c in ("vec", "tag", "copies")), raw]
+                            names += ["at", "vec", "tag", "copies", "vector"]
                         yield pa.record_batch(columns, names)
 
-    schema = "table long, cell long" + (", vec long, tag long, copies long, vector binary" if with_vectors else "")
+    schema = "table long, cell long" + (", at double, vec long, tag long, copies long, vector binary" if with_vectors else "")
     return different.mapInArrow(run, schema)
 
 
@@ -160,23 +177,33 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def linked(
-    unit: np.ndarray, plan: Plan, table: int, left: np.ndarray, right: np.ndarray, least_cosine: float
+    unit: np.ndarray, at: np.ndarray, plan: Plan, table: int, left: np.ndarray, right: np.ndarray, least_cosine: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (left x right, each unordered pair once) that collide often enough, for the last time
-    needed in ``table``, and have the cosine."""
-    key, at = plan.project(unit)
-    found_i, found_j = [], []
-    step = max(1, 400_000 // max(1, len(right)))
-    for lo in range(0, len(left), step):
-        rows = left[lo : lo + step]
-        near = (np.abs(at[rows, table][:, None] - at[right, table]) <= plan.window) & (rows[:, None] != right)
-        i, j = np.nonzero(near)
-        i, j = rows[i], right[j]
-        if left is right:
-            i, j = i[i < j], j[i < j]
+    needed in ``table``, and have the cosine.
+
+    ``at`` are the positions on the table's window projection, by which ``left`` and ``right`` are
+    sorted: the partners of a vector are a run of ``right``.
+    """
+    begin = np.searchsorted(at[right], at[left] - plan.window, "left")
+    end = np.searchsorted(at[right], at[left] + plan.window, "right")
+    if left is right:
+        begin = np.arange(1, len(left) + 1)
+    upto = np.concatenate([[0], np.cumsum(np.maximum(end - begin, 0))])
+    found_i, found_j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    if not upto[-1]:
+        return found_i[0], found_j[0]
+    key, other = plan.project(unit, table)
+    row = 0
+    while row < len(left):
+        stop = max(row + 1, int(np.searchsorted(upto, upto[row] + 400_000, "right")) - 1)
+        sizes = np.diff(upto[row : stop + 1])
+        i = np.repeat(left[row:stop], sizes)
+        j = right[np.arange(upto[row], upto[stop]) - np.repeat(upto[row:stop] - begin[row:stop], sizes)]
+        row = stop
         before = np.zeros(len(i), dtype=np.int64)
         for t in range(table):
-            before += (key[i, t] == key[j, t]) & (np.abs(at[i, t] - at[j, t]) <= plan.window)
+            before += (key[i, t] == key[j, t]) & (np.abs(other[i, t] - other[j, t]) <= plan.window)
         own = before == plan.need - 1
         i, j = i[own], j[own]
         good = np.einsum("ij,ij->i", unit[i], unit[j]) >= least_cosine
@@ -214,19 +241,20 @@ def _links(different: DataFrame, plan: Plan, least_cosine: float, block: int) ->
     keys = ["table", "cell", "low", "high"]
     rows = rows.select(
         "table", "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        "own", "vec", "tag", "copies", "vector",
+        "own", "at", "vec", "tag", "copies", "vector",
     )
+    single = _single(different)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, keys):
             if len(group) < 2:
                 continue
-            unit = _units(group.column("vector").to_pylist())
+            unit = _units(group.column("vector").to_pylist(), single)
             own = group.column("own").to_numpy()
             low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
             left = np.flatnonzero(own == low)
             right = left if low == high else np.flatnonzero(own == high)
-            i, j = linked(unit, plan, group.column("table")[0].as_py(), left, right, least_cosine)
+            i, j = linked(unit, group.column("at").to_numpy(), plan, group.column("table")[0].as_py(), left, right, least_cosine)
             if not len(i):
                 continue
             vec, copies = group.column("vec").to_numpy(), group.column("copies").to_numpy()
@@ -241,7 +269,7 @@ def _links(different: DataFrame, plan: Plan, least_cosine: float, block: int) ->
             columns = [vec[some], group.column("tag").to_numpy()[some], links[some], root[some]]
             yield pa.record_batch([pa.array(c) for c in columns], ["vec", "tag", "links", "root"])
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "at")
     return dealt.mapInArrow(run, "vec long, tag long, links long, root long")
 
 

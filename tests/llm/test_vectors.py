@@ -73,6 +73,47 @@ def test_calibrated_recall_at_the_limit():
     assert (hits >= plan.need).mean() >= 0.975
 
 
+def test_planted_pairs_are_found(spark, rows):
+    """2,000 pairs just above the limit and 2,000 just below among 20,000 vectors: at least 99 % and none."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(4_000, 64))
+    side -= (base[:4_000] * side).sum(axis=1, keepdims=True) * base[:4_000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = np.repeat([0.9503, 0.9497], 2_000)[:, None]
+    near = cosine * base[:4_000] + np.sqrt(1 - cosine**2) * side
+    data = np.concatenate([base, near, rng.normal(size=(4_000, 64))]).astype(np.float32)
+    given = rows(list(enumerate(data.tolist())), "vec_id long, embedding array<float>").repartition(8)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(given).collect()}
+    found = sum(got[12_000 + k] == (1, k) and got[k] == (1, k) for k in range(2_000))
+    assert found >= 1_980 and sum(n for n, _ in got.values()) == 2 * found and len(got) == 20_000
+
+
+@pytest.mark.parametrize("table", [1, 4])
+def test_windows_of_a_sorted_cell_equal_all_pairs(table):
+    rng = np.random.default_rng(9)
+    plan = vectors.Plan(1, 0.8, 6, 2)
+    unit = rng.normal(size=(5, 16))[rng.integers(0, 5, 300)] + rng.normal(size=(300, 16)) * 0.15
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    key, at = plan.project(unit)
+    order = np.argsort(at[:, table], kind="stable")
+    unit, key, at = unit[order], key[order], at[order]
+    few_key, few_at = plan.project(unit, table)
+    assert (few_key == key[:, :table]).all() and np.allclose(few_at, at[:, :table])
+    own = rng.integers(0, 2, 300)
+    for left, right in ((np.arange(300), None), (np.flatnonzero(own == 0), np.flatnonzero(own == 1))):
+        right = left if right is None else right
+        i, j = vectors.linked(unit, at[:, table], plan, table, left, right, 0.95)
+        want = set()
+        for a in left:
+            for b in right:
+                if a != b and abs(at[a, table] - at[b, table]) <= plan.window and unit[a] @ unit[b] >= 0.95:
+                    if ((key[a] == key[b]) & (np.abs(at[a] - at[b]) <= plan.window))[:table].sum() == plan.need - 1:
+                        want.add((min(a, b), max(a, b)))
+        assert len(i) == len(want) > 0 and {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want
+
+
 def test_cells_grow_finer_with_the_table():
     small, large = vectors.Plan.calibrated(10_000, 0.95), vectors.Plan.calibrated(10_000_000, 0.95)
     assert large.cells > small.cells and large.tables > small.tables
