@@ -2,12 +2,13 @@
 
 Pages of one host share a few layouts, known by their label paths.  All pages of
 a host and layout are counted, copies once: a text that stands at the same label
-path on nearly all of them is template.  A few of them (``per_host``, chosen by a
-hash) are references: their DOM trees are aligned with the first by simple tree
-matching, and from the root the path is followed to the node that holds most of
-the varying text: the content slot.  The wrapper of a layout is that path and the
-template texts within the slot.  One more wrapper is learnt from all pages of the
-host, for layouts with too few pages.
+path on nearly all of them is template.  One page with the most frequent arrangement
+of containers is the reference that nodes are named by; every page's DOM tree is
+aligned with it by simple tree matching and votes for the nodes, from the root on,
+that hold most of the page's varying text.  The path of the nodes that more than
+half of all pages vote for leads to the content slot.  The wrapper of a layout is
+that path and the template texts that any page has within the slot.  One more wrapper
+is learnt from all pages of the host, for layouts with too few pages.
 
 Every page is then read by its wrapper: the text of the content slot
 without template texts.  Menus, adverts and the like may vary from page to page
@@ -38,7 +39,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatmill.llm.store import ship, written
@@ -198,14 +199,14 @@ def parse(html: str) -> Node:
     return root
 
 
-def blocks(node: Node, out: list[str], line: list[str], template: frozenset[str] = frozenset()) -> None:
-    """Texts of the blocks below a node, without furniture and template texts."""
+def blocks(node: Node, out: list[str], line: list[str], template: frozenset[str | int] = frozenset()) -> None:
+    """Texts of the blocks below a node, without furniture and template texts (given as texts or their hashes)."""
     open_ = [(iter(node.kids), False)]  # children still to be read, and whether a block ends with them
     while open_:
         kids, block = open_[-1]
         for kid in kids:
             if type(kid) is str:
-                if not template or " ".join(kid.split()) not in template:
+                if not template or not _among(" ".join(kid.split()), template):
                     line.append(kid)
             elif not kid.furniture:
                 inner = kid.tag in BLOCK
@@ -219,6 +220,10 @@ def blocks(node: Node, out: list[str], line: list[str], template: frozenset[str]
                 _end(out, line)
 
 
+def _among(text: str, template: frozenset[str | int]) -> bool:
+    return text in template or text != "" and _hash(text) in template
+
+
 def _end(out: list[str], line: list[str]) -> None:
     text = " ".join("".join(line).split())
     line.clear()
@@ -226,7 +231,7 @@ def _end(out: list[str], line: list[str]) -> None:
         out.append(text)
 
 
-def text_of(nodes: list[Node], template: frozenset[str] = frozenset()) -> str:
+def text_of(nodes: list[Node], template: frozenset[str | int] = frozenset()) -> str:
     out: list[str] = []
     for node in nodes:
         line: list[str] = []
@@ -259,6 +264,9 @@ class Shapes:
         self._size: list[int] = []
         self._scores: dict[tuple[int, int], int] = {}
 
+    def __len__(self) -> int:
+        return len(self._trees)
+
     def of(self, node: Node) -> int:
         nodes = [node]
         for x in nodes:
@@ -357,7 +365,7 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, shapes
 
     ``pairs`` receives the aligned nodes.
     """
-    shapes = shapes or Shapes()
+    shapes = Shapes() if shapes is None else shapes
     score = shapes.score(shapes.of(a), shapes.of(b))
     if pairs is not None and score:
         todo = [(a, b)]
@@ -372,15 +380,6 @@ def _texts(node: Node) -> list[str]:
     return [" ".join(k.split()) for k in node.kids if type(k) is str and not k.isspace()]
 
 
-def _varying(nodes: list[Node], constant: dict[int, set[str]]) -> dict[int, int]:
-    """For each of the first page's nodes (parents first) the characters below it that are neither template nor furniture."""
-    out: dict[int, int] = {}
-    for node in reversed(nodes):
-        own = sum(len(t) for t in _texts(node) if t not in constant.get(id(node), ()))
-        out[id(node)] = own + sum(out[id(k)] for k in node.elements() if not k.furniture)
-    return out
-
-
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
@@ -398,11 +397,41 @@ def places(root: Node) -> list[tuple[Node, int]]:
     return out
 
 
-def profile(root: Node) -> tuple[int, list[tuple[int, int]]]:
-    """A page's layout (never 0) and its different texts as (hash of the label path, hash of the text)."""
+def layout_of(found: list[tuple[Node, int]]) -> int:
+    """A page's layout (never 0), from its places."""
+    return _hash(str(sorted({path for node, path in found if node.tag in LAYOUT_TAGS}))) or 1
+
+
+def profile(root: Node) -> tuple[int, int, list[tuple[int, int]], str]:
+    """Layout, frame, texts and outline of a page.
+
+    The frame is a hash of the containers that a path can lead through; the texts are
+    the different ones as (hash of the label path, hash of the text).  The outline
+    (JSON) has the nodes outside furniture, parents first: the labels that occur, then
+    for every node the label's number, the parent, how many equally labelled siblings
+    stand before it and whether it can be on a path (2: only as its end); for every
+    text the node, the place among the texts and the characters.
+    """
     found = places(root)
-    layout = sorted({path for node, path in found if node.tag in LAYOUT_TAGS})
-    return _hash(str(layout)) or 1, sorted({(path, _hash(t)) for node, path in found for t in _texts(node)})
+    number = {id(node): k for k, (node, _) in enumerate(found)}
+    names: dict[str, int] = {}
+    label, up, skip, role, frame = [], [0] * len(found), [0] * len(found), [], {0: 0}
+    for k, (node, _) in enumerate(found):
+        name = node.label
+        label.append(names.setdefault(name, len(names)))
+        role.append(2 if node.tag in CONTENT_TAGS else int(node.tag in BLOCK and node.tag not in ("p", "li", "td")))
+        if k and role[k] and up[k] in frame:
+            frame[k] = _hash(f"{frame[up[k]]}/{skip[k]}/{name}")
+        before: Counter = Counter()
+        for kid in node.elements():
+            if not kid.furniture:
+                up[number[id(kid)]], skip[number[id(kid)]] = k, before[kid.label]
+            before[kid.label] += 1
+    texts = [(path, _hash(t), k, len(t)) for k, (node, path) in enumerate(found) for t in _texts(node)]
+    different = sorted({t[:2] for t in texts})
+    at = {pair: k for k, pair in enumerate(different)}
+    outline = [list(names), label, up, skip, role, [t[2] for t in texts], [at[t[:2]] for t in texts], [t[3] for t in texts]]
+    return layout_of(found), _hash(str(sorted(frame.values()))), different, json.dumps(outline, ensure_ascii=False, separators=(",", ":"))
 
 
 def _follow(root: Node, path: list) -> Node | None:
@@ -415,54 +444,81 @@ def _follow(root: Node, path: list) -> Node | None:
     return node
 
 
-def induce(pages: list[str], least: int = 4, share: float = 0.9, common: set[tuple[int, int]] | None = None) -> dict | None:
+class Reference:
+    """The page that the nodes of a group are named by, and the group's template texts."""
+
+    def __init__(self, outline: str, common: set[tuple[int, int]]):
+        self.names, self.label, self.up, self.skip, *_ = json.loads(outline)
+        self.common = common
+        self.nodes = _tree(self.names, self.label, self.up)
+        self.number = {id(node): k for k, node in enumerate(self.nodes)}
+
+    def votes(self, outline: str, texts: list[tuple[int, int]], shapes: Shapes) -> tuple[list[int], set[tuple[int, int]]]:
+        """A page's votes: the nodes that hold most of its varying text, from the root on, and its template texts by the last of them."""
+        names, label, up, _, role, *places_ = json.loads(outline)
+        nodes = _tree(names, label, up)
+        varying = [0] * len(nodes)
+        for k, text, chars in zip(*places_):
+            if texts[text] not in self.common:
+                varying[k] += chars
+        for k in range(len(nodes) - 1, 0, -1):
+            varying[up[k]] += varying[k]
+        pairs: list[tuple[Node, Node]] = []
+        match(self.nodes[0], nodes[0], pairs, shapes)
+        aligned = {id(own): self.number[id(node)] for node, own in pairs}
+        chain, inside = {0: 0}, [0] * len(nodes)
+        for k in range(1, len(nodes)):  # parents before children
+            if role[k] and up[k] in chain and role[up[k]] != 2 and 2 * varying[k] > varying[up[k]] and id(nodes[k]) in aligned:
+                chain[k] = aligned[id(nodes[k])]
+            inside[k] = chain.get(k, inside[up[k]])
+        return list(chain.values())[1:], {(inside[k], texts[text][1]) for k, text, _ in zip(*places_) if texts[text] in self.common}
+
+    def wrapper(self, pages: int, votes: dict[int, int], template: set[tuple[int, int]]) -> dict | None:
+        """The path that more than half of the pages vote for and the hashes of the template texts below it; None without a path."""
+        chain = [k for k in sorted(votes) if 2 * votes[k] > pages]
+        if not chain:
+            return None
+        below = [False] * len(self.up)
+        for k in range(chain[-1], len(below)):
+            below[k] = k == chain[-1] or below[self.up[k]]
+        return {"path": [[self.names[self.label[k]], self.skip[k]] for k in chain], "template": sorted({t for k, t in template if below[k]})}
+
+
+def _tree(names: list[str], label: list[int], up: list[int]) -> list[Node]:
+    nodes = [Node(names[k]) for k in label]
+    for node, parent in zip(nodes[1:], up[1:]):
+        nodes[parent].kids.append(node)
+    return nodes
+
+
+def induce(pages: list[str], least: int = 4, share: float = 0.9) -> dict | None:
     """The wrapper of some pages: ``path`` to the content slot and ``template`` texts in it; None if pages are too few.
 
-    ``common`` has the template texts as in :func:`profile`, if they have been counted elsewhere.
+    What :func:`wrappers` does for a group of a table.
     """
-    different: dict[tuple[str, ...], Node] = {}
+    different: dict[tuple, tuple[str, int, int]] = {}
+    known: dict[int, str] = {}
     for html in pages:
         tree = parse(html)
-        parts: list[str] = []
-        blocks(tree, parts, [])
-        if parts:  # pages that agree in all their blocks are copies
-            different.setdefault(tuple(parts), tree)
-    trees, shapes = list(different.values()), Shapes()
-    if len(trees) < least:
+        layout, frame, texts, outline = profile(tree)
+        if texts:  # pages that agree in all their texts are copies
+            different[tuple(texts)] = min(different.get(tuple(texts), (outline, frame, layout)), (outline, frame, layout))
+            known |= {_hash(t): t for node, _ in places(tree) for t in _texts(node)}
+    if len(different) < least:
         return None
-    first = trees[0]
-    seen: dict[int, Counter] = {}
-    aligned: Counter = Counter()
-    for other in trees[1:]:
-        pairs: list[tuple[Node, Node]] = []
-        match(first, other, pairs, shapes)
-        for a, b in pairs:
-            aligned[id(a)] += 1
-            seen.setdefault(id(a), Counter()).update(set(_texts(b)))
-    nodes, constant = [first], {}
-    for node in nodes:
-        nodes.extend(node.elements())
-        counts = seen.get(id(node), Counter())
-        enough = max(least - 1, share * (len(trees) - 1))
-        constant[id(node)] = {t for t in _texts(node) if counts[t] >= enough}
-    if common is not None:
-        constant = {id(x): set() for x in nodes}
-        for tree in trees:
-            constant |= {id(x): {t for t in _texts(x) if (at, _hash(t)) in common} for x, at in places(tree)}
-    path, node, varying = [], first, _varying(nodes, constant)
-    while node.tag not in CONTENT_TAGS:
-        kids = [k for k in node.elements() if not k.furniture and k.tag in BLOCK and k.tag not in ("p", "li", "td")]
-        best = max(kids, key=lambda k: varying[id(k)], default=None)
-        if best is None or 2 * varying[id(best)] <= varying[id(node)] or 2 * aligned[id(best)] < len(trees) - 1:
-            break
-        path.append([best.label, [k.label for k in node.elements()][: node.elements().index(best)].count(best.label)])
-        node = best
-    slots = [node] if common is None else [x for x in (_follow(tree, path) for tree in trees) if x]
+    times = Counter(text for texts in different for text in texts)
+    common = {text for text, n in times.items() if n >= max(least, share * len(different))}
+    layouts, frames = Counter(x[2] for x in different.values()), Counter(x[1:] for x in different.values())
+    first = min(different.values(), key=lambda x: (-layouts[x[2]], x[2], -frames[x[1:]], len(x[0]), x))
+    reference, shapes = Reference(first[0], common), Shapes()
+    votes: Counter = Counter()
     template = set()
-    for x in slots:
-        slots.extend(k for k in x.elements() if not k.furniture)
-        template |= constant.get(id(x), set())
-    return {"path": path, "template": sorted(template)} if path else None
+    for texts, (outline, *_) in different.items():
+        chain, found = reference.votes(outline, list(texts), shapes)
+        votes.update(chain)
+        template |= found
+    wrapper = reference.wrapper(len(different), votes, template)
+    return wrapper and {**wrapper, "template": sorted(known[t] for t in wrapper["template"])}
 
 
 def read(html: str | None, wrapper: dict | None) -> str:
@@ -484,54 +540,103 @@ def host(url) -> F.Column:
 
 
 def profiles(pages: DataFrame) -> DataFrame:
-    """``page_id, host, layout, long, texts`` of the pages that hold text, by :func:`profile`."""
+    """``host, layout, frame, texts, outline`` of the pages that hold text, by :func:`profile`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "html"):
             found = [profile(parse(html)) for html in chunk.column("html").to_pylist()]
-            texts = pa.array([[{"path": a, "text": b} for a, b in x] for _, x in found], pa.list_(pa.struct({"path": pa.int64(), "text": pa.int64()})))
-            columns = [chunk.column("page_id"), chunk.column("host"), pa.array([x for x, _ in found], pa.int64()), chunk.column("long"), texts]
-            yield pa.record_batch(columns, ["page_id", "host", "layout", "long", "texts"])
+            layout, frame = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+            texts = pa.array([[{"path": a, "text": b} for a, b in x[2]] for x in found], pa.list_(pa.struct({"path": pa.int64(), "text": pa.int64()})))
+            columns = [chunk.column("host"), layout, frame, texts, pa.array([x[3] for x in found], pa.string())]
+            yield pa.record_batch(columns, ["host", "layout", "frame", "texts", "outline"])
 
-    given = pages.where("html IS NOT NULL")
-    made = given.mapInArrow(run, "page_id long, host string, layout long, long boolean, texts array<struct<path:long,text:long>>")
+    given = pages.where("html IS NOT NULL").select("host", "html")
+    made = given.mapInArrow(run, "host string, layout long, frame long, texts array<struct<path:long,text:long>>, outline string")
     return made.where("size(texts) > 0")
 
 
-def wrappers(pages: DataFrame, per_host: int = 24, most: int = 262_144, least: int = 4, share: float = 0.9) -> DataFrame:
+#: Trees of labels that a task keeps the scores of.
+TREES = 50_000
+
+
+def _loaded(reference: str) -> Reference:
+    given = json.loads(reference)
+    return Reference(given["outline"], {(x["path"], x["text"]) for x in given.get("common", ())})
+
+
+def wrappers(pages: DataFrame, least: int = 4, share: float = 0.9) -> DataFrame:
     """``host, layout, wrapper`` (JSON) of every layout of a host with enough different pages; layout 0 is all of them.
 
-    ``per_host`` pages of each are aligned, and pages above ``most`` characters only if there are too few others;
-    template texts are counted over all pages.
+    Template texts are counted over all pages, and all pages are aligned and vote for the path.
     """
-    keyed = pages.select("page_id", host(F.col("url")).alias("host"), "html", (F.length("html") > most).alias("long"))
-    found = profiles(keyed).withColumn("digest", F.xxhash64("texts"))
-    copies = found.groupBy("host", "layout", "digest").agg(F.min("page_id").alias("page_id"), F.min("long").alias("long"), F.first("texts").alias("texts"))
-    different = written(copies, "different-pages").withColumn("layout", F.explode(F.array("layout", F.lit(0).cast("long"))))
+    found = profiles(pages.select(host(F.col("url")).alias("host"), "html")).withColumn("digest", F.xxhash64("texts"))
+    copies = found.groupBy("host", "layout", "digest").agg(F.min(F.struct("outline", "frame")).alias("page"), F.first("texts").alias("texts"))
+    different = copies.select("host", "layout", "digest", "page.*", "texts", F.length("page.outline").alias("size"))
+    different = written(different, "different-pages")
     group = ["host", "layout"]
-    totals = different.groupBy(*group).agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
-    totals = written(totals, "layouts")
-    texts = different.select(*group, F.explode("texts").alias("at")).groupBy(*group, "at.path", "at.text").agg(F.count("*").alias("times"))
-    common = texts.where(F.col("times") >= least).join(totals, group).where(F.col("times") >= share * F.col("pages")).drop("times", "pages")
 
-    by_hash = Window.partitionBy(*group).orderBy("long", F.xxhash64("digest"), "digest")
-    some = different.drop("texts").join(totals, group, "left_semi").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_host)
-    # Written, so that the planner knows their size: pages are shuffled only if these ids are many.
-    some = written(some.select(F.col("page_id").alias("_id"), F.col("host").alias("_host"), "layout"), "sample-ids", 1)
-    sample = keyed.join(some, (F.col("page_id") == F.col("_id")) & (F.col("host") == F.col("_host"))).select(*group, "page_id", "html")
+    # The reference: of the most frequent layout and, in it, frame the shortest outline.
+    exploded = different.withColumn("kind", F.col("layout")).withColumn("layout", F.explode(F.array("layout", F.lit(0).cast("long"))))
+    frames = exploded.groupBy(*group, "kind", "frame").agg(F.count("*").alias("n"), F.min(F.struct("size", "digest")).alias("page"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("page.size").alias("size"), "frame", F.col("page.digest").alias("digest")))
+    kinds = frames.groupBy(*group, "kind").agg(F.sum("n").alias("n"), best.alias("page"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "kind", F.col("page.digest").alias("digest")))
+    totals = kinds.groupBy(*group).agg(F.sum("n").alias("pages"), best.alias("page")).where(F.col("pages") >= least)
+    totals = written(totals.select(*group, "pages", "page.kind", "page.digest"), "layouts")
+
+    texts = exploded.select(*group, F.explode("texts").alias("at")).groupBy(*group, "at.path", "at.text").agg(F.count("*").alias("times"))
+    common = texts.where(F.col("times") >= least).join(totals, group).where(F.col("times") >= share * F.col("pages"))
+    common = common.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("common"))
+    outlines = different.select("host", F.col("layout").alias("kind"), "digest", "outline")
+    references = totals.join(outlines, ["host", "kind", "digest"]).join(common, group, "left")
+    # Written, so that the planner knows their size: pages are shuffled only if references are many.
+    references = written(references.select(*group, "pages", F.to_json(F.struct("outline", "common")).alias("reference")), "references")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes, known = Shapes(), {}
+        for chunk in chunks(batches, "outline"):
+            sums: Counter = Counter()
+            for row in range(chunk.num_rows):
+                host, layout, texts, outline, *given = (c[row].as_py() for c in chunk.columns)
+                texts = [(x["path"], x["text"]) for x in texts]
+                own = None
+                for which, reference in zip((layout, 0), given):
+                    if reference is None:
+                        continue
+                    if len(shapes) > TREES or len(known) > 1000:
+                        shapes, known = Shapes(), {}
+                    if reference not in known:
+                        known[reference] = _loaded(reference)
+                    if own is None or reference != given[0]:
+                        own = known[reference].votes(outline, texts, shapes)
+                    sums.update((host, which, node, None) for node in own[0])
+                    sums.update((host, which, node, text) for node, text in own[1])
+            keys = list(zip(*sums)) or [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
+            columns = [pa.array(x, kind) for x, kind in zip(keys, kinds)] + [pa.array(sums.values(), pa.int64())]
+            yield pa.record_batch(columns, ["host", "layout", "node", "text", "times"])
+
+    own = references.select(*group, F.col("reference").alias("own"))
+    every = references.where("layout = 0").select("host", F.col("reference").alias("every"))
+    aligned = different.join(own, group, "left").join(every, "host", "left").select(*group, "texts", "outline", "own", "every")
+    votes = aligned.mapInArrow(align, "host string, layout long, node int, text long, times long")
+    votes = votes.groupBy(*group, "node", "text").agg(F.sum("times").alias("times"))
 
     def learn(table: pa.Table, counted: pa.Table) -> pa.Table:
-        table = table.sort_by([("page_id", "ascending"), ("html", "ascending")])
-        template = set(zip(counted.column("path").to_pylist(), counted.column("text").to_pylist()))
-        wrapper = induce([h for h in table.column("html").to_pylist() if h], least, share, template)
-        n = 0 if wrapper is None else 1
-        out = [table.column(c).to_pylist()[:n] for c in ("host", "layout")] + [[json.dumps(wrapper, ensure_ascii=False)][:n]]
-        return pa.table([pa.array(x, kind) for x, kind in zip(out, (pa.string(), pa.int64(), pa.string()))], ["host", "layout", "wrapper"])
+        out = []
+        for at in table.to_pylist():
+            rows = [tuple(x) for x in zip(*(counted.column(c).to_pylist() for c in ("node", "text", "times")))]
+            chain, template = {n: k for n, t, k in rows if t is None}, {(n, t) for n, t, _ in rows if t is not None}
+            wrapper = _loaded(at["reference"]).wrapper(at["pages"], chain, template)
+            if wrapper is not None:
+                out.append((at["host"], at["layout"], json.dumps(wrapper, ensure_ascii=False)))
+        columns = list(zip(*out)) or [()] * 3
+        return pa.table([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["host", "layout", "wrapper"])
 
-    return sample.groupBy(*group).cogroup(common.groupBy(*group)).applyInArrow(learn, "host string, layout long, wrapper string")
+    return references.groupBy(*group).cogroup(votes.groupBy(*group)).applyInArrow(learn, "host string, layout long, wrapper string")
 
 
-def extract(pages: DataFrame, per_host: int = 24) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html).
 
     The wrappers are written first: a table the planner finds small goes to the pages
@@ -539,11 +644,11 @@ def extract(pages: DataFrame, per_host: int = 24) -> DataFrame:
     """
     ship(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
-    learned = written(wrappers(pages, per_host), "wrappers").withColumnsRenamed({"host": "_host", "layout": "_layout"})
+    learned = written(wrappers(pages), "wrappers").withColumnsRenamed({"host": "_host", "layout": "_layout"})
 
     def layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "html"):
-            found = [profile(parse(html))[0] if html else 0 for html in chunk.column("html").to_pylist()]
+            found = [layout_of(places(parse(html))) if html else 0 for html in chunk.column("html").to_pylist()]
             yield pa.record_batch([*chunk.columns, pa.array(found, pa.int64())], [*chunk.schema.names, "layout"])
 
     keyed = pages.withColumn("host", host(F.col("url")))

@@ -1,5 +1,6 @@
 """HTML extraction."""
 
+import json
 import random
 
 from chatmill.llm import wrapper as wr
@@ -158,3 +159,53 @@ def test_short_articles_beside_long_furniture():
     for name in ("ad", "sidebar", "comments"):
         assert wr.read(f'<div class="{name}">{text}</div><article>short</article>', None) == "short"
     assert wr.read(f'<div class="ad">{text}</div><p>short</p>', None) == "short"
+
+
+def test_path_comes_from_all_pages(spark, rows):
+    """24 short pages with the smallest ids have more text among their links than in their stories; most pages have not."""
+
+    def page(k, site):
+        links, story = (30, 1) if k < 24 else (2, 20)
+        words = lambda what, n: "".join(f"<p>{what} {j} of {site} page {k}</p>" for j in range(n))
+        return (f'<html><body><div class="links">{words("Link", links)}</div><div class="story">{words("Line", story)}<p>Printed by {site}.</p></div>'
+                f"</body></html>{' ' * 270_000 * (site == 'long' and k >= 24)}")
+
+    counts = {"many": 400, "long": 60}
+    data = [(k, f"http://{site}/{k}", page(k, site)) for site, n in counts.items() for k in range(n)]
+    data += data[:24] * 30  # copies count once
+    given = rows(data, "page_id long, url string, html string").repartition(7)
+    learned = [json.loads(r.wrapper)["path"] for r in wr.wrappers(given).collect()]
+    assert learned == [[["html", 0], ["body", 0], ["div.story", 0]]] * 4
+    got = {(r.url, r.text) for r in wr.extract(given).collect()}
+    lines = lambda k, site: " ".join(f"Line {j} of {site} page {k}" for j in range(1 if k < 24 else 20))
+    assert got == {(f"http://{site}/{k}", lines(k, site)) for site, n in counts.items() for k in range(n)}
+
+
+def test_wrappers_of_a_table_are_those_of_its_pages(spark, rows):
+    rng = random.Random(5)
+
+    def page(k, host):
+        notes = "".join(f"<div>Note {j} of {host}</div>" for j in range(2) if rng.random() < 0.95)
+        body = "".join(f"<p>Text {j} of page {k} {'so ' * rng.randrange(20, 30)}</p>" for j in range(rng.randrange(3, 9)))
+        teasers = "".join(f"<section><p>Teaser {rng.random()}</p></section>" for _ in range(rng.randrange(4)))
+        kind = rng.choice(("a", "b"))
+        return f'<body><div>Top of {host}</div>{teasers}<div class="{kind}"><div>{body}{notes}</div></div>{teasers}</body>'
+
+    pages = {host: [page(k, host) for k in range(n)] for host, n in (("one", 90), ("two", 40), ("three", 6), ("four", 3))}
+    data = [(None, f"http://{host}/", html) for host, all_ in pages.items() for html in all_ + all_[:5]]
+    got = {(r.host, r.layout): json.loads(r.wrapper) for r in wr.wrappers(rows(data, "page_id long, url string, html string").repartition(6)).collect()}
+    want = {}
+    for host, all_ in pages.items():
+        layouts = {html: wr.profile(wr.parse(html))[0] for html in all_}
+        for layout in {0, *layouts.values()}:
+            found = wr.induce([html for html in all_ if layout in (0, layouts[html])])
+            if found:
+                want[host, layout] = {"path": found["path"], "template": sorted(map(wr._hash, found["template"]))}
+    assert got == want and len(want) > 6
+    assert all("div.a" in str(x) or "div.b" in str(x) for (_, layout), x in got.items() if layout)
+
+
+def test_template_texts_are_known_by_their_hashes():
+    page = '<body><div class="x"><p>Own  text</p><p>Same\n text</p></div></body>'
+    for template in (["Same text"], [wr._hash("Same text")]):
+        assert wr.read(page, {"path": [["body", 0], ["div.x", 0]], "template": template}) == "Own text"
