@@ -7,11 +7,14 @@ else, in this document or another, is a repeat; every word it covers is removed.
    neighbourhoods of word grams that recur, equal ones counted once; where an
    anchor has different neighbourhoods, their windows are counted by digest.
    One representative of every recurring window is kept, and neighbouring ones
-   are joined into passages, all of whose windows recur.
+   are joined into passages, all of whose windows recur, of ``PIECE`` windows
+   at most.
 2. *Compile* the passages into Aho-Corasick automata.  The automata are sharded
    by blocks of documents (a few megabytes of text): a block's automaton holds
-   the passages with an anchor in the block, by phrases of ``PHRASE`` words at
-   such distances that every window of a passage holds a whole phrase.
+   the passages that represent a window of the block, by phrases of ``PHRASE``
+   words at such distances that every window of a passage holds a whole phrase.
+   A block is sent no passage that merely shares an anchor with it, so what is
+   sent grows with the text, however many passages hold a common line.
 3. *Stream* the block's documents through its automaton.  Each hit of a phrase
    is stretched to the left and right as far as document and passage agree;
    what reaches ``width`` words is an occurrence.
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatmill.llm import recur
@@ -41,15 +44,16 @@ from chatmill.llm.text import Rolling, Words, chunks, flat, mix, word_rolling
 
 GRAM = 8
 PHRASE = 6
+PIECE = 256
 PAIRS = 500_000
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 
 
 def _window_digests(touched: DataFrame, mixed: DataFrame, width: int) -> DataFrame:
-    """``digest, key, doc, tag, first, n``: the windows of the different spans around mixed anchors."""
+    """``digest, key, whole, doc, tag, first, n``: the windows of the different spans around mixed anchors."""
     wanted = mixed.groupBy(F.col("doc").alias("_doc"), recur.tag(F.col("spot")).alias("_tag")).agg(
-        F.collect_list(F.struct("spot", "key", "n")).alias("wanted")
+        F.collect_list(F.struct("spot", "key", "whole", "n")).alias("wanted")
     )
     same = (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))
     rows = touched.dropDuplicates(["doc", "tag"]).join(wanted, same).select("doc", "text", "wanted")
@@ -60,23 +64,32 @@ def _window_digests(touched: DataFrame, mixed: DataFrame, width: int) -> DataFra
             rolling = word_rolling(words.hashes())
             wanted = chunk.column("wanted")
             ends = wanted.offsets.to_numpy()
-            spot, key, n = (wanted.values.field(x).to_numpy()[ends[0] : ends[-1]] for x in ("spot", "key", "n"))
+            spot, key, whole, n = (wanted.values.field(x).to_numpy()[ends[0] : ends[-1]] for x in ("spot", "key", "whole", "n"))
             row = np.repeat(np.arange(len(chunk)), np.diff(ends))
             counts = (spot >> 18) & 0x3FFF
             own = np.repeat(np.arange(len(spot)), counts)
             first = (spot >> 32)[own] + np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
             start = words.first[row[own]] + first
-            columns = [rolling.of(start, start + width).view(np.int64), key[own],
+            columns = [rolling.of(start, start + width).view(np.int64), key[own], whole[own],
                        chunk.column("doc").to_numpy()[row[own]], (spot & 0xFFFF)[own], first, n[own]]
-            yield pa.record_batch([pa.array(c) for c in columns], ["digest", "key", "doc", "tag", "first", "n"])
+            yield pa.record_batch([pa.array(c) for c in columns], ["digest", "key", "whole", "doc", "tag", "first", "n"])
 
-    return rows.mapInArrow(run, "digest long, key long, doc long, tag long, first long, n long")
+    return rows.mapInArrow(run, "digest long, key long, whole long, doc long, tag long, first long, n long")
+
+
+def _recurring_windows(windows: DataFrame) -> DataFrame:
+    """``key, whole, doc, tag, first, own``: where each recurring window of a span is represented, and if it is there itself."""
+    equal = Window.partitionBy("digest", "key")
+    counted = windows.withColumn("here", F.struct("doc", "tag", "first")).select(
+        "key", "whole", "here", F.sum("n").over(equal).alias("times"), F.min("here").over(equal).alias("at")
+    )
+    return counted.where("times > 1").select("key", "whole", "at.doc", "at.tag", "at.first", (F.col("here") == F.col("at")).alias("own"))
 
 
 def _passages(touched: DataFrame, windows: DataFrame, width: int) -> DataFrame:
-    """``p_doc, p_spot, passage, keys``: runs of recurring windows (doc, tag, first, count, key)."""
+    """``p_doc, p_tag, p_piece, passage``: runs of recurring windows (doc, tag, first, count), cut at every ``PIECE`` windows of a text."""
     lists = windows.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(
-        F.collect_list(F.struct("first", "count", "key")).alias("found")
+        F.collect_list(F.struct("first", "count")).alias("found")
     )
     same = (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))
     rows = touched.dropDuplicates(["doc", "tag"]).join(lists, same).select("doc", "tag", "text", "found")
@@ -87,22 +100,19 @@ def _passages(touched: DataFrame, windows: DataFrame, width: int) -> DataFrame:
             for doc, mark, text, found in zip(*(chunk.column(c) for c in ("doc", "tag", "text", "found"))):
                 words = text.as_py().encode().split()
                 pairs = found.values
-                first, count = pairs.field("first").to_numpy(), pairs.field("count").to_numpy()
-                begin, end = _window_runs(first, count)
-                run_of = np.searchsorted(begin, first, "right") - 1
-                keys = pairs.field("key").to_numpy()
-                for r, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
-                    out[0].append(doc.as_py())
-                    out[1].append(a << 16 | mark.as_py())
-                    out[2].append(b" ".join(words[a : b + width - 1]))
-                    out[3].append(np.unique(keys[run_of == r]))
+                begin, end = _window_runs(pairs.field("first").to_numpy(), pairs.field("count").to_numpy())
+                for a, b in zip(begin.tolist(), end.tolist()):
+                    for piece in range(a // PIECE, (b - 1) // PIECE + 1):
+                        out[0].append(doc.as_py())
+                        out[1].append(mark.as_py())
+                        out[2].append(piece)
+                        out[3].append(b" ".join(words[max(a, piece * PIECE) : min(b, (piece + 1) * PIECE) + width - 1]))
             yield pa.record_batch(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()),
-                 pa.array(out[3], pa.list_(pa.int64()))],
-                ["p_doc", "p_spot", "passage", "keys"],
+                [*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())],
+                ["p_doc", "p_tag", "p_piece", "passage"],
             )
 
-    return rows.mapInArrow(run, "p_doc long, p_spot long, passage binary, keys array<long>")
+    return rows.mapInArrow(run, "p_doc long, p_tag long, p_piece long, passage binary")
 
 
 def _window_runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,27 +301,26 @@ def found(keyed: DataFrame, width: int, block_bytes: int) -> DataFrame:
     different = written(recur.distinct_spans(recurring), "distinct-spans", files)
     spot = F.col("spot")
     plain = different.where("NOT mixed").select(
-        "doc", recur.tag(spot).alias("tag"), recur.first(spot).alias("first"), recur.count(spot).alias("count"), "key"
-    )
-    compared = (
-        _window_digests(touched, different.where("mixed"), width)
-        .groupBy("digest", "key")
-        .agg(F.sum("n").alias("n"), F.min(F.struct("doc", "tag", "first")).alias("at"))
-        .where("n > 1")
-        .select("at.doc", "at.tag", "at.first", F.lit(1).cast("long").alias("count"), "key")
+        "key", "whole", "doc", recur.tag(spot).alias("tag"), recur.first(spot).alias("first"), recur.count(spot).alias("count")
     )
-    passages = written(_passages(touched, plain.unionByName(compared), width), "passages", files)
+    compared = written(_recurring_windows(_window_digests(touched, different.where("mixed"), width)), "windows", files)
+    place = ("doc", "tag", "first")
+    windows = plain.select(*place, "count").unionByName(compared.where("own").select(*place, F.lit(1).cast("long").alias("count")))
+    passages = written(_passages(touched, windows, width), "passages", files)
 
     size = touched.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     block = lambda doc, mark: F.pmod(F.xxhash64(doc, mark), F.lit(blocks)).alias("block")
-    route = recurring.select(F.col("key").alias("_key"), block(F.col("doc"), recur.tag(spot))).distinct()
-    holds = passages.select(F.explode("keys").alias("key"), "p_doc", "p_spot")
+    route = recurring.select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), block(F.col("doc"), recur.tag(spot))).distinct()
+    span = ("key", "whole", F.col("doc").alias("_doc"), F.col("tag").alias("_tag"))
+    pieces = F.expr(f"explode(sequence(first DIV {PIECE}, (first + count - 1) DIV {PIECE}))").alias("_piece")
+    holds = plain.select(*span, pieces).unionByName(compared.select(*span, F.expr(f"first DIV {PIECE}").alias("_piece")).distinct())
     wanted = (
-        holds.join(route, F.col("key") == F.col("_key"))
-        .select("block", F.col("p_doc").alias("_doc"), F.col("p_spot").alias("_spot")).distinct()
+        holds.join(route, (F.col("key") == F.col("_key")) & (F.col("whole") == F.col("_whole")))
+        .select("block", "_doc", "_tag", "_piece").distinct()
     )
-    routed = passages.join(wanted, (F.col("p_doc") == F.col("_doc")) & (F.col("p_spot") == F.col("_spot")))
+    here = (F.col("p_doc") == F.col("_doc")) & (F.col("p_tag") == F.col("_tag")) & (F.col("p_piece") == F.col("_piece"))
+    routed = passages.join(wanted, here)
     return _stream(touched.withColumn("block", block(F.col("doc"), F.col("tag"))), routed.select("block", "passage"), width)
 
 

@@ -88,3 +88,37 @@ def test_texts_that_share_an_id_keep_apart(spark, rows):
     assert [(r.n_words, r.n_removed) for r in got] == [(65, 60), (65, 60)]
     kept = {" ".join(t.split()[60:]) for t in (one, two)}
     assert {r.text for r in phrases.clean(docs, width=35).where("doc_id = 1").collect()} == kept
+
+
+def test_a_block_is_sent_what_it_holds_and_not_all_that_shares_a_line(spark, rows, monkeypatch):
+    rng = random.Random(4)
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    line = words(12)
+    texts = [words(30) + line + words(30) for _ in range(60)]  # each twice, as different documents
+    data = [(2 * i + k, " ".join([f"x{2 * i + k}", *t])) for i, t in enumerate(texts) for k in (0, 1)]
+    sent = []
+    stream = phrases._stream
+
+    def spy(touched, routed, width):
+        sent.extend(r.passage for r in routed.collect())
+        return stream(touched, routed, width)
+
+    monkeypatch.setattr(phrases, "_stream", spy)
+    got = phrases.dedup(rows(data, "doc_id long, text string"), width=35, block_bytes=2000)
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (i, n, gone, hashlib.sha256(kept).hexdigest()) for i, n, gone, kept in brute(data, 35)
+    ]
+    assert len(sent) <= 2 * len(data)
+
+
+def test_passages_longer_than_a_piece(spark, rows, monkeypatch):
+    monkeypatch.setattr(phrases, "PIECE", 16)
+    rng = random.Random(5)
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    long = words(200)
+    texts = [long, words(7) + long[20:180], long[15:24] + words(3) + long[31:40] + words(2) + long[100:141], words(4) + long[5:13]]
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = phrases.dedup(rows(data, "doc_id long, text string"), width=9, block_bytes=500)
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (i, n, gone, hashlib.sha256(kept).hexdigest()) for i, n, gone, kept in brute(data, 9)
+    ]
